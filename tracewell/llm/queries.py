@@ -6,6 +6,10 @@ import importlib
 
 #: query name -> module of this subpackage with ``query(spark, sf_dir)`` and perhaps ``SQL``.
 MODULES = {
+    "op1_licenses": "licenses",
+    "op2_language": "langid",
+    "op3_flac": "flac",
+    "op4_toxicity": "toxicity",
     "op6_packing": "packing",
     "op8_decontamination": "decontam",
     "op9_warc": "warc",
