@@ -146,8 +146,15 @@ def read_archive(data: bytes) -> Iterator[dict]:
 
 
 def train_dictionary(pages: DataFrame, html: str, size: int = 32 << 10, sample: int = 256) -> bytes:
-    """A dictionary from at most ``sample`` pages (the smallest hashes), 16 KiB of each; b"" if too few."""
-    rows = pages.where(F.length(html) > 0).select(F.xxhash64(html).alias("h"), F.substring(html, 1, 16384).alias("t")).orderBy("h", "t").limit(sample).collect()
+    """A dictionary from at most ``sample`` distinct pages (the smallest hashes), 16 KiB of each; b"" if too few.
+
+    The hashes are ranked alone; only the chosen pages' texts reach the driver.
+    """
+    hashed = pages.where(F.length(html) > 0).withColumn("_h", F.xxhash64(html))
+    last = [r._h for r in hashed.select("_h").distinct().orderBy("_h").limit(sample).collect()]
+    if not last:
+        return b""
+    rows = hashed.where(F.col("_h").isin(last)).groupBy("_h").agg(F.first(F.substring(html, 1, 16384)).alias("t")).orderBy("_h").collect()
     try:
         return zstandard.train_dictionary(size, [r.t.encode("utf-8", "replace") for r in rows]).as_bytes()
     except zstandard.ZstdError:
