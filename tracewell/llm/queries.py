@@ -10,7 +10,9 @@ MODULES = {
     "op2_language": "langid",
     "op3_flac": "flac",
     "op4_toxicity": "toxicity",
+    "op5_jaccard": "jaccard",
     "op6_packing": "packing",
+    "op7_wrappers": "wrappers",
     "op8_decontamination": "decontam",
     "op9_warc": "warc",
 }
