@@ -15,6 +15,7 @@ MODULES = {
     "op7_wrappers": "wrappers",
     "op8_decontamination": "decontam",
     "op9_warc": "warc",
+    "op10_secrets": "secrets",
 }
 
 
