@@ -56,3 +56,19 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int =
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_rows(df: DataFrame, column: str, build: Callable[[], Callable[[list], list[bool]]], rows: int = 512) -> DataFrame:
+    """The rows of df, all columns, whose value in a column passes; ``build()`` makes the test once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = build()
+        for whole in batches:
+            at = whole.schema.get_field_index(column)
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                kept = batch.filter(pa.array(test(batch.column(at).to_pylist()), pa.bool_()))
+                if kept.num_rows:
+                    yield kept
+
+    return df.mapInArrow(run, df.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import keep_rows, table
 from ._text import fold_words
 
 B = 2
@@ -113,16 +113,35 @@ def scan(docs: DataFrame, items: list[tuple[object, str | None]], window: int, d
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: n_words, merged hit ``spans`` (words, half-open) and the sorted ``items`` that occur."""
+def blocks_of(benchmark: DataFrame, block_bytes: int, item_id: str, item_text: str) -> Iterator[list[tuple[object, str | None]]]:
+    """The benchmark in blocks of about ``block_bytes`` of text at most, by a hash of the item; at least one block."""
     bench = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t"))
     size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
+    blocks = -(-2 * size // block_bytes) if size > block_bytes else 1
     cut = bench.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
-    parts = [scan(docs, [(r.i, r.t) for r in cut.where(F.col("b") == b).collect()], window, doc_id, text) for b in range(blocks)]
+    for b in range(blocks):
+        yield [(r.i, r.t) for r in cut.where(F.col("b") == b).collect()]
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in which no pattern occurs."""
+    for items in blocks_of(benchmark, block_bytes, item_id, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def build(shared=shared):
+            found = searchers(shared.value, window)
+            return lambda texts: [not any(next(s.find(words), None) for s in found) for words in map(fold_words, texts)]
+
+        docs = keep_rows(docs, text, build)
+    return docs
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per document: n_words, merged hit ``spans`` (words, half-open) and the sorted ``items`` that occur."""
+    parts = [scan(docs, items, window, doc_id, text) for items in blocks_of(benchmark, block_bytes, item_id, item_text)]
     if len(parts) == 1:
         return parts[0]
-    # One row per document and block; a repeated doc_id is kept apart by nothing else, so rows of one id merge.
+    # One row per document and block; rows that repeat a doc_id become one here.
     all_parts = parts[0]
     for p in parts[1:]:
         all_parts = all_parts.unionByName(p)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import keep_rows, table
 from ._text import FOLD, utf8
 
 _SENTENCE = re.compile(rb"[.!?\n]+")
@@ -176,6 +176,12 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text, lambda: lambda texts: (shared.value.scores(texts)[0] < threshold).tolist())
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")), F.lit(5)) == 0, F.lit(False))
 
