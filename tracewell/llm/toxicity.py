@@ -13,6 +13,7 @@ the kinds the score is the labelled rate; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,9 +31,11 @@ _SENTENCE = re.compile(rb"[.!?\n]+")
 _SPLIT = bytes(10 if c in b".!?\n" else FOLD[c] for c in range(256))
 
 
-def sentences(text: str | None) -> list[set[bytes]]:
-    """The distinct folded words of each sentence that has any; one empty sentence if none has."""
+def sentences(text: str | None, names: dict[bytes, bytes] | None = None) -> list[set[bytes]]:
+    """The distinct folded words of each sentence that has any; one empty sentence if none has. ``names`` keeps one object a word."""
     found = [set(s.split()) for s in utf8(text).translate(_SPLIT).split(b"\n")]
+    if names is not None:
+        found = [{names.setdefault(w, w) for w in s} for s in found]
     return [s for s in found if s] or [set()]
 
 
@@ -90,14 +93,14 @@ def fit(bags: list[list[set[bytes]]], y: np.ndarray, weight: np.ndarray, most: i
     n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
     scored = sorted(((abs(pos[w] / n1 - neg[w] / n0) / np.sqrt((pos[w] + neg[w]) / (n1 + n0)), w) for w in pos.keys() | neg.keys() if pos[w] + neg[w] >= 4), key=lambda x: (-x[0], x[1]))
     number = {w: i for i, (_, w) in enumerate(scored[:most])}
-    flat, sent_len, bag_len = [], [], []
+    flat, sent_len, bag_len = array("q"), array("q"), array("q")
     for bag in bags:
         for s in bag:
             ids = [number[f] for w in sorted(s) for f in features(w) if f in number]
             flat.extend(ids)
             sent_len.append(len(ids))
         bag_len.append(len(bag))
-    flat, sent_len, bag_len = np.array(flat, np.int64), np.array(sent_len), np.array(bag_len)
+    flat, sent_len, bag_len = (np.frombuffer(a, np.int64) if len(a) else np.empty(0, np.int64) for a in (flat, sent_len, bag_len))
     sentence_of = np.repeat(np.arange(len(sent_len)), sent_len)
     bag_of = np.repeat(np.arange(len(bag_len)), bag_len)
     first = np.concatenate(([0], np.cumsum(bag_len)[:-1]))
@@ -124,7 +127,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Fit on at most about ``per_class`` whole documents of each label, those with the smallest hashes of their ids.
 
     Each class is weighted back to its share of all labels. The chosen ids, at most that many, are broadcast, so
-    the documents are not shuffled.
+    only the chosen documents are shuffled, to the task that fits them.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
     sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
@@ -132,12 +135,22 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     pick = F.lit(False)
     for k, n in sizes.items():
         pick = pick | ((F.col("y") == k) & (draw < int(1e6 * min(1.0, per_class / n)) + 1))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(known.where(pick)), "id").select("id", "y", "text").toPandas()
-    rows = rows.sort_values("id", kind="stable")
-    y = rows["y"].to_numpy(float)
-    seen = Counter(y.tolist())
-    weight = np.array([sizes[int(k)] / seen[k] for k in y])
-    return fit([sentences(t) for t in rows["text"]], y, weight)
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(known.where(pick)), "id").select("id", "y", "text")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[bytes, bytes] = {}
+        bags, y = [], []
+        for batch in batches:
+            y += batch.column(1).to_pylist()
+            bags += [sentences(t.as_py(), names) for t in batch.column(2)]
+        seen = Counter(y)
+        model = fit(bags, np.array(y, float), np.array([sizes[k] / seen[k] for k in y]))
+        yield pa.record_batch({"feature": pa.array([None, *model.weights], pa.binary()), "weight": pa.array([model.bias, *model.weights.values()], pa.float64())})
+
+    # One task fits the bounded sample, in the order of the ids; the driver receives the weights.
+    found = rows.repartition(1).sortWithinPartitions("id", "text").mapInArrow(train, "feature binary, weight double").collect()
+    weights = {bytes(r.feature): r.weight for r in found if r.feature is not None}
+    return Model(next((r.weight for r in found if r.feature is None), -8.0), weights)
 
 
 SCHEMA = "doc_id long, score double, sentences array<struct<start:long,stop:long,score:double>>"
