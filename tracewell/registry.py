@@ -17,6 +17,7 @@ from .operators import sta as A
 from .operators import traces as T
 from .operators import windows as W
 from .plans import driver as D
+from .plans import workflows as P_
 from .streaming.rates import windowed_rates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -591,3 +592,45 @@ SQL["pop_select"] = "SELECT 'view' AS pop, 0 AS ord UNION ALL SELECT 'click', 1"
 @query(f"{WITH_Y} SELECT y, i, v FROM y WHERE t BETWEEN 86400 AND 172800 AND y IN (100, 300)")
 def time_slice(spark, d):
     return L.between(D.probe(spark, d), "t", 86400.0, 172800.0).where(F.col("y").isin(100.0, 300.0)).select("y", "i", "v")
+
+
+# --- whole analyses -----------------------------------------------------------------------
+
+
+@query(
+    f"""{_DFT}, z AS (SELECT a.pop AS pop_i, b.pop AS pop_j, a.seg, avg(a.re * b.re + a.im * b.im) AS re, avg(a.re * b.im - a.im * b.re) AS im FROM f a JOIN f b ON a.seg = b.seg AND a.k = b.k AND a.pop = 'click' AND b.pop <> 'click' WHERE a.k BETWEEN 2 AND 8 GROUP BY 1, 2, 3)
+SELECT pop_i, pop_j, round(sqrt(avg(re / sqrt(re * re + im * im)) * avg(re / sqrt(re * re + im * im)) + avg(im / sqrt(re * re + im * im)) * avg(im / sqrt(re * re + im * im))), 6) AS resultant, count(*) AS n FROM z GROUP BY 1, 2"""
+)
+def sliding_phase(spark, d):
+    pairs = C.unordered(D.pops(spark, d), False).where("pop_i = 'click'")
+    z = P_.sliding_phase(D.hourly(spark, d), pairs, _SIZE, _STEP, D.HOURS, 2, 8, 1.0)
+    return z.groupBy("pop_i", "pop_j").agg(r6(F.max("resultant"), "resultant"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def rate_spectra(spark, d):
+    out = P_.rate_spectra(D.spikes(spark, d), D.pops(spark, d), ["pop"], 0.0, D.T_END, D.HOUR, tau=2 * D.HOUR, win_len=96 * D.HOUR, overlap=0.5, fmin=0.0, fmax=1.0)
+    return out.select("pop", "freq", "psd")
+
+
+@query()
+def reference_cpsd(spark, d):
+    ref = D.probe(spark, d).where("y = 100").select("i", "v")
+    return P_.against_reference(D.hourly(spark, d), ref, D.HOURS, 1.0, 0.0, 0.0, 1.0, 96.0, 0.5, (0.02, 0.2))
+
+
+@query(f"{WITH_Y}, k AS (SELECT y, i, v - avg(v) OVER (PARTITION BY y) AS v FROM y WHERE t BETWEEN 86400 AND 864000) SELECT y, i, round(v, 6) AS v FROM k")
+def probe_prepared(spark, d):
+    return P_.prepare(D.probe(spark, d), 86400.0, 864000.0, repair=False).select("y", "i", r6("v", "v"))
+
+
+@query()
+def probe_events(spark, d):
+    return P_.probe_events(D.probe(spark, d).withColumn("t", F.col("i") / 100.0), 100.0, [float(f) for f in range(4, 31)], ["theta", "alpha", "beta"], winsz=2.4, threshold=3.0)
+
+
+@query()
+def spectrogram_stack(spark, d):
+    t = T.to_traces(D.hourly(spark, d), ["pop"], 0.0, D.HOUR)
+    out = P_.stitched(P_.spectrograms(t, 100.0, [float(f) for f in range(4, 31, 2)], 2.4, channel="pop"))
+    return out.select("channel", "freq", F.size("power").cast("long").alias("n"), r6(F.array_max("power"), "peak"))
