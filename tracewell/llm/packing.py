@@ -15,6 +15,7 @@ each; an empty table gives no pieces; very long documents are cut like others.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections import deque
@@ -31,7 +32,10 @@ from ._spark import table
 
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-_ASCII_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+")
+#: The same for texts of the first 128 and 256 characters, which the standard library splits faster.
+_ASCII_WORD = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+")
+_LATIN_WORD = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^\t\n\x0b\x0c\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+_BEYOND_LATIN = re.compile("[^\x00-\xff]")
 
 
 class WordTokenizer:
@@ -56,6 +60,8 @@ class WordTokenizer:
         if text.isascii():
             return _ASCII_WORD.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
+        if not _BEYOND_LATIN.search(text):
+            return _LATIN_WORD.findall(text.lower())
         return _WORD.findall("".join(c.lower() for c in text) if "Σ" in text else text.lower())
 
     def learn(self, words: list[str]) -> None:
