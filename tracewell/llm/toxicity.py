@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,11 +31,9 @@ _SENTENCE = re.compile(rb"[.!?\n]+")
 _SPLIT = bytes(10 if c in b".!?\n" else FOLD[c] for c in range(256))
 
 
-def sentences(text: str | None, names: dict[bytes, bytes] | None = None) -> list[set[bytes]]:
-    """The distinct folded words of each sentence that has any; one empty sentence if none has. ``names`` keeps one object a word."""
+def sentences(text: str | None) -> list[set[bytes]]:
+    """The distinct folded words of each sentence that has any; one empty sentence if none has."""
     found = [set(s.split()) for s in utf8(text).translate(_SPLIT).split(b"\n")]
-    if names is not None:
-        found = [{names.setdefault(w, w) for w in s} for s in found]
     return [s for s in found if s] or [set()]
 
 
@@ -45,14 +43,14 @@ def features(word: bytes) -> list[bytes]:
 
 
 class Sums(dict):
-    """The summed weights of a word's features, kept for up to a million words."""
+    """The summed weights of a word's features, kept for up to 250,000 words."""
 
     def __init__(self, weights: dict[bytes, float]) -> None:
         super().__init__()
         self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         get = self.weights.get
         self[word] = found = sum([get(f, 0.0) for f in features(word)])
@@ -81,27 +79,66 @@ class Model:
         return np.array([-np.expm1(-np.logaddexp(0, z).sum()) for z in rows]), ps
 
 
-def fit(bags: list[list[set[bytes]]], y: np.ndarray, weight: np.ndarray, most: int = 4000, steps: int = 150, decay: float = 0.02) -> Model:
+class Bags:
+    """Documents as numbers of words: ``word`` in order, words per sentence, sentences per document."""
+
+    def __init__(self, texts: Iterable[str | None] = ()) -> None:
+        self.names: dict[bytes, int] = {}
+        self.word, self.sentence, self.document = array("i"), array("i"), array("i")
+        for t in texts:
+            self.add(t)
+
+    def add(self, text: str | None) -> None:
+        found = sentences(text)
+        for s in found:
+            self.word.extend([self.names.setdefault(w, len(self.names)) for w in sorted(s)])
+            self.sentence.append(len(s))
+        self.document.append(len(found))
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (count[0] of them), start[1], ..."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)
+
+
+def fit(bags: Bags, y: np.ndarray, weight: np.ndarray, most: int = 4000, steps: int = 150, decay: float = 0.02) -> Model:
     """Full-batch Adam on the noisy-or likelihood over the ``most`` features most associated with the labels."""
     rate = float((weight * y).sum() / max(weight.sum(), 1e-9)) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
         p = min(max(rate, 1e-4), 1 - 1e-4)
         return Model(float(np.log(p / (1 - p))), {})
-    pos, neg = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        (pos if label else neg).update({f for w in set().union(*bag) for f in features(w)})
+    word, sent_len, bag_len = (np.array(a, np.int64) for a in (bags.word, bags.sentence, bags.document))
+    numbers: dict[bytes, int] = {}
+    of_word = array("i")
+    count = np.array([len(ids) for w in bags.names for ids in [[numbers.setdefault(f, len(numbers)) for f in features(w)]] if not of_word.extend(ids)], np.int64)
+    of_word = np.array(of_word, np.int64)
+    offset = np.cumsum(count) - count
+    # In how many documents of each label a feature stands; some hundred documents at a time.
+    seen = np.zeros((2, len(numbers)))
+    first_word = np.concatenate(([0], np.cumsum(np.add.reduceat(sent_len, np.cumsum(bag_len) - bag_len))))
+    for lo in range(0, len(y), 256):
+        hi = min(lo + 256, len(y))
+        w = word[first_word[lo] : first_word[hi]]
+        document = np.repeat(np.arange(lo, hi), np.diff(first_word[lo : hi + 1]))
+        pairs = np.unique(np.repeat(document, count[w]) * len(numbers) + of_word[_spread(offset[w], count[w])])
+        for k in (0, 1):
+            seen[k] += np.bincount(pairs[y[pairs // len(numbers)] == k] % len(numbers), minlength=len(numbers))
     n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-    scored = sorted(((abs(pos[w] / n1 - neg[w] / n0) / np.sqrt((pos[w] + neg[w]) / (n1 + n0)), w) for w in pos.keys() | neg.keys() if pos[w] + neg[w] >= 4), key=lambda x: (-x[0], x[1]))
-    number = {w: i for i, (_, w) in enumerate(scored[:most])}
-    flat, sent_len, bag_len = array("q"), array("q"), array("q")
-    for bag in bags:
-        for s in bag:
-            ids = [number[f] for w in sorted(s) for f in features(w) if f in number]
-            flat.extend(ids)
-            sent_len.append(len(ids))
-        bag_len.append(len(bag))
-    flat, sent_len, bag_len = (np.frombuffer(a, np.int64) if len(a) else np.empty(0, np.int64) for a in (flat, sent_len, bag_len))
-    sentence_of = np.repeat(np.arange(len(sent_len)), sent_len)
+    total = seen.sum(0)
+    score = np.abs(seen[1] / n1 - seen[0] / n0) / np.sqrt(np.maximum(total, 1) / (n1 + n0))
+    names = list(numbers)
+    chosen = sorted(np.flatnonzero(total >= 4).tolist(), key=lambda i: (-score[i], names[i]))[:most]
+    number = {names[f]: i for i, f in enumerate(chosen)}
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
+    # Only chosen features stay: per word, then per sentence.
+    kept = place[of_word] >= 0
+    left = np.add.reduceat(kept.astype(np.int64), offset) if len(offset) else count
+    of_word, offset = place[of_word[kept]], np.cumsum(left) - left
+    per_word = left[word]
+    flat = of_word[_spread(offset[word], per_word)]
+    sentence_of = np.repeat(np.repeat(np.arange(len(sent_len)), sent_len), per_word)
     bag_of = np.repeat(np.arange(len(bag_len)), bag_len)
     first = np.concatenate(([0], np.cumsum(bag_len)[:-1]))
     theta = np.zeros(len(number) + 1)
@@ -116,7 +153,7 @@ def fit(bags: list[list[set[bytes]]], y: np.ndarray, weight: np.ndarray, most: i
         per_bag = np.where(y > 0, -np.minimum(odds_none, 1e6), 1.0) * scale
         dz = p * per_bag[bag_of]
         grad = np.append(np.bincount(flat, dz[sentence_of], len(number)), dz.sum())
-        grad[:-1] += decay * theta[:-1] / len(bags)
+        grad[:-1] += decay * theta[:-1] / len(y)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         theta -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -138,11 +175,11 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(known.where(pick)), "id").select("id", "y", "text")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[bytes, bytes] = {}
-        bags, y = [], []
+        bags, y = Bags(), []
         for batch in batches:
             y += batch.column(1).to_pylist()
-            bags += [sentences(t.as_py(), names) for t in batch.column(2)]
+            for t in batch.column(2):
+                bags.add(t.as_py())
         seen = Counter(y)
         model = fit(bags, np.array(y, float), np.array([sizes[k] / seen[k] for k in y]))
         yield pa.record_batch({"feature": pa.array([None, *model.weights], pa.binary()), "weight": pa.array([model.bias, *model.weights.values()], pa.float64())})
