@@ -24,9 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch: 10,000 texts, the default, take tens of MB in the JVM and again in the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it again; cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -55,6 +63,7 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int =
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,4 +80,5 @@ def keep_rows(df: DataFrame, column: str, build: Callable[[], Callable[[list], l
                 if kept.num_rows:
                     yield kept
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)

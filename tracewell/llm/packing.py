@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import small_batches, table
 
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -47,7 +47,7 @@ class WordTokenizer:
     cache is emptied at ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -238,7 +238,9 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = Non
                 nbytes += n + 1
         if now is not None:
             yield from done(now)
+        encode.words.clear()  # the worker lives on
 
+    small_batches(docs.sparkSession)
     return dealt.mapInArrow(run, SCHEMA)
 
 

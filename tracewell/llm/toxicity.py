@@ -68,6 +68,10 @@ class Model:
     def __reduce__(self) -> tuple:
         return Model, (self.bias, self.weights)
 
+    def fresh(self) -> Model:
+        """The same model without remembered words, for one task: workers keep broadcast values."""
+        return Model(self.bias, self.weights)
+
     def logits(self, bag: list[set[bytes]]) -> list[float]:
         get, b = self.sums.__getitem__, self.bias
         return [b + sum(map(get, s)) for s in bag]
@@ -210,7 +214,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared.value.fresh()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -229,7 +233,12 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return keep_rows(docs, text, lambda: lambda texts: (shared.value.scores(texts)[0] < threshold).tolist())
+
+    def build():
+        m = shared.value.fresh()
+        return lambda texts: (m.scores(texts)[0] < threshold).tolist()
+
+    return keep_rows(docs, text, build)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
