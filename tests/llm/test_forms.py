@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import struct
 import zlib
@@ -241,6 +242,14 @@ def test_wrapper_query(spark):
     assert wrappers.extract_main(none, wrappers.infer_wrappers(none)).count() == 0
 
 
+def test_host_of_many_copies_has_a_wrapper(spark):
+    """Sixteen different pages in 20,000 rows of one host: its notices are found as if there were no copies."""
+    few = spark.createDataFrame([(k, page(k, 3)) for k in range(16)], "k long, html string")
+    pages = spark.range(20_000).selectExpr("least(id, 15L) AS k").join(few, "k").selectExpr("'http://h/' AS url", "html")
+    specs = wrappers.infer_wrappers(pages).collect()
+    assert len(specs) == 1 and json.loads(specs[0].wrapper)["notices"] == ["Sign up for our paper."]
+
+
 # --- Jaccard join ---------------------------------------------------------------------------
 
 
