@@ -250,6 +250,24 @@ def test_host_of_many_copies_has_a_wrapper(spark):
     assert len(specs) == 1 and json.loads(specs[0].wrapper)["notices"] == ["Sign up for our paper."]
 
 
+def test_wrapper_is_of_all_pages(spark):
+    """A rare template neither empties the other's notices nor goes without its own; five pages of a host are enough."""
+    other = "<html><body><section class='plain'><h2>Other {k}</h2><ul><li>Entry {k} of a long list of other things that are told at some length here</li></ul><p>Another entry {k} that is told at length</p><p>Call our desk.</p></section></body></html>"
+    rows = [("http://h/", page(k, 3)) for k in range(300)] + [("http://h/", other.replace("{k}", str(k))) for k in range(6)] + [("http://five/", page(k, 3)) for k in range(5)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    found = {r.host: json.loads(r.wrapper) for r in wrappers.infer_wrappers(pages).collect()}
+    again = {r.host: json.loads(r.wrapper) for r in wrappers.infer_wrappers(pages.repartition(7)).collect()}
+    assert found == again and found["h"]["notices"] == ["Call our desk.", "Sign up for our paper."] and found["five"]["notices"] == ["Sign up for our paper."]
+    assert "section.plain" in wrappers.expression(wrappers.Wrapper(found["h"]).root)
+
+
+def test_counts_keep_what_is_on_most_pages():
+    counts = wrappers.Counts()
+    for k in range(5000):
+        counts.add([f"own {k}", *(["most"] if k % 50 else []), *(["half"] if k % 2 else []), *(["late"] if k > 200 else [])], 1000)
+    assert counts.notices(4) == ["late", "most"] and len(counts.texts) < 100 and 4900 - 250 <= counts.texts["most"] <= 4900
+
+
 # --- Jaccard join ---------------------------------------------------------------------------
 
 

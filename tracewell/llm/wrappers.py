@@ -1,15 +1,17 @@
 """Main text of web pages by wrapper inference.
 
-A page becomes a tree of block elements with text slots (inline markup belongs to the text). The token streams of some pages of a
-host are aligned one after the other: equal neighbours become a repeated group, what only some pages
+A page becomes a tree of block elements with text slots (inline markup belongs to the text). The token streams of all different pages
+of a host are aligned one after the other: equal neighbours become a repeated group, what only some pages
 have becomes an optional group, text that differs becomes a slot. The result is a union-free regular
 expression over tags (:func:`expression` prints it), the host's wrapper. The wrapper's content element is
-the one that holds the main text of most of the pages; short blocks within it whose text is the same on all
-pages are notices. Every page is then matched against its host's wrapper; where that finds no
-content element, the page's own structure decides.
-
-Wrappers are fitted on at most ``per_host`` pages of a host, those with the smallest hashes, one in each hash slot; all
-pages are extracted. Cases: null or empty html gives an empty text; a null URL has the empty host; broken and
+the one that holds the main text of most of the pages. Pages of a host whose content elements have one path are of one
+template; short blocks within them whose text is the same on nearly all pages of a template are its notices. Every page is
+then matched against its host's wrapper; where that finds no content element, the page's own structure decides.
+
+Wrappers are fitted on all pages; copies count once. Each page is reduced to its outline before a shuffle. Outlines
+of a host are dealt to ``buckets`` by their hashes and stream through in a fixed order, so neither the order of rows nor the
+partitions change a wrapper. A task holds wrappers and, per template, counts of texts that lag at most ``LAG`` of
+its pages behind. Cases: null or empty html gives an empty text; a null URL has the empty host; broken and
 truncated markup is closed at the end; repeated rows give equal rows; an empty table gives none.
 """
 
@@ -18,8 +20,9 @@ from __future__ import annotations
 import html as htmllib
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -182,6 +185,13 @@ class Page:
                 best = e
         return best
 
+    def path(self, e: int) -> str:
+        keys = []
+        while e > 0:
+            keys.append(self.key[e])
+            e = self.parent[e]
+        return "/".join(reversed(keys))
+
     def text(self, root: int, skip: frozenset = frozenset()) -> str:
         """Blocks within an element; if it is the whole page, blocks that are mostly links are menus."""
         last = self.last[root]
@@ -247,7 +257,9 @@ def merge(a: Node, b: Node) -> Node:
     """Align the children of two elements of one key; what only one has becomes optional."""
     out: list = []
     left, right = a.children, b.children
-    for op, i, j, k, m in SequenceMatcher(None, [_key(c) for c in left], [_key(c) for c in right], autojunk=False).get_opcodes():
+    keys, others = [_key(c) for c in left], [_key(c) for c in right]
+    same = [("equal", 0, len(left), 0, len(right))]
+    for op, i, j, k, m in same if keys == others else SequenceMatcher(None, keys, others, autojunk=False).get_opcodes():
         if op == "equal":
             for x, y in zip(left[i:j], right[k:m], strict=True):
                 if isinstance(x, Node):
@@ -271,28 +283,95 @@ def expression(node: Node) -> str:
     return f"({whole}){mark}" if mark else whole
 
 
-def infer(sources: list[str], least: int = 4) -> dict | None:
-    """A host's wrapper from some pages: its content element's path and the notices in it; None without pages."""
-    pages = [Page(s) for s in dict.fromkeys(sources)]
-    pages = [p for p in pages if p.blocks]
-    if not pages:
+#: Texts on this share of a template's pages are its notices; counts may be short by the share LAG.
+NOTICE, LAG = 0.95, 0.05
+
+
+def outline(source: str) -> tuple[str, str, list[str], int] | None:
+    """A page's template (path of its content element), its tree (JSON), the short blocks of its content, and the length of its text."""
+    page = Page(source)
+    if not page.blocks:
         return None
-    roots = [p.content() for p in pages]
-    wrapper = None
-    for p, r in zip(pages, roots, strict=True):
-        t = tree(p, r)
-        wrapper = t if wrapper is None else merge(wrapper, t)
-    # Blocks of the content elements that all of enough different pages share.
-    inside = [{t for e, t, _ in p.blocks if r <= e <= p.last[r] and p.name[e] not in _HEADINGS and len(t) < 200} for p, r in zip(pages, roots, strict=True)]
-    notices = sorted(set.intersection(*inside)) if len(pages) >= least else []
-    if any(5 * sum(map(len, notices)) > len(p.text(r)) for p, r in zip(pages, roots, strict=True)):
-        notices = []  # copies of one page share what is no notice
-    return {"wrapper": wrapper.dump(), "notices": notices}
+    root = page.content()
+    inside = {t for e, t, _ in page.blocks if root <= e <= page.last[root] and page.name[e] not in _HEADINGS and len(t) < 200}
+    return page.path(root), json.dumps(tree(page, root).dump(), separators=(",", ":")), sorted(inside), len(page.text(root))
+
+
+class Counts:
+    """On how many pages of a template each text stands, by lossy counting: short by ``LAG`` of the pages at most, exact up to 1 / LAG pages."""
+
+    def __init__(self, n: int = 0, size: int = 0, texts: dict | None = None) -> None:
+        self.n, self.size, self.texts, self.low = n, size, texts or {}, {}
+
+    def add(self, texts: Iterable[str], size: int) -> None:
+        self.n, self.size = self.n + 1, self.size + size
+        window = int((self.n - 1) * LAG)  # what a text may have missed and been dropped with
+        for t in texts:
+            if t in self.texts:
+                self.texts[t] += 1
+            else:
+                self.texts[t], self.low[t] = 1, window
+        if int(self.n * LAG) > window:
+            for t in [t for t, c in self.texts.items() if c + self.low[t] <= window + 1]:
+                del self.texts[t], self.low[t]
+
+    def join(self, other: Counts) -> None:
+        self.n, self.size = self.n + other.n, self.size + other.size
+        for t, c in other.texts.items():
+            self.texts[t] = self.texts.get(t, 0) + c
+
+    def notices(self, least: int) -> list[str]:
+        found = sorted(t for t, c in self.texts.items() if c >= (NOTICE - LAG) * self.n) if self.n >= least else []
+        return found if 5 * self.n * sum(map(len, found)) <= self.size else []  # near copies of one page share what is no notice
+
+
+class Host:
+    """What some pages of a host have in common; ``join`` adds other pages of it."""
+
+    def __init__(self) -> None:
+        self.wrapper: Node | None = None
+        self.counts: dict[str, Counts] = {}
+
+    def add(self, template: str, node: Node, texts: Iterable[str], size: int) -> None:
+        self.wrapper = node if self.wrapper is None else merge(self.wrapper, node)
+        self.counts.setdefault(template, Counts()).add(texts, size)
+
+    def dump(self) -> str:
+        return json.dumps([self.wrapper.dump(), {k: [c.n, c.size, c.texts] for k, c in self.counts.items()}])
+
+    def join(self, part: str) -> None:
+        node, counts = json.loads(part)
+        node = Node.load(node)
+        self.wrapper = node if self.wrapper is None else merge(self.wrapper, node)
+        for k, c in counts.items():
+            self.counts.setdefault(k, Counts()).join(Counts(*c))
+
+    def spec(self, least: int = 4) -> dict:
+        templates = {k: found for k, c in sorted(self.counts.items()) if (found := c.notices(least))}
+        return {"wrapper": self.wrapper.dump(), "notices": sorted({t for found in templates.values() for t in found}), "templates": templates}
+
+
+def infer(sources: list[str], least: int = 4) -> dict | None:
+    """A host's wrapper from its pages, and the notices of its templates; None without pages."""
+    host = Host()
+    for template, node, texts, size in filter(None, map(outline, dict.fromkeys(sources))):
+        host.add(template, Node.load(json.loads(node)), texts, size)
+    return host.spec(least) if host.wrapper else None
 
 
 class Wrapper:
     def __init__(self, spec: dict) -> None:
-        self.root, self.notices = Node.load(spec["wrapper"]), frozenset(spec["notices"])
+        self.root, self.notices = Node.load(spec["wrapper"]), {k: frozenset(t) for k, t in spec["templates"].items()}
+        #: Per wrapper element: its children, and where each key stands among them.
+        self._options: dict[int, tuple[list[Node], dict[str, list[int]]]] = {}
+
+    def options(self, node: Node) -> tuple[list[Node], dict[str, list[int]]]:
+        if id(node) not in self._options:
+            children, at = [c for c in node.children if isinstance(c, Node)], {}
+            for j, c in enumerate(children):
+                at.setdefault(c.key, []).append(j)
+            self._options[id(node)] = children, at
+        return self._options[id(node)]
 
     def content(self, page: Page) -> int | None:
         """The page's element that stands at the wrapper's content element; None if the page has none there."""
@@ -311,11 +390,13 @@ class Wrapper:
             node, i = at[e], 0
             if node.content:
                 found[e] = node.content
-            options = [c for c in node.children if isinstance(c, Node)]
+            options, places = self.options(node)
             for child in children.get(e, ()):
-                match = next((j for j in range(i, len(options)) if options[j].key == page.key[child]), None)
-                if match is None:
+                known = places.get(page.key[child], ())
+                k = bisect_left(known, i)
+                if k == len(known):
                     continue  # not in the wrapper
+                match = known[k]
                 i = match if options[match].repeated else match + 1
                 at[child] = options[match]
                 todo.append(child)
@@ -334,7 +415,8 @@ def extract(source: str | None, wrapper: Wrapper | None) -> str:
     own = page.content()
     if root is None or root != own and not page.text(root):
         root = own
-    skip = frozenset(i for i, (_, t, _) in enumerate(page.blocks) if t in wrapper.notices) if wrapper and wrapper.notices else frozenset()
+    notices = wrapper.notices.get(page.path(own)) if wrapper and wrapper.notices else None
+    skip = frozenset(i for i, (_, t, _) in enumerate(page.blocks) if t in notices) if notices else frozenset()
     return page.text(root, skip) or page.text(own)
 
 
@@ -343,41 +425,72 @@ def host_of(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", per_host: int = 8) -> DataFrame:
-    """``host, wrapper`` (JSON), each from at most ``per_host`` pages; the sample is aggregated before the shuffle."""
-    rows = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).where(F.length("html") > 0)
-    rows = rows.withColumn("h", F.xxhash64("html"))
-    sample = rows.groupBy("host", F.pmod("h", F.lit(per_host)).alias("slot")).agg(F.min_by("html", "h").alias("html"))
+def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", buckets: int = 16) -> DataFrame:
+    """``host, wrapper`` (JSON), each from all different pages of the host. Outlines are shuffled, not pages; one host's are spread over ``buckets``."""
+    rows = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).where(F.length("html") > 0).withColumn("h", F.xxhash64("html"))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                found = [(i, *o) for i, source in enumerate(batch.column(1).to_pylist()) if (o := outline(source))]
+                at_row, template, node, texts, size = zip(*found, strict=True) if found else ((),) * 5
+                kept = batch.take(pa.array(at_row, pa.int64()))
+                yield pa.record_batch({"host": kept.column(0), "h": kept.column(2), "template": pa.array(template, pa.string()), "node": pa.array(node, pa.string()), "texts": pa.array(texts, pa.list_(pa.string())), "size": pa.array(size, pa.int64())})
+
+    outlines = rows.mapInArrow(reduce, "host string, h long, template string, node string, texts array<string>, size long")
+    dealt = outlines.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")).repartition("host", "bucket").sortWithinPartitions("host", "bucket", "h")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def part() -> pa.RecordBatch:
+            return pa.record_batch({"host": pa.array([at[0]], pa.string()), "bucket": pa.array([at[1]], pa.int32()), "part": pa.array([host.dump()], pa.string())})
+
+        at, last, host = None, None, Host()
+        for batch in batches:
+            for name, h, template, node, texts, size, bucket in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (name, bucket) != at:
+                    if at:
+                        yield part()
+                    at, last, host = (name, bucket), None, Host()
+                if h != last:  # copies count once
+                    host.add(template, Node.load(json.loads(node)), texts, size)
+                last = h
+        if at:
+            yield part()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        spec = infer(pdf.sort_values("slot")["html"].tolist())
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(spec) if spec else None]})
+        host = Host()
+        for part in pdf.sort_values("bucket")["part"]:
+            host.join(part)
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(host.spec())]})
 
-    return sample.groupBy("host").applyInPandas(fit, "host string, wrapper string")
+    return dealt.mapInArrow(align, "host string, bucket int, part string").groupBy("host").applyInPandas(fit, "host string, wrapper string")
 
 
 def extract_main(pages: DataFrame, wrappers: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", salts: int = 16) -> DataFrame:
-    """``page_id, url, text`` of every page; hosts are salted, since one may have a third of all pages."""
+    """``page_id, url, text`` of every page; hosts are salted, since one may have a third of all pages. A wrapper is read once per salt, then its pages stream past it."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(salts)).cast("int"))
-    spread = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = rows.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper")
+    rows = rows.select("host", F.pmod(F.xxhash64("html", "page_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("page"), "page_id", "url", "html")
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("page_id", "long"), ("url", rows.schema["url"].dataType))]
+    heads = wrappers.select("host", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("page"), *none, F.col("wrapper").alias("html"))
+    dealt = heads.unionByName(rows).repartition("host", "salt").sortWithinPartitions("host", "salt", "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Wrapper] = {}
+        at, wrapper = None, None
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                out = []
-                for source, spec in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    if spec is not None and spec not in known:
-                        if len(known) > 200:
-                            known.clear()
-                        known[spec] = Wrapper(json.loads(spec))
-                    out.append(extract(source, known.get(spec)))
-                yield pa.record_batch({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(out, pa.string())})
-
-    return joined.mapInArrow(run, "page_id long, url string, text string")
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                out, kept = [], []
+                for i, (host, page, source) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                    if page == 0:
+                        at, wrapper = host, Wrapper(json.loads(source))
+                        continue
+                    kept.append(i)
+                    out.append(extract(source, wrapper if host == at else None))
+                rest = batch.select([3, 4]).take(pa.array(kept, pa.int64()))
+                yield pa.record_batch({"page_id": rest.column(0), "url": rest.column(1).cast(pa.string()), "text": pa.array(out, pa.string())})
+
+    return dealt.mapInArrow(run, "page_id long, url string, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
