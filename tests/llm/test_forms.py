@@ -213,6 +213,18 @@ def test_main_text(source, expected):
     assert wrappers.extract(source, None) == expected
 
 
+def test_deep_pages():
+    """Elements of any depth are closed by their own end tags, and dropped ones are dropped."""
+    deep = "<div>" * 200 + "in" + "</div>" * 200
+    source = f"<div><article>{deep}<p>rest</p></article></div><p>after the article</p>"
+    assert wrappers.extract(source, None) == "in\n\nrest"
+    assert wrappers.extract(source, wrappers.Wrapper(wrappers.infer([source, source.replace("rest", "end")]))) == "in\n\nrest"
+    nested = "<article>" + "<div>" * 200 + "<nav>menu</nav><div class=comments>c</div><p>text</p>" + "</div>" * 200 + "<p>rest</p></article>"
+    assert wrappers.extract(nested, None) == "text\n\nrest"
+    far = "<div>" * 5000 + "<article><header><p>T</p></header><p>x</p></article>" + "</p></b></section>" * 5000 + "</div>" * 5000
+    assert wrappers.extract(far, wrappers.Wrapper(wrappers.infer([far, far.replace("x", "y")]))) == "T\n\nx"
+
+
 def page(k, items, extra=""):
     rows = "".join(f"<p>Paragraph {k} {i} of a story that goes on and on for a while</p>" for i in range(items))
     return f"<html><body><div class='top'><a href='/'>Home</a></div><div class='story'><h1>Title {k}</h1>{rows}<p>Sign up for our paper.</p>{extra}</div><div class='end'>Copyright</div></body></html>"

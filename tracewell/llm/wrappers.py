@@ -56,10 +56,12 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 class Page:
     """Block elements in page order (0 is the root) and the text blocks between their tags."""
 
-    __slots__ = ("blocks", "dropped", "key", "last", "name", "parent", "prior")
+    __slots__ = ("blocks", "dropped", "heads", "key", "last", "name", "parent", "prior")
 
     def __init__(self, source: str) -> None:
         self.name, self.parent, self.key, self.dropped, self.prior, self.last = ["#root"], [-1], ["#root"], [False], [0], [0]
+        #: Whether an element is an article or main, or within one.
+        self.heads = [False]
         #: (element, text, share of it in links)
         self.blocks: list[tuple[int, str, float]] = []
         self._read(source)
@@ -76,11 +78,9 @@ class Page:
             if structural:
                 drop = bool(hit & {"comment", "comments", "reply", "related", "recommended", "ad", "ads", "advert", "sponsored", "promo"})
         if name == "header" and not drop:  # a site's header, unless it heads an article
-            at = parent
-            while at > 0 and self.name[at] not in ("article", "main"):
-                at = self.parent[at]
-            drop = at <= 0
+            drop = not self.heads[parent]
         self.name.append(name)
+        self.heads.append(self.heads[parent] or name in ("article", "main"))
         self.parent.append(parent)
         self.key.append(name + ("." + re.sub(r"\d+", "0", " ".join(sorted(classes.split()))) if classes else ""))
         self.dropped.append(drop)
@@ -90,7 +90,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, at, buffer, links, in_link, hidden = [0], 0, [], 0, False, 0
-        blocks, name_of = self.blocks, self.name
+        blocks, name_of, opened = self.blocks, self.name, Counter()
 
         def text(raw: str) -> None:
             nonlocal links
@@ -112,6 +112,7 @@ class Page:
         def close(n: int) -> None:
             while len(stack) > n:
                 e = stack.pop()
+                opened[name_of[e]] -= 1
                 self.last[e] = len(name_of) - 1
 
         end = len(source)
@@ -143,10 +144,11 @@ class Page:
                 continue
             flush()
             if closing:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if name_of[stack[depth]] == name:
-                        close(depth)
-                        break
+                if opened[name]:
+                    depth = len(stack) - 1
+                    while name_of[stack[depth]] != name:
+                        depth -= 1
+                    close(depth)
                 in_link = False
                 continue
             # A block element ends an open paragraph, and an item ends the one before it.
@@ -155,8 +157,9 @@ class Page:
             for other in _CLOSES.get(name, ()):
                 if name_of[stack[-1]] == other:
                     close(len(stack) - 1)
-            if name not in _VOID and len(stack) < 150:  # deeper elements belong to the one at that depth
+            if name not in _VOID:
                 stack.append(self._open(name, attrs, stack[-1]))
+                opened[name] += 1
         flush()
         close(0)
 
@@ -223,9 +226,18 @@ def _key(c) -> str:
     return c.key if isinstance(c, Node) else "#text"
 
 
+DEEPEST = 150
+
+
 def tree(page: Page, content: int) -> Node:
-    """The page as a wrapper of its own, equal neighbours folded into repeated groups; dropped elements are left out."""
+    """The page as a wrapper of its own, equal neighbours folded into repeated groups; dropped elements are left out.
+
+    Elements below ``DEEPEST`` are not part of wrappers (whose functions are recursive); a content element there is found by its page's own structure.
+    """
     nodes = [Node(k) for k in page.key]
+    level = [0] * len(nodes)
+    for e in range(1, len(nodes)):
+        level[e] = level[page.parent[e]] + 1
     nodes[content].content = 1
     texts: dict[int, list] = {}
     for i, (e, _, _) in enumerate(page.blocks):
@@ -233,7 +245,7 @@ def tree(page: Page, content: int) -> Node:
     for e in range(len(nodes) - 1, -1, -1):  # children come after their parents, so from the end
         own = [_slot(page.blocks[i][1]) for i in texts.get(e, ())]
         nodes[e].children = fold([*own, *nodes[e].children[::-1]])
-        if e and not page.dropped[e]:
+        if e and not page.dropped[e] and level[e] < DEEPEST:
             nodes[page.parent[e]].children.append(nodes[e])
     return nodes[0]
 
@@ -382,9 +394,9 @@ class Wrapper:
         at, found, todo = {0: self.root}, Counter(), [0]
         size = Counter()
         for e, t, _ in page.blocks:
-            while e >= 0:
-                size[e] += len(t)
-                e = page.parent[e]
+            size[e] += len(t)
+        for e in range(len(page.name) - 1, 0, -1):
+            size[page.parent[e]] += size[e]
         while todo:
             e = todo.pop()
             node, i = at[e], 0
