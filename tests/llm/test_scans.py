@@ -106,6 +106,18 @@ def test_decontamination_by_brute_force(spark, block_bytes):
     assert clean == {r.doc_id for r in found if not r.spans}
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_decontamination_keeps_rows_apart(spark, block_bytes):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abc", k=rng.randrange(40))) for _ in range(30)] * 2
+    ids = [None if k % 3 == 0 else k % 5 for k in range(len(texts))]
+    items = [(i, " ".join(rng.choices("abc", k=rng.randrange(9)))) for i in range(20)]
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    found = decontam.decontaminate(rows, spark.createDataFrame(items, "item_id long, text string"), 5, block_bytes).collect()
+    expected = [(str(i), *r) for i, r in zip(ids, brute(texts, items, 5), strict=True)]
+    assert sorted((str(r.doc_id), r.n_words, sum(s.stop - s.start for s in r.spans), list(r["items"])) for r in found) == sorted(expected)
+
+
 def test_decontamination_table_cases(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(docs(spark, AWKWARD), none).where("size(spans) > 0").count() == 0

@@ -6,14 +6,16 @@ two words tells how far the scan may jump, the hash bucket of a pattern's last b
 patterns to try, and comparing words confirms an occurrence.
 
 The patterns go to the executors in blocks of at most ``block_bytes`` of benchmark text; several blocks
-mean several scans whose spans are merged, so nothing grows with the benchmark. Cases: null
-or empty texts and items have no words; repeated items count once per item_id; a null item_id
+mean several scans whose spans are merged by row, so nothing grows with the benchmark. Cases: null
+or empty texts and items have no words; there is one row per input row, whatever the number of blocks, also of rows that
+repeat a doc_id or have none; repeated items count once per item_id; a null item_id
 is dropped from the id list; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import keep_rows, table
+from ._spark import keep_rows, materialize, table
 from ._text import fold_words
 
 B = 2
@@ -92,8 +94,9 @@ SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,stop:long>>,
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def scan(docs: DataFrame, items: list[tuple[object, str | None]], window: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document with its hit spans and items (strings) for one block of the benchmark."""
+def scan(docs: DataFrame, items: list[tuple[object, str | None]], window: int, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per input row with its hit spans and items (strings) for one block of the benchmark, and its key ``row`` if that is given."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.col(row).cast("long").alias("row")] if row else []))
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +111,10 @@ def scan(docs: DataFrame, items: list[tuple[object, str | None]], window: int, d
                     n.append(len(words))
                     spans.append([{"start": a, "stop": b} for a, b in s])
                     ids.append(sorted(str(x) for x in i if x is not None))
-                yield pa.record_batch({"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(ids, pa.list_(pa.string()))})
+                found_here = {"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(ids, pa.list_(pa.string()))}
+                yield pa.record_batch(found_here | ({"row": batch.column(2)} if row else {}))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA + (", row long" if row else ""))
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int, item_id: str, item_text: str) -> Iterator[list[tuple[object, str | None]]]:
@@ -137,15 +141,18 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_by
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: n_words, merged hit ``spans`` (words, half-open) and the sorted ``items`` that occur."""
-    parts = [scan(docs, items, window, doc_id, text) for items in blocks_of(benchmark, block_bytes, item_id, item_text)]
-    if len(parts) == 1:
-        return parts[0]
-    # One row per document and block; rows that repeat a doc_id become one here.
-    all_parts = parts[0]
-    for p in parts[1:]:
-        all_parts = all_parts.unionByName(p)
-    merged = all_parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    """Per row of docs: doc_id, n_words, merged hit ``spans`` (words, half-open) and the sorted ``items`` that occur."""
+    blocks = blocks_of(benchmark, block_bytes, item_id, item_text)
+    first, second = next(blocks), next(blocks, None)
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if second is None:
+        return scan(docs, first, window)
+    # The key of a row is written once, so that all blocks' scans see the same.
+    keyed = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "keyed")
+    all_parts = scan(keyed, first, window, row="row")
+    for items in itertools.chain([second], blocks):
+        all_parts = all_parts.unionByName(scan(keyed, items, window, row="row"))
+    merged = all_parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = F.expr(
         "aggregate(s, cast(array() as array<struct<start:long,stop:long>>), (acc, x) -> "
         "if(size(acc) > 0 and x.start <= acc[size(acc) - 1].stop, "
