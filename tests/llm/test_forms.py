@@ -111,6 +111,16 @@ def test_warc_reads_what_it_wrote(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_writes_rows_without_id(spark):
+    body = "<p>the same page</p>" * 20
+    rows = [(None, "http://a/", "alone"), (None, None, None), (None, "http://b/", body), (5, "http://c/", body), (None, "http://b/", body), (None, None, "x" * 300), (None, "http://d/", "x" * 300)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    found = warc.read_archives(archives).collect()
+    assert len(found) == len(rows) and not [r for r in found if r.error] and sorted(str(r.page_id) for r in found) == ["5"] + ["None"] * 6
+    assert sorted(r.target_uri for r in found if r.refers_to == 5) == ["http://b/"] * 2 and sorted(r.payload_bytes for r in found) == [0, 5, 300, 300] + [len(body)] * 3
+    assert all(r.record_type == "response" for r in found if r.payload_bytes != len(body))
+
+
 def test_warc_dictionary_frames_and_validation():
     record = warc.build_record(4, "http://x/", b"abc" * 50, hashlib.sha256(b"abc" * 50).hexdigest(), None)
     words = zstandard.train_dictionary(1024, [f"<p>{i} some text of a page {i * i}</p>".encode() * 4 for i in range(400)])

@@ -4,7 +4,8 @@
 ``read_archives`` decodes them again: it loads the dictionary from the leading skippable
 frame, decodes one frame per record and validates headers, lengths and digests.
 
-Cases: a null payload is empty; a null URL is written as ``urn:page:<id>``; payloads under
+Cases: a null payload is empty; a null URL is written as ``urn:page:<id>``; a row without a page_id is a record as
+well, its id made from URL and digest (page_id is null on reading), and :func:`query` alone leaves such records out, as its SQL does; payloads under
 ``min_dedup_bytes`` are never revisits; rows that repeat the smallest id of equal payloads are
 responses too; an empty table gives no archives. Columns that are not named are ignored.
 """
@@ -36,21 +37,23 @@ def record_id(page_id: int) -> str:
     return f"<urn:uuid:{uuid.UUID(int=page_id % (1 << 64))}>"
 
 
-def page_of(rid: str) -> int:
+def page_of(rid: str) -> int | None:
+    """The page of a record id; None if that was made from URL and digest."""
     n = uuid.UUID(rid.strip("<>")).int
-    return n - (1 << 64) if n >> 63 else n
+    return None if n >> 64 else n - (1 << 64) if n >> 63 else n
 
 
-def build_record(page_id: int, uri: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
+def build_record(page_id: int | None, uri: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
     """One WARC/1.1 record; a revisit where first is another page's id."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     revisit = first is not None and first != page_id
     block = http if revisit else http + payload
-    uri = "".join(uri.split()) if uri and uri.strip() else f"urn:page:{page_id}"
+    own = record_id(page_id) if page_id is not None else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{uri} {digest}')}>"
+    uri = "".join(uri.split()) if uri and uri.strip() else f"urn:page:{page_id}" if page_id is not None else own.strip("<>")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {own}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -170,10 +173,10 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     """
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(body, "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).where("page_id IS NOT NULL")
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
     firsts = rows.where(F.length("payload") >= min_dedup_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = firsts.select(F.col("digest").alias("d2"), "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt2"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.coalesce("page_id", F.monotonically_increasing_id())), F.lit(salts)).cast("int"))
     rows = rows.join(firsts, (F.col("digest") == F.col("d2")) & (F.col("salt") == F.col("salt2")), "left").select("page_id", "url", "payload", "digest", "first")
     trained = train_dictionary(pages, html)
 
@@ -228,7 +231,7 @@ def read_archives(archives: DataFrame, archive: str = "archive", payloads: bool
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = materialize(write_archives(table(spark, sf_dir, "pages")), "warc")
     records = read_archives(archives, payloads=False)
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    return records.where("page_id IS NOT NULL OR error IS NOT NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
 SQL = """
