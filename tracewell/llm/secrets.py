@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from ._spark import materialize, table
 
 #: Candidates: key blocks, assignments to telling names, credentials in URLs, and long runs with a digit.
-BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+#: A key block goes up to its END line, or, where that is missing, to the end of its base64 lines.
+HEAD = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+BLOCK = HEAD + r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:(?:\s|\\[nr])*+(?:[A-Za-z0-9+/]{40,}+={0,2}+|[A-Za-z0-9+/]++={1,2}+|(?=[A-Za-z+/]*+[0-9])[A-Za-z0-9+/]{16,}+))*+)"
 KEYED = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;]{6,}"
-URL = r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{3,128}@"
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+URL = r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]++:[^\s/@]{3,}+@"
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = f"{BLOCK}|{KEYED}|{URL}|{RUN}"
 
 #: Words of the dictionary feature, and of the neighbour and path features (fixed values).
@@ -169,7 +171,7 @@ def labelled_findings(spark: SparkSession, n: int = 5600) -> DataFrame:
     shapes = [  # value, words before, keyed, secret
         (F.substring(h, 1, 18), "password=", 1, 1), (F.substring(h, 1, 40), 'token = "', 1, 1), (F.concat(F.lit("AKIA"), upper), "key", 0, 1), (F.substring(m, 1, 40), "secret", 0, 1),
         (F.concat(F.lit("ghp_"), F.substring(m, 1, 36)), "use", 0, 1), (F.concat(F.lit("AKIA"), upper), "the of", 0, 1), (F.substring(m, 1, 24), "api_key: ", 1, 1), (F.concat(F.lit("sk-"), F.substring(m, 2, 40)), "in", 0, 1),
-        (F.lit("-----BEGIN RSA PRIVATE KEY-----"), "", 0, 1), (F.concat(F.substring(m, 3, 7), F.lit("!"), F.substring(h, 5, 5)), "pwd: ", 1, 1), (F.substring(m, 5, 12), "password: ", 1, 1),
+        (F.when(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(2)) == 0, F.lit("-----BEGIN RSA PRIVATE KEY-----")).otherwise(F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat(F.concat(F.substring(m, 1, 64), F.lit("\n")), 12), F.lit("-----END RSA PRIVATE KEY-----"))), "", 0, 1), (F.concat(F.substring(m, 3, 7), F.lit("!"), F.substring(h, 5, 5)), "pwd: ", 1, 1), (F.substring(m, 5, 12), "password: ", 1, 1),
         (F.concat_ws("_", word(1), word(2), word(3)), "password=", 1, 0), (F.concat(word(1), number), "token=", 1, 0), (F.concat(prose, F.lit("ing")), "secret: ", 1, 0), (F.substring(h, 1, 40), "commit", 0, 0),
         (uuid, "id", 0, 0), (F.substring(h, 1, 32), "md5", 0, 0), (h, "sha256 checksum", 0, 0), (F.concat_ws("-", word(1), word(2), word(3), word(4), number), "see", 0, 0),
         (F.concat(F.lit("2024/01/"), number, F.lit("/"), prose), "the", 0, 0), (F.concat(number, number, number, number, number, number), "order", 0, 0), (F.concat(F.lit("20240101T000000-"), number), "at", 0, 0),
