@@ -359,3 +359,50 @@ def test_jaccard_table_cases(spark):
     found = jaccard.classes(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in found) == [(0, 2, 7), (3, 0, 3), (7, 2, 7), (7, 2, 7)]
     assert len(shingle_hashes("a b c d e f", 5)) == 2
+
+
+def test_jaccard_links_through_rows_without_id(spark):
+    """Rows 1 and 3 are linked by a third only, whatever its id."""
+    w = [f"w{i}" for i in range(36)]
+    one, middle, three = " ".join(w[:32]), " ".join(w[1:33]), " ".join(w[2:34])
+    assert [x[1] for x in brute_classes([one, middle, three])] == [0, 0, 0]
+    for extra in (None, 5):
+        rows = [(1, one, None, None, 0, 0, 0, 0.0), (extra, middle, None, None, 0, 0, 0, 0.0), (extra, middle, None, None, 0, 0, 0, 0.0), (3, three, None, None, 0, 0, 0, 0.0), (None, " ", None, None, 0, 0, 0, 0.0), (None, " ", None, None, 0, 0, 0, 0.0)]
+        table = spark.createDataFrame(rows, SCHEMA)
+        assert sorted(str(r.component_id) for r in jaccard.classes(table).collect()) == ["1"] * 4 + ["None"] * 2
+        kept = jaccard.keep_one(table).collect()
+        assert sorted((str(r.doc_id), r.text) for r in kept) == [("1", one), ("None", " "), ("None", " ")]
+    alone = spark.createDataFrame([(None, middle, None, None, 0, 0, 0, 0.0)] * 3 + [(8, "x y", None, None, 0, 0, 0, 0.0)] * 3, SCHEMA)
+    assert sorted(str(r.doc_id) for r in jaccard.keep_one(alone).collect()) == ["8", "None"]
+
+
+def test_jaccard_columns_of_any_name(spark):
+    names = ["doc_id", "text", "key", "node", "doc", "g", "_row0", "_salt0", "label", "salt"]
+    table = spark.createDataFrame([(i, t, *"abcdefgh") for i, t in enumerate(["a b c d e f", "a b c d e f", None])], names)
+    assert sorted(r.doc_id for r in jaccard.keep_one(table).collect()) == [0, 2] and jaccard.keep_one(table).columns == names
+    assert jaccard.classes(table).count() == 3
+
+
+def test_sketch_widths_fold():
+    """Sketches of sets on both sides of a width bound the difference as well."""
+    from pyspark.sql import SparkSession
+
+    spark, rng = SparkSession.getActiveSession(), np.random.default_rng(3)
+    t, rows = jaccard.Threshold(), []
+    for n in (500, 511, 1000, 1023):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: n - 20], rng.integers(0, 1 << 63, 60, dtype=np.uint64))))
+        other = np.unique(rng.integers(0, 1 << 63, n + 40, dtype=np.uint64))
+        rows += [(len(a), jaccard.sketch(a).tolist(), len(x), jaccard.sketch(x).tolist(), same) for x, same in ((b, True), (other, False))]
+    table = spark.createDataFrame(rows, "n_a long, sketch_a array<long>, n_b long, sketch_b array<long>, same boolean")
+    assert all(r.near == r.same for r in table.selectExpr("same", f"{jaccard.near(t, 'n_a', 'sketch_a', 'n_b', 'sketch_b')} AS near").collect())
+
+
+def test_lookup_of_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from tracewell.llm._spark import lookup
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 5).cast("long").alias("key"), F.lit(1).alias("_salt0"))
+    found = lookup(rows, "key", spark.createDataFrame([(7, "x"), (3, "y")], "key long, v string"), ["id"], 3000).groupBy("v").count().collect()
+    assert {r.v: r["count"] for r in found} == {"x": 2000, "y": 200, None: 800}

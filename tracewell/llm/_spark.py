@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,30 +39,37 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
 
 
-def drop_materialized(df: DataFrame) -> None:
-    """Delete a table of :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.toString().rstrip("/").find("-") > 0:
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def drop_materialized(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more; what is not dropped goes when the driver ends."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 2048) -> Callable:
-    """An iterator function for ``mapInArrow`` that applies f to slices of at most that many rows."""
+def fresh(*taken: DataFrame, stem: str = "c") -> str:
+    """A column name that none of the tables has."""
+    names = {c.lower() for df in taken for c in df.columns}
+    return next(n for i in itertools.count() if (n := f"_{stem}{i}") not in names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = f(batch.slice(at, rows))
-                if out is not None and out.num_rows:
-                    yield out
 
-    return run
+def lookup(rows: DataFrame, key: str, values: DataFrame, by: list[str], n: int) -> DataFrame:
+    """Left join of rows with ``values``, which has each key once, where one key may have a third of the n rows.
+
+    Rows are salted by a hash of ``by``; first the distinct (key, salt) get their values, then the rows. Neither join sees
+    much more than the square root of n rows of one key.
+    """
+    salt = fresh(rows, values, stem="salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(max(1, math.isqrt(n)))).cast("int"))
+    found = salted.select(key, salt).distinct().join(values, key)
+    return salted.join(found, [key, salt], "left").drop(salt)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
