@@ -5,12 +5,14 @@ intact in any occurrence (pigeonhole); an automaton over all pieces finds them i
 and the regex library's bounded-error matching verifies the surroundings of each piece and gives the
 span and the edits. Exact phrases are found beside this by their words.
 
-Cases: null and empty texts have no words and no labels; repeated rows give equal rows; texts of any length
-are searched whole; a table without rows gives none.
+Cases: null and empty texts have no words and no labels; repeated rows give equal rows, also without a doc_id (which is
+then null); texts of any length are searched whole, in time linear in length and hits; of notices that tie for a place both
+stay; a table without rows gives none; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,7 +93,8 @@ class Notices:
                 lo, hi = max(start - k - 1, done, 0), start + len(notice) + k + 1
                 if hi <= lo:
                     continue
-                # Whole words: an edit must not be spent on the rest of a word that the window cuts.
+                # Whole words: an edit must not be spent on the rest of a word that the window cuts. A word that goes on
+                # for two lengths of the notice more is cut: no match, of its length and k at most, can reach that cut.
                 while lo > done and lo > 0 and words[lo - 1] != " ":
                     lo -= 1
                     if start - lo > 2 * len(notice):
@@ -105,16 +108,26 @@ class Notices:
                     out.append((a, b, label, sum(m.fuzzy_counts), len(notice)))
                     done = b
         # Variants of one notice match each other with a few edits: where most of a span overlaps a closer one, that stays.
-        return sorted(x for x in out if not any(y[3] < x[3] and 2 * (min(x[1], y[1]) - max(x[0], y[0])) > x[1] - x[0] for y in out))
+        out.sort()
+        starts = [x[0] for x in out]
+        longest = max((x[1] - x[0] for x in out), default=0)
+
+        def closer(x: tuple) -> bool:
+            near = out[bisect_left(starts, x[0] - longest) : bisect_left(starts, x[1])]
+            return any(y[3] < x[3] and 2 * (min(x[1], y[1]) - max(x[0], y[0])) > x[1] - x[0] for y in near)
+
+        return [x for x in out if not closer(x)]
 
 
 def phrase_starts(words: str) -> list[tuple[int, str]]:
     """Word numbers at which an exact phrase starts, and its label."""
     padded, out = f" {words} ", []
     for phrase, label in PHRASES.items():
-        at, needle = -1, f" {phrase} "
+        at, seen, word, needle = -1, 0, 0, f" {phrase} "
         while (at := padded.find(needle, at + 1)) >= 0:
-            out.append((padded.count(" ", 0, at), label))
+            word += padded.count(" ", seen, at)
+            seen = at
+            out.append((word, label))
     return sorted(out)
 
 
@@ -138,9 +151,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notices: d
                     words = b" ".join(split).decode("utf-8", "replace")
                     n.append(len(split))
                     exact.append([{"word": w, "label": label} for w, label in phrase_starts(words)])
+                    hits = search.find(words)
+                    gaps = [i for i, c in enumerate(words) if c == " "] if hits else []
                     fuzzy.append([
-                        {"label": label, "word": words.count(" ", 0, a), "words": words.count(" ", a, b) + 1, "edits": edits, "text": words[a:b], "score": 1 - edits / length}
-                        for a, b, label, edits, length in search.find(words)
+                        {"label": label, "word": bisect_right(gaps, a), "words": words.count(" ", a, b) + 1, "edits": edits, "text": words[a:b], "score": 1 - edits / length}
+                        for a, b, label, edits, length in hits
                     ])
                 yield pa.record_batch({"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64()), "exact": pa.array(exact, _EXACT), "fuzzy": pa.array(fuzzy, _FUZZY)})
 
