@@ -5,7 +5,8 @@ a bounded sample of labelled documents, and the matrix of log probabilities (buc
 size) is broadcast. Scoring gathers the matrix' rows of a batch's n-grams and sums them per document.
 
 Cases: a null text, or one without any letter, is ``und`` with score 0; with no labelled document at all every text is ``und``;
-ties go to the language that sorts first; repeated rows give equal rows; an empty table gives none.
+ties go to the language that sorts first; repeated rows give equal rows; a null doc_id stays null (and is not held out); very long
+texts are scored in pieces; an empty table gives none; columns that are not named are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +36,12 @@ def ngram_buckets(code: np.ndarray, bits: int) -> list[np.ndarray]:
     return out
 
 
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+#: Characters that are scored at once.
+PIECE = 1 << 18
+
+
+def codes(lower: str) -> np.ndarray:
+    return np.frombuffer(lower.encode("utf-32-le", "replace"), np.uint32)
 
 
 @dataclass
@@ -49,19 +54,22 @@ class Model:
     def totals(self, texts: list[str]) -> np.ndarray:
         """Log joint probability (texts, languages)."""
         out = np.tile(self.prior, (len(texts), 1))
+        # Pieces of at most PIECE characters; a longer text's pieces overlap by two, so that each n-gram starts in one.
+        cut = [(i, t[at : at + PIECE + 2]) for i, t in enumerate(map(str.lower, texts)) for at in range(0, len(t), PIECE)]
         at = 0
-        while at < len(texts):  # about a million characters at a time
+        while at < len(cut):  # about PIECE characters at a time
             stop, size = at, 0
-            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= 1 << 20):
-                size += len(texts[stop])
+            while stop < len(cut) and (stop == at or size + len(cut[stop][1]) <= PIECE):
+                size += len(cut[stop][1])
                 stop += 1
-            parts = [codes(t) for t in texts[at:stop]]
+            row = np.array([i for i, _ in cut[at:stop]])
+            parts = [codes(t) for _, t in cut[at:stop]]
             ends = np.cumsum([len(p) for p in parts])
             starts = np.concatenate(([0], ends[:-1]))
             whole = np.concatenate(parts)
             for n, b in enumerate(ngram_buckets(whole, self.bits)):
-                # n-grams that cross into the next text end a text's range.
-                lo, hi = starts, np.maximum(ends - n, starts)
+                # n-grams that cross into the next piece end a piece's range.
+                lo, hi = starts, np.maximum(np.minimum(ends - n, starts + PIECE), starts)
                 keep = np.flatnonzero(hi > lo)
                 if not len(keep):
                     continue
@@ -69,7 +77,7 @@ class Model:
                 bounds = np.stack([lo[keep], hi[keep]], 1).ravel()
                 if bounds[-1] == len(rows):
                     bounds = bounds[:-1]
-                out[at + keep] += np.add.reduceat(rows, bounds, axis=0, dtype=np.float64)[::2]
+                np.add.at(out, row[keep], np.add.reduceat(rows, bounds, axis=0, dtype=np.float64)[::2])
             at = stop
         return out
 
@@ -92,15 +100,22 @@ def learn(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
         for batch in batches:
+            some: dict[str, list] = {}
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = found.setdefault(k, np.zeros(width, np.int64))
-                for b in ngram_buckets(codes(t), bits):
-                    c += np.bincount(b, minlength=width)
+                parts = some.setdefault(k, [0])
+                parts += ngram_buckets(codes(t.lower()), bits)
+                parts[0] += len(t)
+                if parts[0] > PIECE:
+                    found[k] = found.get(k, 0) + np.bincount(np.concatenate(parts[1:]), minlength=width)
+                    some[k] = [0]
+            for k, parts in some.items():
+                if len(parts) > 1:
+                    found[k] = found.get(k, 0) + np.bincount(np.concatenate(parts[1:]), minlength=width)
         if found:
             yield pa.record_batch({"lang": pa.array(list(found)), "counts": pa.array([v.tobytes() for v in found.values()], pa.binary())})
 
     total = np.zeros((width, len(langs)))
-    for r in rows.where(pick).select("lang", "text").repartition(8).mapInArrow(count, "lang string, counts binary").toLocalIterator():
+    for r in rows.where(pick).select("lang", "text").repartition(8).mapInArrow(count, "lang string, counts binary").collect():
         total[:, number[r["lang"]]] += np.frombuffer(r["counts"], np.int64)
     total += alpha
     prior = np.array([sizes[k] for k in langs], float)
