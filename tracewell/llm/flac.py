@@ -550,8 +550,8 @@ def decode_media(media: DataFrame, doc_id: str = "doc_id", column: str = "media"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = decode_media(encode_texts(table(spark, sf_dir, "documents")))
-    # One block is the rule; more are joined in order.
-    payload = F.expr("if(size(blocks) = 1, blocks[0].pcm, aggregate(blocks, X'', (a, b) -> concat(a, b.pcm)))")
+    # One block is the rule; more are joined in order, at once.
+    payload = F.expr("if(size(blocks) = 1, blocks[0].pcm, unhex(array_join(transform(blocks, b -> hex(b.pcm)), '')))")
     read = read.withColumn("payload", payload)
     # UTF-8 has no byte 255, so what remains without trailing ones is the text.
     bare = F.length("payload") - F.expr("length(regexp_extract(hex(substring(payload, -576, 576)), '(?:FF)*$', 0)) div 2")
