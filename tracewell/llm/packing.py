@@ -1,16 +1,16 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Documents become token ids (plus an end id) and are cut into sequences of ``window`` ids. Rows are
-dealt into cells of about ``cell_bytes`` of text by a hash of the document; in a cell every source has a
-queue, and each window gives each source its target share plus its deficit. What a source lacks at
-one window (its queue is empty, or the window is full) it carries to the next; what it lacks at
-the end of a cell the following cells repay: the carried deficit of a cell is the target
-share of all text in earlier cells less the source's own text there. Targets are ``weights``,
-else each source's share of the corpus, so nothing is left over.
+Documents become token ids (plus an end id), written once, and are cut into sequences of ``window`` ids. A source's ids
+are one long queue, cut at even distances into a part for every cell of about ``cell_tokens`` ids (a source with fewer ids
+has parts of a window, or of a cell's 256th, in some cells), so every cell has the corpus' mixture. In a cell each window
+gives each source its target share plus its deficit; what a source lacks at one window it carries to the next, and
+what it lacks at a cell's start against its target of all ids before it is carried in from the cells before. Targets are ``weights``,
+else each source's share, so that nothing is left over; with weights that its ids can't meet a source's carry is a window at most.
 
 The ids that remain at the end of a cell fill sequences whose lengths are powers of two, so that nothing is
-padded. Cases: null text is empty (one end id); a null source is a source; repeated rows are packed
-each; an empty table gives no pieces; very long documents are cut like others.
+padded. Cases: null text is empty (one end id); a null source is a source; rows that repeat a doc_id or have none are packed
+each for itself; an empty table gives no pieces; very long documents are cut like others, over many cells; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import small_batches, table
+from ._spark import materialize, small_batches, table
 
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -103,17 +103,17 @@ class Queue:
         self.docs: deque = deque()
         self.at = self.size = 0
 
-    def put(self, doc_id, ids: bytes) -> None:
-        self.docs.append((doc_id, ids))
+    def put(self, doc, ids: bytes) -> None:
+        self.docs.append((doc, ids))
         self.size += len(ids) // 4
 
     def take(self, n: int) -> Iterator[tuple]:
         self.size -= n
         while n:
-            doc_id, ids = self.docs[0]
+            doc, ids = self.docs[0]
             total = len(ids) // 4
             length = min(n, total - self.at)
-            yield doc_id, self.at, length, zlib.crc32(memoryview(ids)[4 * self.at : 4 * (self.at + length)]), total
+            yield doc, self.at, length, zlib.crc32(memoryview(ids)[4 * self.at : 4 * (self.at + length)])
             self.at += length
             n -= length
             if self.at == total:
@@ -150,7 +150,7 @@ def fill(queues: dict[str, Queue], share: dict[str, float], deficit: dict[str, f
 
 
 def pack_cell(queues: dict[str, Queue], share: dict[str, float], deficit: dict[str, float], window: int, first: int) -> Iterator[tuple]:
-    """Pieces (doc_id, start, length, crc, doc_tokens, sequence_id, offset, source) of one cell."""
+    """Pieces (document, start, length, crc, sequence_id, offset, source) of one cell."""
     left, sequence = sum(q.size for q in queues.values()), first
     while left:
         room = window if left >= window else 1 << (left.bit_length() - 1)
@@ -163,13 +163,48 @@ def pack_cell(queues: dict[str, Queue], share: dict[str, float], deficit: dict[s
         sequence += 1
 
 
-def encoded(batches: Iterator[pa.RecordBatch], encode: WordTokenizer, rows: int = 512) -> Iterator[tuple]:
-    """The rows (cell, kind, doc, source, ids, characters, share, carry), encoded some hundred at a time."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            cell, kind, doc, source, text, share, carry = (x.to_pylist() for x in whole.slice(at, rows).columns)
-            ids = encode.many([t or "" for t in text])
-            yield from zip(cell, kind, doc, source, ids, (len(t or "") for t in text), share, carry, strict=True)
+def encode(docs: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``doc_id, source, n, ids, at``, written: each document's n ids, packed in 2 or 4 bytes, and a number of its row."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("source"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = tokenizer_of(tokenizer)
+        kind = "<u2" if max(len(words.ends) - 1, end_id) < 1 << 16 else "<u4"
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(kind) for x in words.many(batch.column(2).to_pylist())]
+                yield pa.record_batch({"doc_id": batch.column(0), "source": batch.column(1), "n": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary())})
+        words.words.clear()  # the worker lives on
+
+    small_batches(docs.sparkSession)
+    return materialize(rows.mapInArrow(run, "doc_id long, source string, n long, ids binary").withColumn("at", F.monotonically_increasing_id()), "tokens")
+
+
+def deal(tokens: DataFrame, cells: int, total: int, weights: dict[str, float] | None, window: int, part: int) -> DataFrame:
+    """``cell, source, at, doc_id, n, skip, ids, share, carry``: each source's ids dealt evenly to cells in parts of about ``part`` ids or more, documents cut where parts end."""
+    # Where a document starts in its source's queue: a running sum over hash buckets and one within each.
+    rows = tokens.withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(cells)))
+    of_source = Window.partitionBy("source")
+    sums = rows.groupBy("source", "bucket").agg(F.sum("n").alias("b"))
+    sums = sums.withColumn("own", F.sum("b").over(of_source)).withColumn("before", F.coalesce(F.sum("b").over(of_source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("b")
+    if weights is None:
+        sums = sums.withColumn("share", F.lit(None).cast("double"))
+    else:
+        whole = float(sum(weights.values())) or 1.0
+        given = tokens.sparkSession.createDataFrame([(s, w / whole) for s, w in weights.items()], "source string, share double")
+        sums = sums.join(given, "source", "left").fillna(0.0, ["share"])
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("source", "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(sums, ["source", "bucket"]).withColumn("start", F.col("before") + inside)
+    # Part i of k of a queue of q * k + r ids starts at id q * i + r * i div k; near there the part of an id is sought.
+    rows = rows.withColumn("k", F.least(F.lit(cells), F.ceil(F.col("own") / part))).withColumn("q", F.expr("own div k")).withColumn("r", F.expr("own % k"))
+    rows = rows.withColumn("i", F.expr("explode(sequence(greatest(0, cast(floor(start / own * k) AS bigint) - 1), least(k - 1, cast(floor((start + n - 1) / own * k) AS bigint) + 1)))"))
+    rows = rows.withColumn("lo", F.expr("q * i + r * i div k")).withColumn("hi", F.expr("q * (i + 1) + r * (i + 1) div k"))
+    rows = rows.withColumn("first", F.expr("greatest(start, lo)")).withColumn("stop", F.expr("least(start + n, hi)")).where("first < stop")
+    carry = F.expr("(r * i % k) / k") if weights is None else F.expr(f"least({window}D, greatest(-{window}D, share * ({total}D / k * i) - lo))")
+    cell = F.expr(f"if(k = {cells}, i, pmod(xxhash64(source) % {cells} + (i * {cells}) div k, {cells}))")
+    cut = F.expr("substring(ids, cast(octet_length(ids) div n * (first - start) + 1 AS int), cast(octet_length(ids) div n * (stop - first) AS int))")
+    return rows.select(cell.alias("cell"), "source", "at", "doc_id", "n", (F.col("first") - F.col("start")).alias("skip"), cut.alias("ids"), (F.col("stop") - F.col("first")).alias("size"), "share", carry.alias("carry"))
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
@@ -177,82 +212,46 @@ _KINDS = (pa.int64(),) * 7 + (pa.string(), pa.binary())
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = None, window: int = 4096, end_id: int = 2, cell_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text", source: str = "source", with_ids: bool = False) -> DataFrame:
-    """Pieces of ``docs`` in sequences, schema ``SCHEMA``; ``ids`` is null unless with_ids.
+def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = None, window: int = 4096, end_id: int = 2, cell_tokens: int = 1 << 20, doc_id: str = "doc_id", text: str = "text", source: str = "source", with_ids: bool = False) -> DataFrame:
+    """Pieces of ``docs`` in sequences, schema ``SCHEMA``; ``ids`` (little-endian unsigned 32-bit) is null unless with_ids.
 
     ``weights`` gives target proportions per source; a source that it lacks has none and only fills
     what the others leave.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("source"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    size = F.octet_length("text") + 1
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    cells = max(1, -(-total // cell_bytes))
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(cells)))
-    stats = rows.groupBy("cell", "source").agg(F.sum(size).alias("b"))
-    by_source = stats.groupBy("source").agg((F.sum("b") / F.lit(float(total or 1))).alias("share"))
-    if weights is not None:
-        whole = float(sum(weights.values())) or 1.0
-        given = docs.sparkSession.createDataFrame([(s, w / whole) for s, w in weights.items()], "source string, share double")
-        by_source = by_source.drop("share").join(given, "source", "left").fillna(0.0, ["share"])
-    # Text in all earlier cells: a running sum within blocks of cells, and one over the blocks.
-    block = F.floor(F.col("cell") / 1024)
-    by_cell = stats.groupBy("cell").agg(F.sum("b").alias("t")).withColumn("block", block)
-    by_block = by_cell.groupBy("block").agg(F.sum("t").alias("bt")).withColumn("before", F.sum("bt").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("block", "before")
-    inside = F.sum("t").over(Window.partitionBy("block").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    by_cell = by_cell.withColumn("inside", inside).join(by_block, "block").select("cell", (F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0))).alias("all_before"))
-    own = F.sum("b").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    plans = stats.withColumn("own_before", F.coalesce(own, F.lit(0))).join(by_cell, "cell").join(by_source, "source")
-    plans = plans.select("cell", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "source", F.lit(None).cast("string").alias("text"), "share", (F.col("share") * F.col("all_before") - F.col("own_before")).alias("carry"))
-    rows = rows.select("cell", F.lit(1).alias("kind"), "doc_id", "source", "text", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("carry"))
-    dealt = plans.unionByName(rows).repartition("cell").sortWithinPartitions("cell", "kind", "doc_id", "source")
+    tokens = encode(docs, tokenizer, end_id, doc_id, text, source)
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    dealt = deal(tokens, max(1, -(-total // cell_tokens)), total, weights, window, max(1, min(window, cell_tokens // 256)))
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell", "source", "at", "skip")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer_of(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
-
         def done(cell: int) -> Iterator[pa.RecordBatch]:
-            tokens = sum(q.size for q in queues.values())
-            scale = tokens / max(1, nbytes)  # carried deficits are in bytes
-            deficit = {s: carry.get(s, 0.0) * scale for s in queues}
+            whole = sum(q.size for q in queues.values())
+            targets = {s: q.size / whole if share[s] is None else share[s] for s, q in queues.items()}
             out: list[list] = [[] for _ in _NAMES]
-            texts = {s: list(q.docs) for s, q in queues.items()} if with_ids else None
-            for piece in pack_cell(queues, {s: share.get(s, 0.0) for s in queues}, deficit, window, int(cell) << 32):
-                for column, value in zip(out, piece, strict=False):
+            for piece in pack_cell(queues, targets, carry, window, int(cell) << 32):
+                (doc, n, skip, ids), start, length, crc, sequence, offset, s = piece
+                for column, value in zip(out, (doc, skip + start, length, crc, n, sequence, offset, s, ids[4 * start : 4 * (start + length)] if with_ids else None), strict=True):
                     column.append(value)
-                out[8].append(None)
-            if with_ids:
-                fill_ids(out, texts)
             for at in range(0, len(out[0]), 20_000):
                 yield pa.record_batch([pa.array(c[at : at + 20_000], k) for c, k in zip(out, _KINDS, strict=True)], names=_NAMES)
 
-        now, queues, share, carry, nbytes = None, {}, {}, {}, 0
-        for cell, kind, doc, src, ids, n, w, c in encoded(batches, encode):
-            if cell != now:
-                if now is not None:
-                    yield from done(now)
-                now, queues, share, carry, nbytes = cell, {}, {}, {}, 0
-            if kind == 0:
-                share[src], carry[src] = w, c
-            else:
-                queues.setdefault(src, Queue()).put(doc, ids + end)
-                nbytes += n + 1
+        now, queues, share, carry = None, {}, {}, {}
+        for batch in batches:
+            for cell, src, _, doc, n, skip, ids, size, w, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if cell != now:
+                    if now is not None:
+                        yield from done(now)
+                    now, queues, share, carry = cell, {}, {}, {}
+                if src not in queues:
+                    queues[src], share[src], carry[src] = Queue(), w, c
+                wide = ids if len(ids) == 4 * size else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+                queues[src].put((doc, n, skip, wide), wide)
         if now is not None:
             yield from done(now)
-        encode.words.clear()  # the worker lives on
 
-    small_batches(docs.sparkSession)
     return dealt.mapInArrow(run, SCHEMA)
 
 
-def fill_ids(out: list[list], texts: dict[str, list]) -> None:
-    """Put each piece's ids (little-endian unsigned 32-bit) in the last column; pieces of a source are in queue order."""
-    at = dict.fromkeys(texts, 0)
-    for i, (start, length, total, s) in enumerate(zip(out[1], out[2], out[4], out[7], strict=True)):
-        ids = texts[s][at[s]][1]
-        out[8][i] = ids[4 * start : 4 * (start + length)]
-        at[s] += start + length == total
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
