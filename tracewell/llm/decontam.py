@@ -9,13 +9,14 @@ The patterns go to the executors in blocks of at most ``block_bytes`` of benchma
 mean several scans whose spans are merged by row, so nothing grows with the benchmark. Cases: null
 or empty texts and items have no words; there is one row per input row, whatever the number of blocks, also of rows that
 repeat a doc_id or have none; repeated items count once per item_id; a null item_id
-is dropped from the id list; an empty benchmark hits nothing.
+is dropped from the id list; an empty benchmark hits nothing; other columns are not read (and kept by :func:`keep_clean`), whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,23 +31,36 @@ B = 2
 
 
 class WuManber:
-    """Search for word sequences of one length m."""
+    """Search for the windows of m consecutive words of the given texts (item, words)."""
 
-    def __init__(self, patterns: dict[tuple, set], m: int) -> None:
+    def __init__(self, texts: list[tuple[object, list]], m: int) -> None:
         self.m, self.b = m, min(B, m)
         self.default = m - self.b + 1
+        #: All texts' words, one after the other, and the first word and item of each text; a pattern is the place it starts at.
+        self.words: list = []
+        self.starts: list[int] = []
+        self.items: list = []
         self.shift: dict = {}
         self.bucket: dict = defaultdict(list)
-        for words, items in patterns.items():
-            for end in range(self.b, m + 1):
-                block = words[end - 1] if self.b == 1 else (words[end - 2], words[end - 1])
-                self.shift[block] = min(self.shift.get(block, self.default), m - end)
-                if end == m:
-                    self.bucket[block].append((list(words), items))
-
-    def find(self, words: list) -> Iterator[tuple[int, set]]:
+        known: dict = {}
+        for item, words in texts:
+            base = len(self.words)
+            self.starts.append(base)
+            self.items.append(item)
+            self.words += [known.setdefault(w, w) for w in words]
+            n = len(words)
+            for end in range(self.b, n + 1):
+                at = base + end - 1
+                block = self.words[at] if self.b == 1 else (self.words[at - 1], self.words[at])
+                # The block ends at each place from there on of the patterns that hold it.
+                jump = max(0, m - end)
+                self.shift[block] = min(self.shift.get(block, self.default), jump)
+                if not jump:
+                    self.bucket[block].append(at - m + 1)
+
+    def find(self, words: list) -> Iterator[tuple[int, object]]:
         """Starts and items of all occurrences, overlapping ones too, by start."""
-        m, shift, default, bucket = self.m, self.shift.get, self.default, self.bucket
+        m, shift, default, bucket, patterns = self.m, self.shift.get, self.default, self.bucket, self.words
         at, n = m - 1, len(words)
         single = self.b == 1
         while at < n:
@@ -57,29 +71,28 @@ class WuManber:
                 continue
             start = at - m + 1
             seen = words[start : at + 1]
-            for pattern, items in bucket[block]:
-                if pattern == seen:
-                    yield start, items
+            for place in bucket[block]:
+                if patterns[place : place + m] == seen:
+                    yield start, self.items[bisect_right(self.starts, place) - 1]
             at += 1
 
 
 def searchers(items: list[tuple[object, str | None]], window: int) -> list[WuManber]:
-    by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
+    by_length: dict[int, list[tuple[object, list]]] = defaultdict(list)
     for item_id, text in items:
         words = fold_words(text)
-        m = min(window, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            by_length[m][tuple(words[i : i + m])].add(item_id)
-    return [WuManber(patterns, m) for m, patterns in sorted(by_length.items())]
+        if words:
+            by_length[min(window, len(words))].append((item_id, words))
+    return [WuManber(texts, m) for m, texts in sorted(by_length.items())]
 
 
 def hits_of(words: list, found: list[WuManber]) -> tuple[list[list[int]], set]:
     """Merged half-open word spans inside occurrences, and the items that occur."""
     spans, items = [], set()
     for s in found:
-        for start, ids in s.find(words):
+        for start, item in s.find(words):
             spans.append([start, start + s.m])
-            items |= ids
+            items.add(item)
     spans.sort()
     merged: list[list[int]] = []
     for a, b in spans:
@@ -127,7 +140,7 @@ def blocks_of(benchmark: DataFrame, block_bytes: int, item_id: str, item_text: s
         yield [(r.i, r.t) for r in cut.where(F.col("b") == b).collect()]
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, in which no pattern occurs."""
     for items in blocks_of(benchmark, block_bytes, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -140,7 +153,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_by
     return docs
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_words, merged hit ``spans`` (words, half-open) and the sorted ``items`` that occur."""
     blocks = blocks_of(benchmark, block_bytes, item_id, item_text)
     first, second = next(blocks), next(blocks, None)
