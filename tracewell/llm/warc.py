@@ -5,8 +5,8 @@
 frame, decodes one frame per record and validates headers, lengths and digests.
 
 Cases: a null payload is empty; a null URL is written as ``urn:page:<id>``; a row without a page_id is a record as
-well, its id made from URL and digest (page_id is null on reading), and :func:`query` alone leaves such records out, as its SQL does; payloads under
-``min_dedup_bytes`` are never revisits; rows that repeat the smallest id of equal payloads are
+well, its id made from URL and digest (page_id is null on reading); payloads under
+``min_dedup_bytes`` are never revisits; a corrupt or truncated archive gives its good records and a row with an ``error``; rows that repeat the smallest id of equal payloads are
 responses too; an empty table gives no archives. Columns that are not named are ignored.
 """
 
@@ -128,7 +128,15 @@ def parse_record(raw: bytes) -> dict:
 
 
 def read_archive(data: bytes) -> Iterator[dict]:
-    """The records of one archive; a record that fails validation has only ``error``."""
+    """The records of one archive; a record that fails validation has only ``error``, and so has what follows a broken frame, once."""
+    failed = dict.fromkeys(("page_id", "target_uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"))
+    try:
+        yield from _records(data, failed)
+    except (ValueError, IndexError, struct.error, zstandard.ZstdError) as e:
+        yield failed | {"error": f"broken archive: {e}"}
+
+
+def _records(data: bytes, failed: dict) -> Iterator[dict]:
     view, at, dictionary = memoryview(data), 0, None
     if len(view) >= 8 and struct.unpack_from("<I", view)[0] == SKIPPABLE:
         size = struct.unpack_from("<I", view, 4)[0]
@@ -144,7 +152,7 @@ def read_archive(data: bytes) -> Iterator[dict]:
         try:
             yield parse_record(reader.decompress(view[at:end], max_output_size=0))
         except (ValueError, zstandard.ZstdError) as e:
-            yield dict.fromkeys(("page_id", "target_uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload")) | {"error": str(e)}
+            yield failed | {"error": str(e)}
         at = end
 
 
@@ -230,17 +238,16 @@ def read_archives(archives: DataFrame, archive: str = "archive", payloads: bool
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = materialize(write_archives(table(spark, sf_dir, "pages")), "warc")
-    records = read_archives(archives, payloads=False)
-    return records.where("page_id IS NOT NULL OR error IS NOT NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    return read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
 SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
 m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to,
+  CASE WHEN payload_bytes >= 100 AND first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first IS DISTINCT FROM page_id THEN first END AS refers_to,
   CAST(NULL AS VARCHAR) AS error
 FROM m
 """
