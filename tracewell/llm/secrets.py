@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Native: candidates, features, training and scoring are DataFrame and SQL functions. A scan splits each text at its
-candidates, so that a candidate's neighbours are the pieces around it, and stays in one stage without a shuffle.
+candidates, so that a candidate's neighbours are the pieces around it, in one stage; only candidates are shuffled, for the sums that tell where they stand.
 
 Features of a candidate are its length, character transitions (changes of character class, common letter
 pairs), dictionary coverage, digits, alphabet, known prefixes, the path it stands in and neighbouring words.
@@ -10,8 +10,8 @@ counts, of which there are a fixed number; trees see Poisson-weighted rows and t
 features at each node. The grown trees are a column expression.
 
 Without a table of labelled findings :func:`labelled_findings` makes one by rule. Cases: null and empty texts have
-no findings; a null path has no path words; repeated rows give equal rows; texts of any length are
-scanned whole; with labels of one kind only the forest is that constant.
+no findings; a null path has no path words; a null doc_id stays null; repeated rows give equal rows; texts of any length are
+scanned whole; with labels of one kind only the forest is that constant; other columns are kept by :func:`redact`, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialize, table
+from ._spark import fresh, materialize, table
 
 #: Candidates: key blocks, assignments to telling names, credentials in URLs, and long runs with a digit.
 #: A key block goes up to its END line, or, where that is missing, to the end of its base64 lines.
@@ -194,34 +194,36 @@ def train(findings: DataFrame, **options) -> Forest:
 
 
 def with_findings(docs: DataFrame, forest: Forest, text: str = "text", path: str | None = "source", threshold: float = 0.5) -> DataFrame:
-    """docs with ``_pieces`` (the texts between candidates) and ``_found``, an array of its candidates in order:
+    """docs with two columns more, the last two, of names that it had not: the texts between candidates, and an array of its candidates in order:
     ``raw`` (as it stands), ``value`` (the key itself), ``rule``, ``skipped`` (characters since the one before), ``score``, ``secret``."""
+    raws, pieces, candidates = (fresh(docs, stem=x) for x in ("raw", "pieces", "found"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-    cut = docs.withColumn("_raw", F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)))
-    cut = cut.withColumn("_pieces", F.when(F.size("_raw") > 0, F.split(body, CANDIDATE)))
+    cut = docs.withColumn(raws, F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)))
+    cut = cut.withColumn(pieces, F.when(F.size(raws) > 0, F.split(body, CANDIDATE)))
 
     def candidate(raw: Column, i: Column) -> Column:
         block, url = raw.startswith("-----BEGIN"), raw.rlike(f"^{URL}$")
         keyed = raw.rlike(f"^(?:{KEYED})$") & ~block & ~url
         value = F.when(block, raw).when(url, F.regexp_extract(raw, r"://[^\s/:@]*:([^\s/@]*)@$", 1)).when(keyed, F.regexp_extract(raw, r"[=:]\s{0,3}[\"']?([^\s\"',;]{6,})$", 1)).otherwise(raw)
         rule = F.when(block, "block").when(url, "url").when(keyed, "keyed").otherwise("run")
-        before = F.get("_pieces", i)
+        before = F.get(pieces, i)
         left = F.concat(F.substring(before, -CONTEXT, CONTEXT), F.when(keyed | url, F.substring(raw, 1, 24)).otherwise(""))
-        return F.struct(raw.alias("raw"), value.alias("value"), rule.alias("rule"), F.length(before).cast("long").alias("skipped"), features(value, left, F.substring(F.get("_pieces", i + 1), 1, CONTEXT), where, keyed | url).alias("x"))
+        return F.struct(raw.alias("raw"), value.alias("value"), rule.alias("rule"), F.length(before).cast("long").alias("skipped"), features(value, left, F.substring(F.get(pieces, i + 1), 1, CONTEXT), where, keyed | url).alias("x"))
 
-    cut = cut.withColumn("_found", F.transform("_raw", candidate))
-    scored = F.transform("_found", lambda c: F.struct(c.raw.alias("raw"), c.value.alias("value"), c.rule.alias("rule"), c.skipped.alias("skipped"), forest.score(c.x).alias("score")))
-    kept = F.transform("_scored", lambda c: c.withField("secret", c.score >= threshold))
-    return cut.withColumn("_scored", scored).withColumn("_found", kept).drop("_raw", "_scored")
+    cut = cut.withColumn(candidates, F.transform(raws, candidate))
+    scored = F.transform(candidates, lambda c: F.struct(c.raw.alias("raw"), c.value.alias("value"), c.rule.alias("rule"), c.skipped.alias("skipped"), forest.score(c.x).alias("score")))
+    cut = cut.withColumn(candidates, scored)
+    return cut.withColumn(candidates, F.transform(candidates, lambda c: c.withField("secret", c.score >= threshold))).select(*docs.columns, pieces, candidates)
 
 
 def findings(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """One row per candidate: ``doc_id, start, stop`` (characters), ``rule, value, score, secret``."""
     found = with_findings(docs.select(*dict.fromkeys([doc_id, text, *([path] if path else [])])), forest, text, path, threshold)
-    rows = found.where(F.size("_found") > 0).select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), "_found")
-    rows = rows.select("doc_id", "_row", F.posexplode("_found").alias("_i", "c"))
-    past = Window.partitionBy("_row").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    candidates = found.columns[-1]
+    rows = found.where(F.size(candidates) > 0).select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), candidates)
+    rows = rows.select("doc_id", "row", F.posexplode(candidates).alias("i", "c"))
+    past = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("c.skipped") + F.length("c.raw")).over(past)
     return rows.withColumn("stop", stop).select("doc_id", (F.col("stop") - F.length("c.raw")).alias("start"), "stop", "c.rule", "c.value", "c.score", "c.secret")
 
@@ -229,8 +231,10 @@ def findings(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str
 def redact(docs: DataFrame, forest: Forest, text: str = "text", path: str | None = "source", mark: str = "[secret]", threshold: float = 0.5) -> DataFrame:
     """docs with every secret in ``text`` replaced by a mark; the other columns and rows stay."""
     found = with_findings(docs, forest, text, path, threshold)
-    pieces = F.transform("_pieces", lambda p, i: F.concat(p, F.coalesce(F.when(F.get("_found", i).secret, F.replace(F.get("_found", i).raw, F.get("_found", i).value, F.lit(mark))).otherwise(F.get("_found", i).raw), F.lit(""))))
-    return found.withColumn(text, F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(F.col(text))).select(*docs.columns)
+    at, candidates = found.columns[-2:]
+    c = lambda i: F.get(candidates, i)
+    pieces = F.transform(at, lambda p, i: F.concat(p, F.coalesce(F.when(c(i).secret, F.replace(c(i).raw, c(i).value, F.lit(mark))).otherwise(c(i).raw), F.lit(""))))
+    return found.withColumn(text, F.when(F.size(candidates) > 0, F.array_join(pieces, "")).otherwise(F.col(text))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
