@@ -140,6 +140,14 @@ def test_warc_dictionary_frames_and_validation():
 # --- packing ---------------------------------------------------------------------------
 
 
+def test_warc_broken_archives_give_error_rows(spark):
+    record = warc.build_record(4, "http://x/", b"abc" * 50, hashlib.sha256(b"abc" * 50).hexdigest(), None)
+    data = zstandard.ZstdCompressor().compress(record) * 2
+    broken = [data[:-3], data + b"junk", b"", None, struct.pack("<II", warc.SKIPPABLE, 99) + b"x", struct.pack("<II", warc.SKIPPABLE, 4) + warc.FRAME]
+    rows = warc.read_archives(spark.createDataFrame([(b,) for b in broken], "archive binary")).collect()
+    assert sorted(r.page_id or 0 for r in rows) == [0, 0, 0, 0, 4, 4, 4] and sum(r.error is not None for r in rows) == 4
+
+
 def test_tokens_equal_the_library(spark):
     tokenizer, own = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
     texts = [t or "" for t in AWKWARD] + ["İstanbul ΣΑΣ 'S'd don't ''s \x1c ²Ⅷ 12 é é x <|endoftext|> <| ", "😀👍🏽 ͅ ᾳ ǅ ẞ ﬁ a b"]
@@ -176,7 +184,7 @@ def test_packing_whole_and_gapless(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in d.collect()}
     check_pieces(packing.query(spark, SF).collect(), texts)
-    odd = packing.pack(docs(spark, AWKWARD, None), PATH, cell_bytes=50_000, with_ids=True).collect()
+    odd = packing.pack(docs(spark, AWKWARD, None), PATH, cell_tokens=12_000, with_ids=True).collect()
     check_pieces(odd, dict(enumerate(AWKWARD)))
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in odd)
     assert packing.pack(empty(spark), PATH).count() == 0
@@ -191,7 +199,7 @@ def test_windows_hold_target_proportions():
             q.put(k, np.zeros(rng.randrange(1, int(700 * share[s])), "<u4").tobytes())
     total = sum(q.size for q in queues.values())
     windows = defaultdict(lambda: defaultdict(int))
-    for *_, length, _, _, seq, _, s in packing.pack_cell(queues, share, deficit, 1024, 0):
+    for _, _, length, _, seq, _, s in packing.pack_cell(queues, share, deficit, 1024, 0):
         windows[seq][s] += length
     full = [w for w in windows.values() if sum(w.values()) == 1024]
     assert sum(sum(w.values()) for w in windows.values()) == total
@@ -199,6 +207,42 @@ def test_windows_hold_target_proportions():
         assert all(abs(w[s] - 1024 * share[s]) <= 3 for s in share)
 
 
+def mixture_faults(rows, target):
+    """Full windows, and how many of them have a source more than two points off its target."""
+    windows = defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        windows[r.sequence_id][r.source] += r.length
+    full = [w for w in windows.values() if sum(w.values()) == 4096]
+    return len(full), sum(any(abs(w[s] / 4096 - target[s]) > 0.02 for s in target) for w in full)
+
+
+@pytest.mark.parametrize("cell_tokens", [1 << 20, 100_000])
+def test_all_windows_hold_the_mixture(spark, cell_tokens):
+    """Over cells as well, and with sources of very different sizes."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text", "CASE WHEN doc_id % 3 = 0 THEN 'hot' WHEN doc_id = 7 THEN 'rare' ELSE source END AS source")
+    rows = packing.pack(d, PATH, cell_tokens=cell_tokens).collect()
+    total, own = sum(r.length for r in rows), defaultdict(int)
+    for r in rows:
+        own[r.source] += r.length
+    full, off = mixture_faults(rows, {s: n / total for s, n in own.items()})
+    assert full > 0.97 * total / 4096 and off <= 0.01 * full
+
+
+def test_given_weights_are_carried_over_cells(spark):
+    """While every source lasts, windows of all cells hold the given proportions."""
+    texts = ["some words of a text " * 200] * 300
+    d = docs(spark, texts).selectExpr("doc_id", "text", "CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS source")
+    rows = packing.pack(d, PATH, weights={"a": 1, "b": 1}, cell_tokens=40_000).collect()
+    by_cell = defaultdict(list)
+    for r in rows:
+        by_cell[r.sequence_id >> 32].append(r)
+    assert len(by_cell) > 5
+    for cell in by_cell.values():  # a is a third of each cell, so half of two thirds of its windows
+        first = min(r.sequence_id for r in cell)
+        full, off = mixture_faults([r for r in cell if r.sequence_id - first in range(2, 4)], {"a": 0.5, "b": 0.5})
+        assert full and not off
+
+
 def test_carried_deficit_is_repaid():
     queues = {s: packing.Queue() for s in "ab"}
     for s in "ab":
