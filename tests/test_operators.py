@@ -168,7 +168,7 @@ def test_selection(spark):
     for bad in (["XX"], ["IT2", "IT2"], [" "], ["IT2_frz"]):
         with pytest.raises(ValueError):
             select.populations(pops, bad)
-    assert values(pops.select(select.cell_type(F.col("pop")).alias("c"), select.layer_of(F.col("pop")).alias("l")), "c", "l") == [("IT", "2"), ("PV", "5A"), ("IT", "2")]
+    assert values(pops.select(select.cell_type(F.col("pop")).alias("c"), select.layer_of(F.col("pop")).alias("l")), "c", "l") == [("PYR", "L2"), ("PV", "L5A"), ("PYR", "L2")]
     with pytest.raises(KeyError):
         select.in_layers(channels, spark.createDataFrame([("L1", 0.0, 1.0)], "layer string, y0 double, y1 double"), ["L9"])
 
@@ -265,3 +265,38 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(values(spark.table("windowed"), "pop", "t_start", "n")) == sorted(values(windowed_rates(events_), "pop", "t_start", "n"))
+
+
+def test_names_and_labels_that_are_unknown_raise(spark):
+    names = spark.createDataFrame([("TC",), ("HTC_frz",), ("TIM",), ("ct6",)], "pop string")
+    assert values(names.select(select.cell_type(F.col("pop")).alias("c"), select.layer_of(F.col("pop")).alias("l")), "c", "l") == [("TC", "THAL"), ("TC", "THAL"), ("TI", "THAL"), ("PYR", "L6")]
+    odd = spark.createDataFrame([("QQ9",)], "pop string")
+    for f in (select.cell_type, select.layer_of):
+        with pytest.raises(Exception, match="population QQ9"):
+            odd.select(f(F.col("pop")).alias("x")).collect()
+    channels = spark.createDataFrame([(300.0,), (100.0,), (100.0,)], "y double")
+    assert values(select.numbered_channels(channels), "channel", "channel_y") == [(0, 100.0), (1, 300.0)]
+    assert values(select.numbered_channels(channels, 300.0), "channel", "channel_y") == [(0, 300.0)]
+    with pytest.raises(ValueError, match="there are"):
+        select.exact(channels, "y", [100.0, 5.0])
+
+
+def test_half_written_jobs_are_built_again(spark, tmp_path):
+    from tracewell.sources import cache, sinks
+
+    path, built = str(tmp_path / "jobs"), []
+
+    def build(jobs):
+        built.extend(jobs)
+        return spark.createDataFrame([(j, 1.0) for j in jobs], "job_id long, v double")
+
+    def broken(jobs):
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        cache.append_missing(spark, path, [1, 2], broken, {"t": 1})
+    assert cache.append_missing(spark, path, [1, 2], build, {"t": 1}).count() == 2
+    assert cache.append_missing(spark, path, [1, 2, 3], build, {"t": 1}).count() == 3 and built == [1, 2, 3]
+    sinks.save(spark.range(3), str(tmp_path / "t"), {"a": 1})
+    sinks.save(spark.range(4), str(tmp_path / "t"), {"a": 2})
+    assert sinks.load(spark, str(tmp_path / "t")).count() == 4 and not (tmp_path / "t.old").exists()

@@ -61,6 +61,9 @@ def json_to_long(df: DataFrame, column: str, dims: list[str], keys: list[str], v
     for i, d in enumerate(dims):
         nxt = "value" if i == len(dims) - 1 else "_m"
         out = out.select(*keys, *dims[:i], F.explode("_m").alias(d, "_n")).withColumnRenamed("_n", nxt)
+    if values and len(dims) == 1 and set(values) == set(dims):  # every key is looked up in the parsed object: no shuffle
+        parsed = df.select(*keys, F.from_json(column, f"map<string,{kind}>").alias("_m"), F.explode(F.lit(values[dims[0]])).alias(dims[0]))
+        return parsed.select(*keys, dims[0], F.try_element_at("_m", F.col(dims[0])).alias("value"))
     if values:
         for d, vs in values.items():
             out = out.where(F.col(d).isin(vs))

@@ -72,3 +72,8 @@ def clip_frequencies(events: DataFrame, lo: float, hi: float) -> DataFrame:
     a, b = F.greatest("minF", F.lit(lo)), F.least("maxF", F.lit(hi))
     edge = F.when(F.col("maxF") < lo, lo).otherwise(hi)
     return events.withColumn("frame_lo", F.when(a <= b, a).otherwise(edge)).withColumn("frame_hi", F.when(a <= b, b).otherwise(edge))
+
+
+def ordered(events: DataFrame, by: tuple[str, ...] = ("channel",), time: str = "peak_time") -> DataFrame:
+    """Events in the order of channel and time (ranges over the cluster), the order that their readers expect."""
+    return events.orderBy(*by, time)

@@ -69,21 +69,57 @@ def visible_layers(layers: DataFrame, size: float, lo: float, hi: float) -> Data
     return spans.where((F.col("y1") >= lo) & (F.col("y0") <= hi))
 
 
+#: Beginnings of population names and their cell class, and endings and their layer, each in order (fixed values).
+CELL_CLASSES = {"IT": "PYR", "CT": "PYR", "PT": "PYR", "PV": "PV", "SOM": "SOM", "VIP": "VIP", "NGF": "NGF", "HTC": "TC", "TC": "TC", "TI": "TI", "IRE": "IRE"}
+LAYERS = {"5A": "L5A", "5B": "L5B", "6": "L6", "4": "L4", "3": "L3", "2": "L2", "1": "L1"}
+THALAMIC = ("TC", "HTC", "TCM", "TI", "TIM", "IRE", "IREM")
+
+
+def _bare(pop: Column) -> Column:
+    return F.upper(F.regexp_replace(pop, "_frz$", ""))
+
+
+def _unknown(what: str, pop: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"no {what} for population "), F.coalesce(pop, F.lit("null")))).cast("string")
+
+
 def cell_type(pop: Column) -> Column:
-    """Cell type by a name's beginning; a frozen suffix is ignored."""
-    name = F.regexp_replace(pop, "_frz$", "")
-    out = None
-    for kind in ("IT", "CT", "PT", "PV", "SOM", "VIP", "NGF", "TC", "HTC", "IRE", "TI"):
-        out = F.when(F.upper(name).startswith(kind), kind) if out is None else out.when(F.upper(name).startswith(kind), kind)
-    return out
+    """Cell class by a name's beginning: IT, CT and PT are pyramidal, HTC, TCM and TC thalamic. A frozen suffix is ignored; other names raise."""
+    out = F
+    for start, kind in CELL_CLASSES.items():
+        out = out.when(_bare(pop).startswith(start), kind)
+    return out.otherwise(_unknown("cell class", pop))
 
 
 def layer_of(pop: Column) -> Column:
-    """Layer by a name's ending, 5A and 5B before single digits."""
-    name, out = F.regexp_replace(pop, "_frz$", ""), None
-    for layer in ("5A", "5B", "1", "2", "3", "4", "5", "6"):
-        out = F.when(F.upper(name).endswith(layer), layer) if out is None else out.when(F.upper(name).endswith(layer), layer)
-    return out
+    """Layer by a name's ending, 5A and 5B before single digits; thalamic populations have a layer of their own, other names raise."""
+    out = F.when(_bare(pop).isin(*THALAMIC), "THAL")
+    for end, layer in LAYERS.items():
+        out = out.when(_bare(pop).endswith(end), layer)
+    return out.otherwise(_unknown("layer", pop))
+
+
+def numbered_channels(channels: DataFrame, y: float | None = None) -> DataFrame:
+    """``channel, channel_y`` of the distinct depths in order, from 0; with y the single channel at that depth (an unknown one raises)."""
+    found = channels.select(F.col("y").alias("channel_y")).distinct()
+    if y is not None:
+        return exact(found, "channel_y", [y]).select(F.lit(0).cast("long").alias("channel"), "channel_y")
+    # The depths of a probe: some hundred rows at most.
+    return found.withColumn("channel", (F.row_number().over(Window.orderBy("channel_y")) - 1).cast("long")).select("channel", "channel_y")
+
+
+def exact(channels: DataFrame, column: str, labels: list) -> DataFrame:
+    """The rows of exactly these labels; a label that no row has raises, naming those there are."""
+    there = {r[0] for r in channels.where(F.col(column).isin(labels)).select(column).distinct().collect()}
+    if missing := [x for x in labels if x not in there]:
+        known = sorted(r[0] for r in channels.select(column).distinct().orderBy(column).limit(100).collect())
+        raise ValueError(f"no {column} {missing}; there are {known}")
+    return channels.where(F.col(column).isin(labels))
+
+
+def first_pop(pops: DataFrame) -> DataFrame:
+    """The first population in order that is not frozen."""
+    return pops.where(~F.col("pop").endswith("_frz")).orderBy("pop_ord").limit(1)
 
 
 def groups(pops: DataFrame, members: dict[str, list[str]]) -> DataFrame:
@@ -95,3 +131,22 @@ def groups(pops: DataFrame, members: dict[str, list[str]]) -> DataFrame:
 def above(pairs: DataFrame, column: str, threshold: float | None) -> DataFrame:
     """Pairs with a finite value whose size reaches the threshold; None keeps all."""
     return pairs if threshold is None else pairs.where(~F.isnan(column) & F.col(column).isNotNull() & (F.abs(column) >= threshold))
+
+
+def plot_scale(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``by, abs_max, abs_p95``: the scales a plot of each group needs."""
+    return df.groupBy(*by).agg(F.max(F.abs(value)).alias("abs_max"), F.percentile(F.abs(F.col(value)), F.lit(0.95)).alias("abs_p95"))
+
+
+def median_step(channels: DataFrame) -> DataFrame:
+    """``dy``: the median distance of neighbouring depths (of a probe's some hundred)."""
+    steps = channels.select("y").distinct().withColumn("dy", F.col("y") - F.lag("y").over(Window.orderBy("y")))
+    return steps.agg(F.percentile("dy", F.lit(0.5)).alias("dy"))
+
+
+def matrix_masks(pairs: DataFrame, value: str, threshold: float | None) -> DataFrame:
+    """The pairs with ``weak`` (finite, but below the threshold in size) and ``diagonal``."""
+    v = F.col(value)
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    weak = finite & (F.abs(v) < threshold) if threshold is not None else F.lit(False)
+    return pairs.withColumn("weak", F.coalesce(weak, F.lit(False))).withColumn("diagonal", F.col("pop_i") == F.col("pop_j"))

@@ -259,10 +259,12 @@ def resample_linear(spark, d):
     return B.concat_labels(parts, "pop").select("pop", "t", r6("v", "v"))
 
 
-@query(f"{WITH_Y}, q AS (SELECT unnest(range(0, 1500)) * 1800.0::DOUBLE AS t) SELECT q.t, y.v FROM q LEFT JOIN y ON y.y = 100 AND y.i = CAST(ceil(q.t / 3600.0 - 0.5) AS BIGINT)")
+@query(f"{WITH_Y}, q AS (SELECT unnest(range(0, 1500)) * 1800.0::DOUBLE AS t) SELECT a.y, q.t, y.v FROM (SELECT DISTINCT y FROM y) a CROSS JOIN q LEFT JOIN y ON y.y = a.y AND y.i = CAST(ceil(q.t / 3600.0 - 0.5) AS BIGINT)")
 def resample_nearest(spark, d):
     grid = spark.range(1500).select((F.col("id") * 1800.0).alias("t"))
-    return M.resample_nearest(D.probe(spark, d).where("y = 100").select("i", "v"), grid, 0.0, D.HOUR).select("t", "v")
+    signal = D.probe(spark, d)
+    depths = [r.y for r in signal.select("y").distinct().orderBy("y").collect()]
+    return B.concat_labels({y: M.resample_nearest(signal.where(F.col("y") == y).select("i", "v"), grid, 0.0, D.HOUR) for y in depths}, "y").select("y", "t", "v")
 
 
 @query("WITH c AS (SELECT DISTINCT p_size * 10.0::DOUBLE AS y FROM part), q AS (SELECT unnest(range(0, 8)) AS ord, unnest([5.0, 12.0, 14.9, 15.0, 203.0, 490.0, 900.0, 11.0])::DOUBLE AS y_req), k AS (SELECT q.ord, q.y_req, c.y, row_number() OVER (PARTITION BY q.ord ORDER BY abs(c.y - q.y_req), c.y DESC) AS rn FROM q, c) SELECT y, min(ord) AS ord, arg_min(y_req, ord) AS y_req FROM k WHERE rn = 1 GROUP BY y")
@@ -279,6 +281,53 @@ def layer_select(spark, d):
     return L.in_layers(channels, layers, ["L2", "L4"])
 
 
+_NAMES = ("IT2", "CT5A_frz", "PT5B", "PV4", "SOM6", "VIP1", "NGF3", "TC", "HTC", "TCM_frz", "TI", "TIM", "IRE", "IREM")
+
+
+@query(
+    f"""WITH n AS (SELECT c_custkey, list_extract({list(_NAMES)}, CAST(c_custkey % {len(_NAMES)} + 1 AS BIGINT)) AS pop FROM customer), k AS (SELECT *, regexp_replace(pop, '_frz$', '') AS b FROM n)
+SELECT c_custkey, pop, CASE WHEN regexp_matches(b, '^[ICP]T') THEN 'PYR' WHEN b IN ('TC', 'HTC', 'TCM') THEN 'TC' ELSE regexp_extract(b, '^(PV|SOM|VIP|NGF|TI|IRE)') END AS kind, CASE WHEN regexp_matches(b, '[0-9]') THEN 'L' || regexp_extract(b, '[0-9].*$') ELSE 'THAL' END AS layer FROM k"""
+)
+def pop_classes(spark, d):
+    pop = F.element_at(F.lit(list(_NAMES)), (F.col("c_custkey") % len(_NAMES) + 1).cast("int"))
+    rows = D.table(spark, d, "customer").select("c_custkey", pop.alias("pop"))
+    return rows.select("c_custkey", "pop", L.cell_type(F.col("pop")).alias("kind"), L.layer_of(F.col("pop")).alias("layer"))
+
+
+@query(f"{WITH_Y} SELECT row_number() OVER (ORDER BY y) - 1 AS channel, y AS channel_y FROM (SELECT DISTINCT y FROM y)")
+def numbered_channels(spark, d):
+    return L.numbered_channels(D.probe(spark, d))
+
+
+@query(f"{WITH_Y} SELECT y, i, v FROM y WHERE y IN (200, 400)")
+def exact_channels(spark, d):
+    return L.exact(D.probe(spark, d), "y", [200.0, 400.0]).select("y", "i", "v")
+
+
+@query(f"{WITH_P} SELECT pop FROM p ORDER BY pop_ord LIMIT 1")
+def first_pop(spark, d):
+    return L.first_pop(D.pops(spark, d)).select("pop")
+
+
+@query(f"{WITH_X} SELECT pop, round(max(abs(v)), 6) AS abs_max, round(quantile_cont(abs(v), 0.95), 6) AS abs_p95 FROM x GROUP BY pop")
+def plot_scale(spark, d):
+    return L.plot_scale(D.hourly(spark, d), "v", ["pop"]).select("pop", r6("abs_max", "abs_max"), r6("abs_p95", "abs_p95"))
+
+
+@query(f"{WITH_Y}, k AS (SELECT y - lag(y) OVER (ORDER BY y) AS dy FROM (SELECT DISTINCT y FROM y)) SELECT quantile_cont(dy, 0.5) AS dy FROM k")
+def median_step(spark, d):
+    return L.median_step(D.probe(spark, d))
+
+
+@query(f"{WITH_X}, m AS (SELECT pop, avg(v) AS v FROM x GROUP BY pop) SELECT a.pop AS pop_i, b.pop AS pop_j, round(a.v - b.v, 6) AS v, abs(a.v - b.v) < 0.05 AS weak, a.pop = b.pop AS diagonal FROM m a, m b")
+def matrix_masks(spark, d):
+    mean = D.hourly(spark, d).groupBy("pop").agg(F.avg("v").alias("v"))
+    pairs = C.unordered(D.pops(spark, d), True)
+    pairs = pairs.select("pop_i", "pop_j").union(pairs.where("pop_i <> pop_j").select("pop_j", "pop_i"))
+    both = pairs.join(mean.toDF("pop_i", "vi"), "pop_i").join(mean.toDF("pop_j", "vj"), "pop_j")
+    return L.matrix_masks(both.select("pop_i", "pop_j", (F.col("vi") - F.col("vj")).alias("v")), "v", 0.05).withColumn("v", F.round("v", 6))
+
+
 # --- event-triggered averages ------------------------------------------------------
 
 _TRIG = f"{WITH_X}, r AS (SELECT pop, t, CAST(round_even(t / 3600.0, 0) AS BIGINT) AS c FROM s), e AS (SELECT pop, c, row_number() OVER (PARTITION BY pop ORDER BY t, c) - 1 AS spike FROM r WHERE c - 2 >= 0 AND c + 4 <= 719), w AS (SELECT e.pop, spike, k, x.v FROM e, (SELECT unnest(range(-2, 5)) AS k), x WHERE x.pop = e.pop AND x.i = e.c + k)"
@@ -293,9 +342,9 @@ def sta_avg(spark, d):
     return A.average(_epochs(spark, d), ["pop"], D.HOUR).select("pop", "k", r6("v", "v"), "n")
 
 
-@query(f"{_TRIG} SELECT pop, spike, k, v FROM w WHERE pop = 'click'")
+@query(f"{_TRIG} SELECT pop, spike, k, v FROM w")
 def sta_epochs(spark, d):
-    return _epochs(spark, d).where("pop = 'click'").select("pop", "spike", "k", "v")
+    return _epochs(spark, d).select("pop", "spike", "k", "v")
 
 
 @query(f"{_TRIG} SELECT pop, k, round(avg(v), 6) AS v FROM w GROUP BY pop, k")
@@ -531,11 +580,11 @@ def event_fano(spark, d):
     return E.fano(rows, rows, ["pop"], D.HOUR, D.HOURS).select("pop", r6("fano", "fano"))
 
 
-_JOBS = "j AS (SELECT row_number() OVER (ORDER BY p_size, p_brand) * 7 AS job_id, p_size, p_brand FROM (SELECT DISTINCT p_size, p_brand FROM part WHERE p_partkey % 3 = 0))"
+_JOBS = "j AS (SELECT row_number() OVER (ORDER BY p_size, p_brand) * 7 AS job_id, p_size, p_brand FROM (SELECT DISTINCT p_size, p_brand FROM part))"
 
 
 def _jobs(spark, d):
-    rows = D.table(spark, d, "part").where("p_partkey % 3 = 0").select("p_size", "p_brand").distinct()
+    rows = D.table(spark, d, "part").select("p_size", "p_brand").distinct()
     return rows.withColumn("job_id", (F.row_number().over(Window.orderBy("p_size", "p_brand")) * 7).cast("long"))
 
 

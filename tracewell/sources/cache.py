@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import files, sinks
 
-#: Parameters that change how a result is computed, not what it is.
-EXECUTION_ONLY = frozenset(("compute", "chunks", "engine", "lazy", "n_jobs", "cache", "overwrite", "verbose"))
+#: Parameters that change how a result is computed, not what it is (fixed values).
+EXECUTION_ONLY = frozenset(("compute", "store_proc_info", "load", "engine", "chunks", "open_kwargs", "save_kwargs", "cache_open_kwargs", "cache_save_kwargs"))
 VERSION = 1
 
 
@@ -69,8 +70,16 @@ def append_missing(spark: SparkSession, path: str, jobs: list[int], build: Calla
         have = {int(p.rsplit("=", 1)[1]) for p in files.glob(spark, f"{path.rstrip('/')}/job_id=*")}
     missing = [j for j in jobs if j not in have]
     if missing:
-        build(missing).write.mode("append").partitionBy("job_id").parquet(path)
+        # The settings first, then whole jobs, each by one rename: a job's folder is there complete or not at all.
         files.write_text(spark, side, json.dumps(normalise(meta), sort_keys=True))
+        tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
+        build(missing).write.partitionBy("job_id").parquet(tmp)
+        files.make(spark, path)
+        for made in files.glob(spark, f"{tmp}/job_id=*"):
+            target = f"{path.rstrip('/')}/{made.rsplit('/', 1)[1]}"
+            if not files.exists(spark, target):
+                files.rename(spark, made, target)
+        files.delete(spark, tmp)
     return spark.read.parquet(path)
 
 

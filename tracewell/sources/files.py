@@ -38,6 +38,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def make(spark: SparkSession, path: str) -> None:
+    """A folder and those above it."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
     fs, p = _fs(spark, old)
     if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(new)):

@@ -11,7 +11,7 @@ from . import files
 
 
 def save(df: DataFrame, path: str, meta: dict | None = None, partition_by: list[str] | None = None) -> None:
-    """Write Parquet beside the target, rename it into place, and publish the sidecar last."""
+    """Write Parquet beside the target, rename it into place, and publish the sidecar last; what was there is put aside until then."""
     if not isinstance(df, DataFrame):
         raise TypeError("only tables can be saved")
     spark, path = df.sparkSession, path.rstrip("/")
@@ -19,10 +19,14 @@ def save(df: DataFrame, path: str, meta: dict | None = None, partition_by: list[
     files.delete(spark, tmp)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(tmp)
-    files.delete(spark, path)
+    old = f"{path}.old"
+    files.delete(spark, old)
     files.delete(spark, f"{path}.meta.json")
+    if files.exists(spark, path):
+        files.rename(spark, path, old)
     files.rename(spark, tmp, path)
     files.write_text(spark, f"{path}.meta.json", json.dumps(meta or {}, sort_keys=True))
+    files.delete(spark, old)
 
 
 def load(spark: SparkSession, path: str, cache: bool = False) -> DataFrame:
