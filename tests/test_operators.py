@@ -212,7 +212,7 @@ def test_cache_and_sinks(spark, tmp_path):
 
     src = str(tmp_path / "src")
     sinks.save(spark.range(5), src, {"k": 1})
-    for expected, p in ((False, {"bands": (5, 12)}), (True, {"bands": [5, 12], "lazy": True}), (False, {"bands": [5, 13]})):
+    for expected, p in ((False, {"bands": (5, 12)}), (True, {"bands": [5, 12], "load": True}), (False, {"bands": [5, 13]})):
         _, hit = cache.load_or_run(spark, path, build, "step", p, src)
         assert hit is expected
     assert len(calls) == 2
