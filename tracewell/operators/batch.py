@@ -43,10 +43,14 @@ def require_jobs(grid: DataFrame, results: DataFrame, job: str = "job_id") -> Da
 
 def compatible(results: DataFrame, axes: list[str], job: str = "job_id") -> None:
     """All jobs have the same coordinates; raises otherwise and hints at a common ``t_limits``."""
-    marks = results.groupBy(job).agg(*[F.hash(F.sort_array(F.collect_set(a))).alias(a) for a in axes])
-    n = marks.select(*axes).distinct().limit(2).count()
+    for a in axes:  # count, range and a sum of 64-bit hashes of the distinct coordinates: nothing is collected
+        marks = results.select(job, a).distinct().groupBy(job).agg(F.struct(F.count(F.lit(1)), F.min(a), F.max(a), F.sum(F.xxhash64(a).cast("decimal(20,0)"))).alias("m"))
+        _one_axis(marks.select("m").distinct().limit(2).count(), a)
+
+
+def _one_axis(n: int, axis: str) -> None:
     if n > 1:
-        raise ValueError("jobs differ in their coordinates; set common t_limits")
+        raise ValueError(f"jobs differ in their coordinates ({axis}); set common t_limits")
 
 
 def json_to_long(df: DataFrame, column: str, dims: list[str], keys: list[str], values: dict[str, list[str]] | None = None) -> DataFrame:
@@ -75,6 +79,24 @@ def json_to_long(df: DataFrame, column: str, dims: list[str], keys: list[str], v
     return out.select(*keys, *dims, "value")
 
 
+def json_lists_to_long(df: DataFrame, column: str, dims: list[str], keys: list[str], last: list, dim: str, values: dict[str, list[str]] | None = None) -> DataFrame:
+    """As ``json_to_long`` for lists as leaves: their places are the coordinates ``last`` of one more dimension; a list of another length raises."""
+    kind = "array<double>"
+    for _ in dims:
+        kind = f"map<string,{kind}>"
+    out = df.select(*keys, F.from_json(column, kind).alias("_m"))
+    for d in dims:
+        wanted = (values or {}).get(d)
+        if wanted:  # exactly these keys, looked up in the object
+            out = out.withColumn(d, F.explode(F.lit(wanted))).withColumn("_m", F.try_element_at("_m", F.col(d)))
+        else:
+            out = out.select(*[c for c in out.columns if c != "_m"], F.explode("_m").alias(d, "_m"))
+    wrong = F.raise_error(F.lit(f"a list along {dim} must have {len(last)} values")).cast("array<double>")
+    empty = F.array_repeat(F.lit(None).cast("double"), len(last))
+    leaf = F.when(F.col("_m").isNull(), empty).when(F.size("_m") == len(last), F.col("_m")).otherwise(wrong)
+    return out.select(*keys, *dims, F.explode(F.arrays_zip(F.lit(last).alias(dim), leaf.alias("value"))).alias("_z")).select(*keys, *dims, f"_z.{dim}", "_z.value")
+
+
 def concat_labels(parts: dict[str, DataFrame], label: str = "label") -> DataFrame:
     """Tables of one schema on a new label column."""
     if not parts:

@@ -77,3 +77,50 @@ def clip_frequencies(events: DataFrame, lo: float, hi: float) -> DataFrame:
 def ordered(events: DataFrame, by: tuple[str, ...] = ("channel",), time: str = "peak_time") -> DataFrame:
     """Events in the order of channel and time (ranges over the cluster), the order that their readers expect."""
     return events.orderBy(*by, time)
+
+
+def pack(traces: DataFrame, spectrogram: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
+    """Traces, spectrogram and the events' scalar columns as one result of three tables.
+
+    Traces and spectrogram must have the same channels, and as many samples as power values in each; otherwise raises.
+    """
+    n = traces.groupBy("channel").agg(F.max(F.size("values")).alias("n"))
+    m = spectrogram.groupBy("channel").agg(F.min(F.size("power")).alias("lo"), F.max(F.size("power")).alias("hi"))
+    bad = n.join(m, "channel", "full").where("n IS NULL OR lo IS NULL OR n <> lo OR n <> hi").limit(3).collect()
+    if bad:
+        raise ValueError(f"traces and spectrogram differ in channels {[r.channel for r in bad]}")
+    plain = [f.name for f in events.schema.fields if not isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType | T.BinaryType)]
+    return {"traces": traces, "spectrogram": spectrogram, "events": events.select(*plain)}
+
+
+def unpack(packed: dict[str, DataFrame]) -> DataFrame:
+    """The event table of a packed result; a result that lacks a table raises."""
+    if missing := {"traces", "spectrogram", "events"} - set(packed):
+        raise ValueError(f"the result lacks {sorted(missing)}")
+    return packed["events"]
+
+
+def concat(tables: list[DataFrame]) -> DataFrame:
+    """Event tables one after the other; columns that one lacks are null."""
+    if not tables:
+        raise ValueError("nothing to concatenate")
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def stacked_scale(signal: DataFrame, scale: float, spacing: float, value: str = "v", depth: str = "y") -> DataFrame:
+    """Traces placed at their depths: value times scale times spacing over the 95th percentile of |value| of all, plus the depth (``x``)."""
+    p95 = signal.agg(F.percentile(F.abs(F.col(value)), F.lit(0.95)).alias("p95"))
+    return signal.crossJoin(F.broadcast(p95)).withColumn("x", F.try_divide(F.col(value) * scale * spacing, F.col("p95")) + F.col(depth)).drop("p95")  # one row
+
+
+def intervals_per_channel(intervals: DataFrame) -> DataFrame:
+    """``channel, y, n``: intervals of each channel, its depth from a key ``y_<depth>``."""
+    return intervals.groupBy("channel").agg(F.count(F.lit(1)).alias("n")).withColumn("y", F.expr("try_cast(substring(channel, 3) AS double)")).select("channel", "y", "n")
+
+
+def first_channel(intervals: DataFrame) -> DataFrame:
+    """The channel of the smallest depth that has any interval."""
+    return intervals_per_channel(intervals).orderBy("y", "channel").limit(1)

@@ -46,15 +46,19 @@ def peak(corr: DataFrame) -> DataFrame:
 
 def lead_lag(corr: DataFrame, dt: float, w0: int, w1: int, eps: float = 1e-12) -> DataFrame:
     """Trapezoid integrals of c over negative and positive lags of a window, their difference, and its bounded form; positive: i leads."""
-    def side(name: str, rows: DataFrame) -> DataFrame:
-        ahead = F.lead("c").over(Window.partitionBy("pop_i", "pop_j").orderBy("lag"))
-        steps = rows.withColumn("_s", (F.col("c") + ahead) / 2 * dt)
-        area = F.when(F.count(F.lit(1)) == 1, F.max("c") * dt).otherwise(F.sum("_s"))
-        return steps.groupBy("pop_i", "pop_j").agg(area.alias(name))
-
-    lead = side("lead", corr.where((F.col("lag") >= w0) & (F.col("lag") < 0)))
-    lag = side("lag", corr.where((F.col("lag") > 0) & (F.col("lag") <= w1)))
-    out = corr.select("pop_i", "pop_j").distinct().join(lead, ["pop_i", "pop_j"], "left").join(lag, ["pop_i", "pop_j"], "left")
+    # One window and one aggregation: a step joins two neighbouring lags of one side, the lag 0 is in neither.
+    side = F.signum(F.col("lag"))
+    ahead = F.lead("c").over(Window.partitionBy("pop_i", "pop_j", side).orderBy("lag"))
+    steps = corr.withColumn("_s", (F.col("c") + ahead) / 2 * dt)
+
+    def area(rows: Column) -> Column:
+        inside = F.when(rows, F.col("c"))
+        return F.when(F.count(inside) == 1, F.max(inside) * dt).otherwise(F.sum(F.when(rows, F.col("_s"))))
+
+    # A step that leaves the window is none: its right end must be inside as well.
+    left, right = (F.col("lag") >= w0) & (F.col("lag") < 0), (F.col("lag") > 0) & (F.col("lag") <= w1)
+    steps = steps.withColumn("_s", F.when((F.col("lag") < 0) | (F.col("lag") < w1), F.col("_s")))
+    out = steps.groupBy("pop_i", "pop_j").agg(area(left).alias("lead"), area(right).alias("lag"))
     d = F.col("lead") - F.col("lag")
     nan = F.lit(float("nan"))
     return out.select("pop_i", "pop_j", F.coalesce("lead", nan).alias("lead"), F.coalesce("lag", nan).alias("lag"), F.coalesce(d, nan).alias("diff"), F.coalesce(d / (F.abs("lead") + F.abs("lag") + eps), nan).alias("bounded"))

@@ -13,6 +13,12 @@ RESULT = (
 )
 
 
+def schema(*traces: str) -> str:
+    """The schema of documents that record other traces of cells beside ``V_soma``."""
+    more = "".join(f",{t}:map<string,array<double>>" for t in traces if t != "V_soma")
+    return RESULT[:-1] + more + ">"
+
+
 def _ids(df: DataFrame) -> list[str]:
     return [c for c in ("job_id",) if c in df.columns]
 

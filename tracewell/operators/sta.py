@@ -64,3 +64,16 @@ def center_states(averages: DataFrame, by: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     return averages.withColumn("v", F.col("v") - F.avg(finite("v")).over(Window.partitionBy(*by)))
+
+
+def shared_pops(triggers: DataFrame, signal: DataFrame, pop: str | None = None) -> DataFrame:
+    """Triggers whose population the signal has. A signal without populations takes those of the named one; no overlap raises."""
+    if "pop" not in signal.columns:
+        if pop is None:
+            raise ValueError("the signal has no populations: name that of the triggers")
+        found = triggers.where(F.col("pop") == pop)
+    else:
+        found = triggers.join(signal.select("pop").distinct(), "pop", "left_semi")
+    if found.isEmpty():
+        raise ValueError("triggers and signal share no population")
+    return found

@@ -134,6 +134,12 @@ def difference(traces: DataFrame, by: list[str], depth: str, n: int) -> DataFram
     return traces.groupBy(*by).applyInPandas(run, schema)
 
 
+def windows(values: Column, size: int) -> Column:
+    """``array<struct<s, values>>``: an array cut into windows before they become rows, so that no row carries the whole array."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(size))
+    return F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice(values, s + 1, F.lit(size)).alias("values")))
+
+
 BURSTS = "channel string, win_idx long, band string, peakF double, minF double, maxF double, start double, stop double, absPeakT double, dur double, ncycle double, Foct double, power double, avgpow double"
 
 
@@ -143,8 +149,8 @@ def detect_bursts(traces: DataFrame, fs: float, freqs: list[float], winsz: float
     Windows are rows: a long trace is many tasks' work.
     """
     size = int(winsz * fs)
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("values") - 1, F.lit(0)), F.lit(size)))
-    rows = traces.select(F.col(channel).cast("string").alias("channel"), starts.alias("s"), "values").select("channel", (F.col("s") / size).cast("long").alias("win_idx"), F.slice("values", F.col("s") + 1, F.lit(size)).alias("values"))
+    parts = windows(F.col("values"), size)
+    rows = traces.select(F.col(channel).cast("string").alias("channel"), F.explode(parts).alias("w")).select("channel", (F.col("w.s") / size).cast("long").alias("win_idx"), "w.values")
 
     def run(batches):
         f = np.asarray(freqs, float)

@@ -46,6 +46,45 @@ def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(rows, sums, ["y"], HOURS).select("y", F.col("bin").alias("i"), (F.col("bin") * HOUR).alias("t"), (F.col("n") / F.lit(100.0)).alias("v"))
 
 
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested result document per customer (``job_id``): populations are order states, cells orders, spikes their lines.
+
+    Written to JSON text and parsed again, as documents in files are. A document holds one customer's orders.
+    """
+    from ..operators.parse import schema
+
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_extendedprice").alias("t"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    o = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    cell = F.struct(F.col("o_orderkey").alias("gid"), F.col("o_orderstatus").alias("pop"), F.col("o_totalprice").alias("p"), F.coalesce("lines", F.array().cast("array<struct<n:int,t:double>>")).alias("lines"))
+    jobs = o.groupBy(F.col("o_custkey").alias("job_id")).agg(F.sort_array(F.collect_list(cell)).alias("c"))
+    pops = F.array_sort(F.array_distinct(F.transform("c", lambda x: x["pop"])))
+    y = lambda p: F.when(p == "F", F.array(F.lit(0.0), F.lit(0.25))).when(p == "O", F.array(F.lit(0.25), F.lit(0.5))).otherwise(F.array(F.lit(0.5), F.lit(1.0)))
+    of = lambda p: F.filter("c", lambda x: x["pop"] == p)
+    frame = lambda x: F.array(x["p"], x["p"] * 2, x["p"] * 3)
+    by_pop = lambda f: F.map_from_arrays(pops, F.transform(pops, f))
+    traces = F.map_from_arrays(F.transform("c", lambda x: F.concat(F.lit("cell_"), x["gid"].cast("string"))), F.transform("c", lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2)))
+    doc = F.struct(
+        F.struct(F.lit([[0.0, 100.0], [0.0, 200.0], [0.0, 300.0]]).alias("recordLFP"), F.lit(0.5).alias("recordStep"), F.lit(0.25).alias("dt"), (F.size("c") * 0.5).alias("duration"), F.lit(1000.0).alias("sizeY")).alias("simConfig"),
+        F.struct(
+            by_pop(lambda p: F.struct(F.transform(of(p), lambda x: x["gid"]).alias("cellGids"), F.struct(y(p).alias("ynormRange")).alias("tags"))).alias("pops"),
+            F.transform("c", lambda x: F.struct(F.struct(x["pop"].alias("pop")).alias("tags"))).alias("cells"),
+            F.struct(by_pop(lambda p: F.struct(F.concat(F.lit("type_"), p).alias("cellType"))).alias("popParams")).alias("params"),
+        ).alias("net"),
+        F.struct(
+            F.transform("c", frame).alias("LFP"),
+            by_pop(lambda p: F.transform(of(p), frame)).alias("LFPPops"),
+            F.flatten(F.transform("c", lambda x: F.array_repeat(x["gid"], F.size(x["lines"])))).alias("spkid"),
+            F.flatten(F.transform("c", lambda x: F.transform(x["lines"], lambda q: q["t"]))).alias("spkt"),
+            F.lit([0.0, 0.5, 1.0]).alias("t"),
+            traces.alias("V_soma"),
+            traces.alias("V_dend"),
+        ).alias("simData"),
+    )
+    text = jobs.select("job_id", F.to_json(doc).alias("json"))
+    return text.select("job_id", "json", F.from_json("json", schema("V_dend")).alias("r")).select("job_id", "json", "r.*")
+
+
 #: The same in SQL, as common table expressions.
 S = "s AS (SELECT event_type AS pop, user_id AS gid, (epoch_us(ts) - 1704067200000000) / 1e6 AS t FROM events)"
 P = "p AS (SELECT pop, count(DISTINCT gid) AS n_cells, row_number() OVER (ORDER BY pop) - 1 AS pop_ord FROM s GROUP BY pop)"
@@ -58,3 +97,6 @@ Y = (
     "yg AS (SELECT y, i FROM (SELECT DISTINCT y FROM yr), (SELECT unnest(range(720)) AS i)), "
     "y AS (SELECT yg.y, yg.i, yg.i * 3600.0::DOUBLE AS t, coalesce(k.n, 0) / 100.0::DOUBLE AS v FROM yg LEFT JOIN (SELECT y, i, sum(c) AS n FROM yr GROUP BY 1, 2) k ON k.y = yg.y AND k.i = yg.i)"
 )
+#: Orders as cells of their customer's result (``job_id, gid, pop, price, ord``), and as the populations of it.
+CELLS = "c AS (SELECT o_custkey AS job_id, o_orderkey AS gid, o_orderstatus AS pop, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ord, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) - 1 AS cell_ord FROM orders)"
+POPS = "q AS (SELECT job_id, pop, count(*) AS n_cells, row_number() OVER (PARTITION BY job_id ORDER BY pop) - 1 AS pop_ord FROM c GROUP BY 1, 2)"

@@ -86,8 +86,7 @@ def spectrograms(traces: DataFrame, fs: float, freqs: list[float], winsz: float
     from ..functions import kernels as K
 
     size = int(winsz * fs)
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("values") - 1, F.lit(0)), F.lit(size)))
-    rows = traces.select(F.col(channel).cast("string").alias("channel"), starts.alias("s"), "values").select("channel", F.col("s").cast("long").alias("i0"), F.slice("values", F.col("s") + 1, F.lit(size)).alias("values"))
+    rows = traces.select(F.col(channel).cast("string").alias("channel"), F.explode(T.windows(F.col("values"), size)).alias("w")).select("channel", F.col("w.s").cast("long").alias("i0"), "w.values")
 
     def run(batches):
         f = np.asarray(freqs, float)
@@ -105,7 +104,8 @@ def spectrograms(traces: DataFrame, fs: float, freqs: list[float], winsz: float
 
 def stitched(bundle: DataFrame) -> DataFrame:
     """``channel, freq, power``: windows joined in their order; the frequency axes of channels must agree."""
-    axes = bundle.groupBy("channel").agg(F.hash(F.sort_array(F.collect_set("freq"))).alias("a")).agg(F.countDistinct("a")).first()[0]
+    marks = bundle.select("channel", "freq").distinct().groupBy("channel").agg(F.struct(F.count(F.lit(1)), F.min("freq"), F.max("freq"), F.sum(F.xxhash64("freq").cast("decimal(20,0)"))).alias("a"))
+    axes = marks.agg(F.countDistinct("a")).first()[0]
     if axes > 1:
         raise ValueError("channels differ in their frequencies")
     parts = F.sort_array(F.collect_list(F.struct("win_idx", "power")))

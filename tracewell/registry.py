@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .catalog import QUERIES, SQL, Query, query, r6
 from .operators import batch as B
 from .operators import events as E
 from .operators import masks as M
@@ -20,33 +19,19 @@ from .plans import driver as D
 from .plans import workflows as P_
 from .streaming.rates import windowed_rates
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 S, P, X, Y = D.S, D.P, D.X, D.Y
 WITH_S, WITH_P, WITH_X, WITH_Y = f"WITH {S}", f"WITH {S}, {P}", f"WITH {S}, {P}, {X}", f"WITH {Y}"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(c, name: str):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
-
-
 def queries() -> dict[str, Query]:
+    from . import registry_results  # noqa: F401  (adds its queries to the catalogue)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import registry_results  # noqa: F401
+
     return dict(SQL)
 
 
@@ -255,7 +240,7 @@ def control_sampling(spark, d):
 def resample_linear(spark, d):
     grid = spark.range(2000).select((F.col("id") * 1300.0).alias("t"))
     signal = D.hourly(spark, d)
-    parts = {p: M.resample_linear(signal.where(F.col("pop") == p).select("i", "v"), grid, 0.0, D.HOUR) for p in ("click", "error", "purchase", "signup", "view")}
+    parts = {p: M.resample_linear(signal.where(F.col("pop") == p).select("i", "v"), grid, 0.0, D.HOUR) for p in [r.pop for r in D.pops(spark, d).orderBy("pop").collect()]}
     return B.concat_labels(parts, "pop").select("pop", "t", r6("v", "v"))
 
 
@@ -559,9 +544,9 @@ def event_table_normalise(spark, d):
     return out.select("event_id", "band", "chan", r6("peak_time_s", "peak_time_s"), r6("duration_s", "duration_s"), "event_passed")
 
 
-@query(f"""{_EV} SELECT event_id, band, chan, round_even(ncycle, 6) AS ncycle, round_even("Foct", 6) AS "Foct", dur FROM r WHERE band = 'beta'""")
+@query(f"""{_EV} SELECT event_id, band, chan, round_even(ncycle, 6) AS ncycle, round_even("Foct", 6) AS "Foct", dur FROM r""")
 def event_csv(spark, d):
-    raw = _raw_events(spark, d).where("band = 'beta'").withColumn("peakMUA", F.lit(1.0))
+    raw = _raw_events(spark, d).withColumn("peakMUA", F.lit(1.0))
     return E.csv_table(raw.drop("absPeakT", "absminT", "absmaxT"), 6).select("event_id", "band", "chan", "ncycle", "Foct", "dur")
 
 
@@ -638,20 +623,20 @@ def pop_select(spark, d):
 SQL["pop_select"] = "SELECT 'view' AS pop, 0 AS ord UNION ALL SELECT 'click', 1"
 
 
-@query(f"{WITH_Y} SELECT y, i, v FROM y WHERE t BETWEEN 86400 AND 172800 AND y IN (100, 300)")
+@query(f"{WITH_Y} SELECT y, i, v FROM y WHERE t BETWEEN 86400 AND 172800")
 def time_slice(spark, d):
-    return L.between(D.probe(spark, d), "t", 86400.0, 172800.0).where(F.col("y").isin(100.0, 300.0)).select("y", "i", "v")
+    return L.between(D.probe(spark, d), "t", 86400.0, 172800.0).select("y", "i", "v")
 
 
 # --- whole analyses -----------------------------------------------------------------------
 
 
 @query(
-    f"""{_DFT}, z AS (SELECT a.pop AS pop_i, b.pop AS pop_j, a.seg, avg(a.re * b.re + a.im * b.im) AS re, avg(a.re * b.im - a.im * b.re) AS im FROM f a JOIN f b ON a.seg = b.seg AND a.k = b.k AND a.pop = 'click' AND b.pop <> 'click' WHERE a.k BETWEEN 2 AND 8 GROUP BY 1, 2, 3)
+    f"""{_DFT}, z AS (SELECT a.pop AS pop_i, b.pop AS pop_j, a.seg, avg(a.re * b.re + a.im * b.im) AS re, avg(a.re * b.im - a.im * b.re) AS im FROM f a JOIN f b ON a.seg = b.seg AND a.k = b.k AND a.pop < b.pop WHERE a.k BETWEEN 2 AND 8 GROUP BY 1, 2, 3)
 SELECT pop_i, pop_j, round(sqrt(avg(re / sqrt(re * re + im * im)) * avg(re / sqrt(re * re + im * im)) + avg(im / sqrt(re * re + im * im)) * avg(im / sqrt(re * re + im * im))), 6) AS resultant, count(*) AS n FROM z GROUP BY 1, 2"""
 )
 def sliding_phase(spark, d):
-    pairs = C.unordered(D.pops(spark, d), False).where("pop_i = 'click'")
+    pairs = C.unordered(D.pops(spark, d), False)
     z = P_.sliding_phase(D.hourly(spark, d), pairs, _SIZE, _STEP, D.HOURS, 2, 8, 1.0)
     return z.groupBy("pop_i", "pop_j").agg(r6(F.max("resultant"), "resultant"), F.count(F.lit(1)).alias("n"))
 

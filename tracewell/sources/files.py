@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder, shared by driver and executors and deleted when the driver ends.
+
+    It lies in the session's ``spark.checkpoint.dir``; where that is unset, in a temporary folder (local mode) or the warehouse.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        base = tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/tracewell-{what}-{uuid.uuid4().hex}"
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

@@ -54,6 +54,42 @@ def write_csv(df: DataFrame, path: str, order: str) -> None:
     df.orderBy(order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def save_per_job(df: DataFrame, folder: str, template: str, job: str = "job_id", label: str | None = None) -> None:
+    """One file per job (and label), named by ``{job:05d}`` and ``{label}``: JSON or Parquet by the template's ending.
+
+    Rows are shuffled to their job once; the files that Spark wrote are then renamed, one call per job. A job's rows are one
+    task's work, as a file is one job's result; tables of any size go to ``save``.
+    """
+    spark, keys = df.sparkSession, [job, *([label] if label else [])]
+    tmp = f"{folder.rstrip('/')}/.tmp"
+    writer = df.repartition(*keys).write.mode("overwrite").partitionBy(*keys)
+    writer.json(tmp) if template.endswith(".json") else writer.parquet(tmp)
+    for path in files.glob(spark, f"{tmp}/{'/'.join(k + '=*' for k in keys)}/part-*"):
+        at = dict(part.split("=", 1) for part in path.split("/") if part.split("=", 1)[0] in keys)
+        files.rename(spark, path, f"{folder.rstrip('/')}/{template.format(job=int(at[job]), label=at.get(label or '', ''))}")
+    files.delete(spark, tmp)
+
+
+#: Version of the archive of trains.
+SPIKES_VERSION = 1
+
+
+def save_spikes(spikes: DataFrame, pops: DataFrame, path: str, meta: dict) -> None:
+    """Trains as an archive: tables ``spikes`` and ``pops`` (which keeps populations without spikes, in order) and a sidecar with how they were taken."""
+    save(spikes, f"{path.rstrip('/')}/spikes", meta | {"format_version": SPIKES_VERSION}, ["job_id"] if "job_id" in spikes.columns else None)
+    save(pops, f"{path.rstrip('/')}/pops")
+
+
+def load_spikes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """``spikes, pops, meta`` of an archive; an unknown version or a sidecar without the window raises."""
+    meta = load_meta(spark, f"{path.rstrip('/')}/spikes")
+    if meta.get("format_version") != SPIKES_VERSION:
+        raise ValueError(f"archive version {meta.get('format_version')} is unknown")
+    if missing := {"t0", "tmax", "subtract_t0", "ms"} - set(meta):
+        raise ValueError(f"the archive's sidecar lacks {sorted(missing)}")
+    return load(spark, f"{path.rstrip('/')}/spikes"), load(spark, f"{path.rstrip('/')}/pops"), meta
+
+
 def validate_or_write(spark: SparkSession, path: str, content: dict) -> bool:
     """Write a JSON file, or check that it holds the same; True if it was there."""
     text = json.dumps(content, sort_keys=True)
