@@ -300,3 +300,82 @@ def test_half_written_jobs_are_built_again(spark, tmp_path):
     sinks.save(spark.range(3), str(tmp_path / "t"), {"a": 1})
     sinks.save(spark.range(4), str(tmp_path / "t"), {"a": 2})
     assert sinks.load(spark, str(tmp_path / "t")).count() == 4 and not (tmp_path / "t.old").exists()
+
+
+# --- sweeps, archives, checks ------------------------------------------------------
+
+
+def test_sweep_missing_jobs_raise_or_stay_empty(spark):
+    from tracewell.plans import sweeps
+
+    grid = spark.createDataFrame([(1.0, 1), (2.0, 2), (3.0, None)], "p double, job_id long")
+    results = spark.createDataFrame([(1, 0, 5.0), (7, 0, 9.0)], "job_id long, i long, v double")
+    with pytest.raises(FileNotFoundError):
+        sweeps.on_grid(grid, results)
+    out = {(r.p, r.v) for r in sweeps.on_grid(grid, results, skip_missing=True).collect()}
+    assert out == {(1.0, 5.0), (2.0, None), (3.0, None)}
+
+
+def test_sweep_axes_must_agree(spark):
+    from tracewell.plans import sweeps
+
+    grid = spark.createDataFrame([(1.0, 1), (2.0, 2)], "p double, job_id long")
+    results = spark.createDataFrame([(1, 0, 5.0), (1, 1, 5.0), (2, 0, 9.0), (2, 2, 9.0)], "job_id long, i long, v double")
+    with pytest.raises(ValueError, match="t_limits"):
+        sweeps.on_grid(grid, results, axes=("i",))
+
+
+def test_json_lists_need_their_length(spark):
+    from tracewell.operators import batch
+
+    df = spark.createDataFrame([(1, '{"a": [1.0, 2.0], "b": [3.0, 4.0]}')], "job_id long, j string")
+    out = {(r.pop, r.t, r.value) for r in batch.json_lists_to_long(df, "j", ["pop"], ["job_id"], [10, 20], "t", {"pop": ["b", "c"]}).collect()}
+    assert out == {("b", 10, 3.0), ("b", 20, 4.0), ("c", 10, None), ("c", 20, None)}
+    with pytest.raises(Exception, match="must have 3 values"):
+        batch.json_lists_to_long(df, "j", ["pop"], ["job_id"], [1, 2, 3], "t").collect()
+
+
+def test_archive_round_trip_and_version(spark, tmp_path):
+    from tracewell.sources import files, sinks
+
+    spikes = spark.createDataFrame([(1, "a", 0.5)], "job_id long, pop string, t double")
+    pops = spark.createDataFrame([(1, "a", 1), (1, "b", 0)], "job_id long, pop string, n_cells long")
+    path = f"{tmp_path}/archive"
+    sinks.save_spikes(spikes, pops, path, {"t0": 0.0, "tmax": 1.0, "subtract_t0": False, "ms": False})
+    back, found, meta = sinks.load_spikes(spark, path)
+    assert back.count() == 1 and found.count() == 2 and meta["tmax"] == 1.0
+    files.write_text(spark, f"{path}/spikes.meta.json", '{"format_version": 9}')
+    with pytest.raises(ValueError, match="version"):
+        sinks.load_spikes(spark, path)
+
+
+def test_packed_results_have_one_shape(spark):
+    from tracewell.operators import events
+
+    traces = spark.createDataFrame([("y_1", [1.0, 2.0])], "channel string, values array<double>")
+    good = spark.createDataFrame([("y_1", 4.0, [1.0, 2.0])], "channel string, freq double, power array<double>")
+    short = spark.createDataFrame([("y_1", 4.0, [1.0])], "channel string, freq double, power array<double>")
+    table = spark.createDataFrame([(1, [1.0])], "n long, sig array<double>")
+    assert events.unpack(events.pack(traces, good, table)).columns == ["n"]
+    with pytest.raises(ValueError, match="differ"):
+        events.pack(traces, short, table)
+    with pytest.raises(ValueError, match="lacks"):
+        events.unpack({"traces": traces})
+
+
+def test_triggers_without_shared_population_raise(spark):
+    from tracewell.operators import sta
+
+    triggers = spark.createDataFrame([("a", 1.0)], "pop string, t double")
+    with pytest.raises(ValueError, match="name that"):
+        sta.shared_pops(triggers, spark.createDataFrame([(0, 1.0)], "i long, v double"))
+    with pytest.raises(ValueError, match="share no"):
+        sta.shared_pops(triggers, spark.createDataFrame([("b", 0)], "pop string, i long"))
+
+
+def test_lead_lag_of_narrow_windows(spark):
+    from tracewell.operators import pairs
+
+    corr = spark.createDataFrame([("a", "b", k, float(k * k)) for k in range(-3, 4)], "pop_i string, pop_j string, lag long, c double")
+    r = pairs.lead_lag(corr, 1.0, -1, 2).first()
+    assert (r["lead"], r["lag"]) == (1.0, 2.5)
