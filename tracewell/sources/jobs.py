@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.parse import RESULT
-from ..operators.validate import one_file_per_job
 
 
 def _template(template: str) -> tuple[str, str]:
@@ -26,14 +25,23 @@ def _job(expr: str, group: int = 1, path: str = "_path") -> Column:
     return F.regexp_extract(F.regexp_replace(F.col(path), r"\\\\", "/"), expr, group)
 
 
+def one_each(df: DataFrame, expr: str) -> DataFrame:
+    """The read, if every job (and label) has exactly one file; else raises. Uses the list of files that Spark made for the read."""
+    found: dict[tuple, set[str]] = {}
+    for path in df.inputFiles():
+        if m := re.search(expr, path):
+            found.setdefault(tuple(int(g) if g.isdigit() else g for g in m.groups()), set()).add(path)
+    if bad := sorted((k for k, v in found.items() if len(v) > 1), key=str)[:3]:
+        raise RuntimeError(f"jobs {bad} don't have exactly one file")
+    return df
+
+
 def read_job_json(spark: SparkSession, folder: str, template: str = "result_{job:05d}_*.json", schema: str | None = None) -> DataFrame:
     """One row per job's JSON document, with ``job_id``; a job with several matching files raises."""
     glob, expr = _template(template)
     reader = spark.read.option("multiLine", True).option("pathGlobFilter", glob)
-    df = (reader.schema(schema) if schema else reader).json(folder)
-    df = df.withColumn("_path", F.col("_metadata.file_path")).withColumn("job_id", _job(expr).cast("long"))
-    one_file_per_job(df.select("job_id", F.col("_path").alias("path")))
-    return df.drop("_path")
+    df = one_each((reader.schema(schema) if schema else reader).json(folder), expr)
+    return df.withColumn("_path", F.col("_metadata.file_path")).withColumn("job_id", _job(expr).cast("long")).drop("_path")
 
 
 def read_results(spark: SparkSession, folder: str, template: str = "grid_{job:05d}_data.json") -> DataFrame:
@@ -44,25 +52,29 @@ def read_results(spark: SparkSession, folder: str, template: str = "grid_{job:05
 def read_job_raw(spark: SparkSession, folder: str, template: str, column: str = "json") -> DataFrame:
     """``job_id`` and the whole document as a string."""
     glob, expr = _template(template)
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
+    df = one_each(spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder), expr)
     return df.withColumn("_path", F.col("_metadata.file_path")).select(_job(expr).cast("long").alias("job_id"), F.col("value").alias(column))
 
 
-def read_job_table(spark: SparkSession, folder: str, template: str = "{job:05d}_*.parquet", variable: str | None = None) -> DataFrame:
-    """Per-job Parquet tables as one, with ``job_id``; ``variable`` keeps that column and the coordinates only."""
+def read_job_table(spark: SparkSession, folder: str, template: str = "{job:05d}_*.parquet", variable: str | None = None, coords: list[str] | None = None) -> DataFrame:
+    """Per-job Parquet tables as one, with ``job_id``; ``variable`` keeps that column and the coordinates only.
+
+    Coordinates are those named, else ``t, y, freq, lag`` and every column that is no double.
+    """
     glob, expr = _template(template)
-    df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).parquet(folder)
+    df = one_each(spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).parquet(folder), expr)
     df = df.withColumn("_path", F.col("_metadata.file_path")).withColumn("job_id", _job(expr).cast("long")).drop("_path")
     if variable:
         numbers = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
-        df = df.select([c for c in df.columns if c == variable or c not in numbers or c in ("t", "y", "freq", "lag")])
+        keep = {variable, "job_id", *(coords if coords is not None else [c for c in df.columns if c not in numbers or c in ("t", "y", "freq", "lag")])}
+        df = df.select([c for c in df.columns if c in keep])
     return df
 
 
 def read_job_set(spark: SparkSession, folder: str, template: str = "{job:05d}_{label}.parquet", labels: list[str] | None = None) -> DataFrame:
     """Several labelled tables per job as one, with ``job_id`` and ``label``."""
     glob, expr = _template(template)
-    df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).parquet(folder)
+    df = one_each(spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).parquet(folder), expr)
     df = df.withColumn("_path", F.col("_metadata.file_path")).withColumn("job_id", _job(expr).cast("long")).withColumn("label", _job(expr, 2)).drop("_path")
     return df if labels is None else df.where(F.col("label").isin(labels))
 
@@ -78,7 +90,7 @@ def read_params(spark: SparkSession, folder: str, fields: list[str], glob: str =
 
 def _binary(spark: SparkSession, folder: str, template: str) -> DataFrame:
     glob, expr = _template(template)
-    df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    df = one_each(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder), expr)
     return df.select(F.regexp_extract("path", expr, 1).cast("long").alias("job_id"), "content")
 
 
