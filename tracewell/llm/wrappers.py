@@ -195,11 +195,14 @@ class Page:
             e = self.parent[e]
         return "/".join(reversed(keys))
 
-    def text(self, root: int, skip: frozenset = frozenset()) -> str:
-        """Blocks within an element; if it is the whole page, blocks that are mostly links are menus."""
+    def within(self, root: int) -> list[int]:
+        """The text blocks of an element, by their places; if it is the whole page, blocks that are mostly links are menus and left out."""
         last = self.last[root]
         bare = root == 0 or self.name[root] in ("html", "body")
-        return "\n\n".join(t for i, (e, t, links) in enumerate(self.blocks) if root <= e <= last and i not in skip and not (bare and links > 0.6 and len(t) < 200))
+        return [i for i, (e, t, links) in enumerate(self.blocks) if root <= e <= last and not (bare and links > 0.6 and len(t) < 200)]
+
+    def text(self, root: int, skip: frozenset = frozenset()) -> str:
+        return "\n\n".join(self.blocks[i][1] for i in self.within(root) if i not in skip)
 
 
 class Node:
@@ -305,7 +308,8 @@ def outline(source: str) -> tuple[str, str, list[str], int] | None:
     if not page.blocks:
         return None
     root = page.content()
-    inside = {t for e, t, _ in page.blocks if root <= e <= page.last[root] and page.name[e] not in _HEADINGS and len(t) < 200}
+    blocks = [page.blocks[i] for i in page.within(root)]
+    inside = {t for e, t, _ in blocks if page.name[e] not in _HEADINGS and len(t) < 200}
     return page.path(root), json.dumps(tree(page, root).dump(), separators=(",", ":")), sorted(inside), len(page.text(root))
 
 
