@@ -1,12 +1,40 @@
-"""The driver's tables in the engine's form: events as spikes and signals of 30 days from 2024-01-01."""
+"""The driver's tables in the engine's form: events as spikes, and hourly signals over all days that have events."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HOUR, HOURS, DAYS = 3600.0, 720, 30
-T_END = HOUR * HOURS
+HOUR, DAY = 3600.0, 86400.0
+
+
+def micros() -> Column:
+    """Microseconds of ``ts`` since 1970."""
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("ts"))
+
+
+@lru_cache(maxsize=64)
+def _span(spark: SparkSession, app: str, sf_dir: str) -> tuple[int, int]:
+    first, last = table(spark, sf_dir, "events").agg(F.floor(F.min(micros()) / F.lit(DAY * 1e6)), F.floor(F.max(micros()) / F.lit(DAY * 1e6))).first()
+    return (int(first * DAY * 1e6), 24 * (last - first + 1)) if first is not None else (0, 24)
+
+
+def span(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Start of the first day with events, in microseconds since 1970, and the hours up to the last day's end (24 without events).
+
+    One pass over one column, once a session and directory: the directory's tables are taken not to change in a session.
+    """
+    return _span(spark, spark.sparkContext.applicationId, sf_dir)
+
+
+def hours(spark: SparkSession, sf_dir: str) -> int:
+    return span(spark, sf_dir)[1]
+
+
+def t_end(spark: SparkSession, sf_dir: str) -> float:
+    return HOUR * hours(spark, sf_dir)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pop, gid, t``: event type, user and seconds."""
-    us = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col("ts"))
+    us = micros() - F.lit(span(spark, sf_dir)[0])
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("pop"), F.col("user_id").alias("gid"), (us / F.lit(1e6)).alias("t"))
 
 
@@ -31,7 +59,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pop, i, v``: events an hour on the dense grid."""
     from ..operators import spikes as S
 
-    out = S.rate_dynamics(spikes(spark, sf_dir), pops(spark, sf_dir), ["pop"], 0.0, T_END, HOUR)
+    out = S.rate_dynamics(spikes(spark, sf_dir), pops(spark, sf_dir), ["pop"], 0.0, t_end(spark, sf_dir), HOUR)
     return out.select("pop", F.col("bin").alias("i"), F.round(F.col("rate") * HOUR).alias("v"))
 
 
@@ -40,10 +68,10 @@ def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.spikes import dense
 
     e = table(spark, sf_dir, "events")
-    us = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col("ts"))
+    us = micros() - F.lit(span(spark, sf_dir)[0])
     rows = e.select(((F.col("user_id") % 4 + 1) * 100.0).alias("y"), F.floor(us / F.lit(3600e6)).cast("long").alias("bin"), F.round(F.col("value") * 100).cast("long").alias("c"))
     sums = rows.groupBy("y", "bin").agg(F.sum("c").alias("n"))
-    return dense(rows, sums, ["y"], HOURS).select("y", F.col("bin").alias("i"), (F.col("bin") * HOUR).alias("t"), (F.col("n") / F.lit(100.0)).alias("v"))
+    return dense(rows, sums, ["y"], hours(spark, sf_dir)).select("y", F.col("bin").alias("i"), (F.col("bin") * HOUR).alias("t"), (F.col("n") / F.lit(100.0)).alias("v"))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,15 +114,16 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same in SQL, as common table expressions.
-S = "s AS (SELECT event_type AS pop, user_id AS gid, (epoch_us(ts) - 1704067200000000) / 1e6 AS t FROM events)"
+SPAN = "span AS (SELECT coalesce(CAST(floor(min(epoch_us(ts)) / 86400e6) AS BIGINT), 0) * 86400000000 AS t0, coalesce(CAST(floor(max(epoch_us(ts)) / 86400e6) - floor(min(epoch_us(ts)) / 86400e6) AS BIGINT), 0) * 24 + 24 AS hours FROM events)"
+S = "s AS (SELECT event_type AS pop, user_id AS gid, (epoch_us(ts) - (SELECT t0 FROM span)) / 1e6 AS t FROM events)"
 P = "p AS (SELECT pop, count(DISTINCT gid) AS n_cells, row_number() OVER (ORDER BY pop) - 1 AS pop_ord FROM s GROUP BY pop)"
 X = (
-    "g AS (SELECT pop, pop_ord, i FROM p, (SELECT unnest(range(720)) AS i)), "
+    "g AS (SELECT pop, pop_ord, i FROM p, (SELECT unnest(range(hours)) AS i FROM span)), "
     "x AS (SELECT g.pop, g.pop_ord, g.i, CAST(coalesce(c.n, 0) AS DOUBLE) AS v FROM g LEFT JOIN (SELECT pop, CAST(floor(t / 3600.0) AS BIGINT) AS i, count(*) AS n FROM s GROUP BY 1, 2) c ON c.pop = g.pop AND c.i = g.i)"
 )
 Y = (
-    "yr AS (SELECT (user_id % 4 + 1) * 100.0::DOUBLE AS y, CAST(floor((epoch_us(ts) - 1704067200000000) / 3600e6) AS BIGINT) AS i, CAST(round(value * 100) AS BIGINT) AS c FROM events), "
-    "yg AS (SELECT y, i FROM (SELECT DISTINCT y FROM yr), (SELECT unnest(range(720)) AS i)), "
+    "yr AS (SELECT (user_id % 4 + 1) * 100.0::DOUBLE AS y, CAST(floor((epoch_us(ts) - (SELECT t0 FROM span)) / 3600e6) AS BIGINT) AS i, CAST(round(value * 100) AS BIGINT) AS c FROM events), "
+    "yg AS (SELECT y, i FROM (SELECT DISTINCT y FROM yr), (SELECT unnest(range(hours)) AS i FROM span)), "
     "y AS (SELECT yg.y, yg.i, yg.i * 3600.0::DOUBLE AS t, coalesce(k.n, 0) / 100.0::DOUBLE AS v FROM yg LEFT JOIN (SELECT y, i, sum(c) AS n FROM yr GROUP BY 1, 2) k ON k.y = yg.y AND k.i = yg.i)"
 )
 #: Orders as cells of their customer's result (``job_id, gid, pop, price, ord``), and as the populations of it.

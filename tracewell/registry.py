@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import QUERIES, SQL, Query, query, r6
+from .functions import kernels as K
 from .operators import batch as B
 from .operators import events as E
 from .operators import masks as M
@@ -20,7 +21,7 @@ from .plans import workflows as P_
 from .streaming.rates import windowed_rates
 
 S, P, X, Y = D.S, D.P, D.X, D.Y
-WITH_S, WITH_P, WITH_X, WITH_Y = f"WITH {S}", f"WITH {S}, {P}", f"WITH {S}, {P}, {X}", f"WITH {Y}"
+WITH_S, WITH_P, WITH_X, WITH_Y = f"WITH {D.SPAN}, {S}", f"WITH {D.SPAN}, {S}, {P}", f"WITH {D.SPAN}, {S}, {P}, {X}", f"WITH {D.SPAN}, {Y}"
 
 
 def queries() -> dict[str, Query]:
@@ -40,7 +41,7 @@ def oracle_sql() -> dict[str, str]:
 
 @query(f"{WITH_X} SELECT pop, i AS bin, i * 3600.0::DOUBLE AS t, round(v / 3600.0, 9) AS rate FROM x")
 def rate_dynamics(spark, d):
-    out = R.rate_dynamics(D.spikes(spark, d), D.pops(spark, d), ["pop"], 0.0, D.T_END, D.HOUR)
+    out = R.rate_dynamics(D.spikes(spark, d), D.pops(spark, d), ["pop"], 0.0, D.t_end(spark, d), D.HOUR)
     return out.select("pop", "bin", "t", F.round("rate", 9).alias("rate"))
 
 
@@ -56,29 +57,29 @@ def rate_per_cell(spark, d):
     return R.rates(s, s.select("pop", "gid").distinct(), ["pop", "gid"], 0.0, 432000.0).select("pop", "gid", F.round("rate", 12).alias("rate"))
 
 
-_CV = f"{WITH_S}, d AS (SELECT pop, gid, t - lag(t) OVER (PARTITION BY pop, gid ORDER BY t) AS d FROM s WHERE t BETWEEN 0 AND 2592000), c AS (SELECT pop, gid, stddev_pop(d) / avg(d) AS cv, count(*) AS n_spikes FROM d GROUP BY pop, gid HAVING count(*) >= 3)"
+_CV = f"{WITH_S}, d AS (SELECT pop, gid, t - lag(t) OVER (PARTITION BY pop, gid ORDER BY t) AS d FROM s WHERE t BETWEEN 0 AND (SELECT hours * 3600 FROM span)), c AS (SELECT pop, gid, stddev_pop(d) / avg(d) AS cv, count(*) AS n_spikes FROM d GROUP BY pop, gid HAVING count(*) >= 3)"
 
 
 @query(f"{_CV} SELECT pop, gid, round(cv, 6) AS cv, n_spikes FROM c")
 def isi_cv_cell(spark, d):
-    return R.interval_cv(D.spikes(spark, d), 0.0, D.T_END).select("pop", "gid", r6("cv", "cv"), "n_spikes")
+    return R.interval_cv(D.spikes(spark, d), 0.0, D.t_end(spark, d)).select("pop", "gid", r6("cv", "cv"), "n_spikes")
 
 
 @query(f"{_CV} SELECT pop, round(avg(cv), 6) AS cv, count(*) AS n_cells FROM c GROUP BY pop")
 def isi_cv_pop(spark, d):
-    return R.pop_cv(R.interval_cv(D.spikes(spark, d), 0.0, D.T_END)).select("pop", r6("cv", "cv"), "n_cells")
+    return R.pop_cv(R.interval_cv(D.spikes(spark, d), 0.0, D.t_end(spark, d))).select("pop", r6("cv", "cv"), "n_cells")
 
 
-@query(f"{WITH_X} SELECT pop, i % 24 AS bin, round(sum(v) / 3600.0 / 30, 9) AS rate FROM x GROUP BY 1, 2")
+@query(f"{WITH_X} SELECT pop, i % 24 AS bin, round(sum(v) / 3600.0 / (SELECT hours / 24 FROM span), 9) AS rate FROM x GROUP BY 1, 2")
 def rate_epoch_fold(spark, d):
-    out = R.rate_dynamics(D.spikes(spark, d), D.pops(spark, d), ["pop"], 0.0, D.T_END, D.HOUR, epoch=86400.0)
+    out = R.rate_dynamics(D.spikes(spark, d), D.pops(spark, d), ["pop"], 0.0, D.t_end(spark, d), D.HOUR, epoch=86400.0)
     return out.select("pop", "bin", F.round("rate", 9).alias("rate"))
 
 
-@query(f"{WITH_P}, u AS (SELECT pop, n_cells FROM p UNION ALL SELECT 'none', 0), g AS (SELECT pop, n_cells, i FROM u, (SELECT unnest(range(30)) AS i)) SELECT g.pop, g.i AS bin, CASE WHEN n_cells = 0 THEN 'NaN'::DOUBLE ELSE round(coalesce(n, 0) / 86400.0 / n_cells, 12) END AS rate FROM g LEFT JOIN (SELECT pop, CAST(floor(t / 86400.0) AS BIGINT) AS i, count(*) AS n FROM s GROUP BY 1, 2) c USING (pop, i)")
+@query(f"{WITH_P}, u AS (SELECT pop, n_cells FROM p UNION ALL SELECT 'none', 0), g AS (SELECT pop, n_cells, i FROM u, (SELECT unnest(range(hours // 24)) AS i FROM span)) SELECT g.pop, g.i AS bin, CASE WHEN n_cells = 0 THEN 'NaN'::DOUBLE ELSE round(coalesce(n, 0) / 86400.0 / n_cells, 12) END AS rate FROM g LEFT JOIN (SELECT pop, CAST(floor(t / 86400.0) AS BIGINT) AS i, count(*) AS n FROM s GROUP BY 1, 2) c USING (pop, i)")
 def rate_empty_pop(spark, d):
     units = D.pops(spark, d).select("pop", "n_cells").unionByName(spark.range(1).select(F.lit("none").alias("pop"), F.lit(0).cast("long").alias("n_cells")))
-    return R.rate_dynamics(D.spikes(spark, d), units, ["pop"], 0.0, D.T_END, 86400.0, cells="n_cells").select("pop", "bin", F.round("rate", 12).alias("rate"))
+    return R.rate_dynamics(D.spikes(spark, d), units, ["pop"], 0.0, D.t_end(spark, d), 86400.0, cells="n_cells").select("pop", "bin", F.round("rate", 12).alias("rate"))
 
 
 @query(f"{WITH_S} SELECT pop, gid, t FROM s WHERE gid IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")
@@ -181,14 +182,14 @@ def rolling_mean(spark, d):
     return W.rolling_mean(D.hourly(spark, d), ["pop"], "i", 5, "v").select("pop", "i", r6("v", "v"))
 
 
-_GAUSS = f"""{WITH_X}, k AS (SELECT k, exp(-0.5 * (k / 2.0) * (k / 2.0)) AS w FROM (SELECT unnest(range(-8, 9)) AS k)), kn AS (SELECT k, w / (SELECT sum(w) FROM k) AS w FROM k),
-j AS (SELECT pop, i, w, CASE WHEN i + k < 0 THEN -(i + k) - 1 WHEN i + k > 719 THEN 1439 - (i + k) ELSE i + k END AS q FROM x, kn)
-SELECT j.pop, j.i, round(sum(j.w * x.v), 6) AS v FROM j JOIN x ON x.pop = j.pop AND x.i = j.q GROUP BY j.pop, j.i"""
+_REACH = f"""{WITH_X}, k AS (SELECT k, exp(-0.5 * (k / 2.0) * (k / 2.0)) AS w FROM (SELECT unnest(range(-8, 9)) AS k)), kn AS (SELECT k, w / (SELECT sum(w) FROM k) AS w FROM k),
+j AS (SELECT pop, i, w, CASE WHEN i + k < 0 THEN -(i + k) - 1 WHEN i + k >= (SELECT hours FROM span) THEN 2 * (SELECT hours FROM span) - 1 - (i + k) ELSE i + k END AS q FROM x, kn)"""
+_GAUSS = f"""{_REACH} SELECT j.pop, j.i, round(sum(j.w * x.v), 6) AS v FROM j JOIN x ON x.pop = j.pop AND x.i = j.q GROUP BY j.pop, j.i"""
 
 
 @query(_GAUSS)
 def gaussian_smooth(spark, d):
-    return W.gaussian_smooth(D.hourly(spark, d), ["pop"], "i", D.HOURS, 2.0).select("pop", "i", r6("v", "v"))
+    return W.gaussian_smooth(D.hourly(spark, d), ["pop"], "i", D.hours(spark, d), 2.0).select("pop", "i", r6("v", "v"))
 
 
 @query(_GAUSS)
@@ -223,10 +224,10 @@ def in_out_burst_mean(spark, d):
     return M.conditional_means(_mask(spark, d), ["y"]).select("y", r6("mean_in", "mean_in"), r6("mean_out", "mean_out"), r6("fraction", "fraction"))
 
 
-@query(f"{_MASK}, q AS (SELECT (gid % 4 + 1) * 100.0::DOUBLE AS y, t FROM ({S[6:-1]}) WHERE t <= 719 * 3600) SELECT q.y, m.m AS state, count(*) AS n FROM q JOIN m ON m.y = q.y AND m.i = CAST(floor(q.t / 3600.0 + 0.5) AS BIGINT) GROUP BY 1, 2")
+@query(f"{_MASK}, q AS (SELECT (gid % 4 + 1) * 100.0::DOUBLE AS y, t FROM ({S[6:-1]}) WHERE t <= (SELECT hours - 1 FROM span) * 3600) SELECT q.y, m.m AS state, count(*) AS n FROM q JOIN m ON m.y = q.y AND m.i = CAST(floor(q.t / 3600.0 + 0.5) AS BIGINT) GROUP BY 1, 2")
 def mask_split_counts(spark, d):
     triggers = D.spikes(spark, d).select(((F.col("gid") % 4 + 1) * 100.0).alias("y"), "t")
-    return A.split_by_mask(triggers, _mask(spark, d), ["y"], 0.0, D.HOUR, D.HOURS).groupBy("y", "state").agg(F.count(F.lit(1)).alias("n"))
+    return A.split_by_mask(triggers, _mask(spark, d), ["y"], 0.0, D.HOUR, D.hours(spark, d)).groupBy("y", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -236,17 +237,17 @@ def control_sampling(spark, d):
     return M.control_intervals(on.select("channel", "state", "t_start", "t_end"))
 
 
-@query(f"{WITH_X}, q AS (SELECT unnest(range(0, 2000)) * 1300.0::DOUBLE AS t), z AS (SELECT pop, t, t / 3600.0 AS f, CAST(floor(t / 3600.0) AS BIGINT) AS i FROM q, p) SELECT z.pop, z.t, round(CASE WHEN f = z.i THEN a.v ELSE a.v + (b.v - a.v) * (f - z.i) END, 6) AS v FROM z LEFT JOIN x a ON a.pop = z.pop AND a.i = z.i LEFT JOIN x b ON b.pop = z.pop AND b.i = z.i + 1")
+@query(f"{WITH_X}, q AS (SELECT unnest(range(0, hours * 3600 // 1300 + 7)) * 1300.0::DOUBLE AS t FROM span), z AS (SELECT pop, t, t / 3600.0 AS f, CAST(floor(t / 3600.0) AS BIGINT) AS i FROM q, p) SELECT z.pop, z.t, round(CASE WHEN f = z.i THEN a.v ELSE a.v + (b.v - a.v) * (f - z.i) END, 6) AS v FROM z LEFT JOIN x a ON a.pop = z.pop AND a.i = z.i LEFT JOIN x b ON b.pop = z.pop AND b.i = z.i + 1")
 def resample_linear(spark, d):
-    grid = spark.range(2000).select((F.col("id") * 1300.0).alias("t"))
+    grid = spark.range(D.hours(spark, d) * 3600 // 1300 + 7).select((F.col("id") * 1300.0).alias("t"))
     signal = D.hourly(spark, d)
     parts = {p: M.resample_linear(signal.where(F.col("pop") == p).select("i", "v"), grid, 0.0, D.HOUR) for p in [r.pop for r in D.pops(spark, d).orderBy("pop").collect()]}
     return B.concat_labels(parts, "pop").select("pop", "t", r6("v", "v"))
 
 
-@query(f"{WITH_Y}, q AS (SELECT unnest(range(0, 1500)) * 1800.0::DOUBLE AS t) SELECT a.y, q.t, y.v FROM (SELECT DISTINCT y FROM y) a CROSS JOIN q LEFT JOIN y ON y.y = a.y AND y.i = CAST(ceil(q.t / 3600.0 - 0.5) AS BIGINT)")
+@query(f"{WITH_Y}, q AS (SELECT unnest(range(0, 2 * hours + 60)) * 1800.0::DOUBLE AS t FROM span) SELECT a.y, q.t, y.v FROM (SELECT DISTINCT y FROM y) a CROSS JOIN q LEFT JOIN y ON y.y = a.y AND y.i = CAST(ceil(q.t / 3600.0 - 0.5) AS BIGINT)")
 def resample_nearest(spark, d):
-    grid = spark.range(1500).select((F.col("id") * 1800.0).alias("t"))
+    grid = spark.range(2 * D.hours(spark, d) + 60).select((F.col("id") * 1800.0).alias("t"))
     signal = D.probe(spark, d)
     depths = [r.y for r in signal.select("y").distinct().orderBy("y").collect()]
     return B.concat_labels({y: M.resample_nearest(signal.where(F.col("y") == y).select("i", "v"), grid, 0.0, D.HOUR) for y in depths}, "y").select("y", "t", "v")
@@ -315,11 +316,11 @@ def matrix_masks(spark, d):
 
 # --- event-triggered averages ------------------------------------------------------
 
-_TRIG = f"{WITH_X}, r AS (SELECT pop, t, CAST(round_even(t / 3600.0, 0) AS BIGINT) AS c FROM s), e AS (SELECT pop, c, row_number() OVER (PARTITION BY pop ORDER BY t, c) - 1 AS spike FROM r WHERE c - 2 >= 0 AND c + 4 <= 719), w AS (SELECT e.pop, spike, k, x.v FROM e, (SELECT unnest(range(-2, 5)) AS k), x WHERE x.pop = e.pop AND x.i = e.c + k)"
+_TRIG = f"{WITH_X}, r AS (SELECT pop, t, CAST(round_even(t / 3600.0, 0) AS BIGINT) AS c FROM s), e AS (SELECT pop, c, row_number() OVER (PARTITION BY pop ORDER BY t, c) - 1 AS spike FROM r WHERE c - 2 >= 0 AND c + 4 < (SELECT hours FROM span)), w AS (SELECT e.pop, spike, k, x.v FROM e, (SELECT unnest(range(-2, 5)) AS k), x WHERE x.pop = e.pop AND x.i = e.c + k)"
 
 
 def _epochs(spark, d):
-    return A.epochs_long(D.spikes(spark, d).select("pop", "t"), D.hourly(spark, d), ["pop"], 0.0, D.HOUR, D.HOURS, (-2 * D.HOUR, 4 * D.HOUR))
+    return A.epochs_long(D.spikes(spark, d).select("pop", "t"), D.hourly(spark, d), ["pop"], 0.0, D.HOUR, D.hours(spark, d), (-2 * D.HOUR, 4 * D.HOUR))
 
 
 @query(f"{_TRIG} SELECT pop, k, round(avg(v), 6) AS v, count(*) AS n FROM w GROUP BY pop, k")
@@ -340,18 +341,18 @@ def sta_traces(spark, d):
 
 
 @query(
-    f"""{_MASK}, {S}, q AS (SELECT (gid % 4 + 1) * 100.0::DOUBLE AS y, t FROM s WHERE t <= 719 * 3600),
+    f"""{_MASK}, {S}, q AS (SELECT (gid % 4 + 1) * 100.0::DOUBLE AS y, t FROM s WHERE t <= (SELECT hours - 1 FROM span) * 3600),
 z AS (SELECT q.y, q.t, m.m AS state FROM q JOIN m ON m.y = q.y AND m.i = CAST(floor(q.t / 3600.0 + 0.5) AS BIGINT)),
-c AS (SELECT y, state, CAST(round_even(t / 3600.0, 0) AS BIGINT) AS c FROM z), e AS (SELECT * FROM c WHERE c - 1 >= 0 AND c + 2 <= 719),
+c AS (SELECT y, state, CAST(round_even(t / 3600.0, 0) AS BIGINT) AS c FROM z), e AS (SELECT * FROM c WHERE c - 1 >= 0 AND c + 2 < (SELECT hours FROM span)),
 dm AS (SELECT y, i, v - avg(v) OVER (PARTITION BY y) AS v FROM y)
 SELECT e.y, e.state, k, round(avg(dm.v), 6) AS v, count(*) AS n FROM e, (SELECT unnest(range(-1, 3)) AS k), dm WHERE dm.y = e.y AND dm.i = e.c + k GROUP BY 1, 2, 3"""
 )
 def sta_mask_split(spark, d):
     rows = _mask(spark, d)
     triggers = D.spikes(spark, d).select(((F.col("gid") % 4 + 1) * 100.0).alias("y"), "t")
-    split = A.split_by_mask(triggers, rows, ["y"], 0.0, D.HOUR, D.HOURS)
+    split = A.split_by_mask(triggers, rows, ["y"], 0.0, D.HOUR, D.hours(spark, d))
     signal = W.demean(rows, ["y"]).select("y", "i", "v")
-    parts = {s: A.epochs_long(split.where(F.col("state") == s).select("y", "t"), signal, ["y"], 0.0, D.HOUR, D.HOURS, (-D.HOUR, 2 * D.HOUR)) for s in (0, 1)}
+    parts = {s: A.epochs_long(split.where(F.col("state") == s).select("y", "t"), signal, ["y"], 0.0, D.HOUR, D.hours(spark, d), (-D.HOUR, 2 * D.HOUR)) for s in (0, 1)}
     return A.average(B.concat_labels(parts, "state"), ["y", "state"], D.HOUR).select("y", "state", "k", r6("v", "v"), "n")
 
 
@@ -374,12 +375,12 @@ def _xcorr(spark, d, **how):
     return C.crosscorr(D.hourly(spark, d), C.unordered(D.pops(spark, d)), -6, 6, **how)
 
 
-@query(f"{_corr('x', '720.0')} SELECT pop_i, pop_j, lag, round(c, 6) AS c FROM cc")
+@query(f"{_corr('x', '(SELECT hours FROM span)')} SELECT pop_i, pop_j, lag, round(c, 6) AS c FROM cc")
 def xcorr_raw(spark, d):
     return _xcorr(spark, d).select("pop_i", "pop_j", "lag", r6("c", "c"))
 
 
-@query(f"{_corr('dm', '720.0')} SELECT pop_i, pop_j, lag, round(c, 6) AS c FROM cc")
+@query(f"{_corr('dm', '(SELECT hours FROM span)')} SELECT pop_i, pop_j, lag, round(c, 6) AS c FROM cc")
 def xcorr_demean(spark, d):
     return _xcorr(spark, d, demean=True).select("pop_i", "pop_j", "lag", r6("c", "c"))
 
@@ -418,7 +419,7 @@ def lead_lag_index(spark, d):
 # --- spectra --------------------------------------------------------------------------
 
 _SIZE, _STEP, _KHI = 96, 48, 24
-_DFT = f"""{WITH_X}, sg AS (SELECT unnest(range(14)) AS seg), r AS (SELECT x.pop, seg, x.i - seg * 48 AS j, v FROM x, sg WHERE x.i >= seg * 48 AND x.i < seg * 48 + 96),
+_DFT = f"""{WITH_X}, sg AS (SELECT unnest(range((hours - 96) // 48 + 1)) AS seg FROM span), r AS (SELECT x.pop, seg, x.i - seg * 48 AS j, v FROM x, sg WHERE x.i >= seg * 48 AND x.i < seg * 48 + 96),
 h AS (SELECT pop, seg, j, (v - avg(v) OVER (PARTITION BY pop, seg)) * (0.5 - 0.5 * cos(2 * pi() * j / 96)) / sqrt(0.375 * 96) AS x FROM r),
 f AS (SELECT pop, seg, k, sum(x * cos(-2 * pi() * ((j * k) % 96) / 96)) AS re, sum(x * sin(-2 * pi() * ((j * k) % 96) / 96)) AS im FROM h, (SELECT unnest(range(0, 25)) AS k) GROUP BY 1, 2, 3),
 o AS (SELECT *, CASE WHEN k = 0 OR 2 * k = 96 THEN 1.0 ELSE 2.0 END AS d FROM f)"""
@@ -427,7 +428,7 @@ _COH = f"{_CROSS}, au AS (SELECT pop_i AS pop, freq, sqrt(re * re + im * im) AS
 
 
 def _dft(spark, d):
-    return C.segment_dft(D.hourly(spark, d), _SIZE, _STEP, D.HOURS, 0, _KHI, 1.0)
+    return C.segment_dft(D.hourly(spark, d), _SIZE, _STEP, D.hours(spark, d), 0, _KHI, 1.0)
 
 
 def _cross(spark, d):
@@ -443,7 +444,7 @@ def psd_welch_mean(spark, d):
     return C.welch(_dft(spark, d), _SIZE, 1.0).select("pop", "freq", r6("psd", "psd"))
 
 
-_MEDIAN = f"{_DFT}, b AS (SELECT 1 + sum(1.0 / (2 * n + 1) - 1.0 / (2 * n)) AS b FROM (SELECT unnest(range(1, 7)) AS n)) SELECT pop, k / 96.0 AS freq, round(median((re * re + im * im) * d) / any_value(b.b), 6) AS psd FROM o, b GROUP BY pop, k"
+_MEDIAN = f"{_DFT}, b AS (SELECT 1 + coalesce(sum(1.0 / (2 * n + 1) - 1.0 / (2 * n)), 0) AS b FROM (SELECT unnest(range(1, ((SELECT count(*) FROM sg) - 1) // 2 + 1)) AS n)) SELECT pop, k / 96.0 AS freq, round(median((re * re + im * im) * d) / any_value(b.b), 6) AS psd FROM o, b GROUP BY pop, k"
 
 
 @query(_MEDIAN)
@@ -507,13 +508,48 @@ def psd_postprocess(spark, d):
     return L.between(smooth, "freq", 2 / 96, 20 / 96).select("pop", "freq", r6("psd", "psd"))
 
 
-@query()
+def _filter_sql(band: tuple[float, float], fs: float, pad: int) -> str:
+    """The filter sample by sample over x, extended by pad samples at both ends, there and back: a recursion each way over the states of three sections."""
+    sos = K.butter_sos(3, band, "bandpass", fs)
+    n = lambda v: f"({float(v)!r})::DOUBLE"
+    state = ", ".join(f"p{k}, q{k}" for k in range(3))
+    steady = ", ".join(f"v * {n(a)} AS p{k}, v * {n(b)} AS q{k}" for k, (a, b) in enumerate(K.steady_state(sos)))
+
+    def step(source: str) -> str:
+        for k, row in enumerate(sos):
+            source = f"(SELECT *, {n(row[0])} * {f'o{k - 1}' if k else 'v'} + p{k} AS o{k} FROM {source})"
+        after = ", ".join(f"{n(b1)} * {(i := f'o{k - 1}' if k else 'v')} - {n(a1)} * o{k} + q{k} AS p{k}, {n(b2)} * {i} - {n(a2)} * o{k} AS q{k}" for k, (_, b1, b2, _, a1, a2) in enumerate(sos))
+        return f"SELECT pop, i, o2 AS y, {after} FROM {source}"
+
+    def there(name: str, source: str) -> str:
+        start, following = f"(SELECT pop, i, v, {steady} FROM {source} WHERE i = 0)", f"(SELECT s.pop, s.i, s.v, {state} FROM {name} JOIN {source} s ON s.pop = {name}.pop AND s.i = {name}.i + 1)"
+        return f"{name} AS ({step(start)} UNION ALL {step(following)})"
+
+    ends = f"""e AS (SELECT pop, i + {pad} AS i, v FROM x UNION ALL SELECT x.pop, {pad} - x.i, 2 * b.v - x.v FROM x JOIN x b ON b.pop = x.pop AND b.i = 0 WHERE x.i BETWEEN 1 AND {pad}
+UNION ALL SELECT x.pop, 2 * b.i - x.i + {pad}, 2 * b.v - x.v FROM x JOIN x b ON b.pop = x.pop AND b.i = (SELECT hours - 1 FROM span) WHERE x.i BETWEEN b.i - {pad} AND b.i - 1)"""
+    turned = f"(SELECT hours + {2 * pad - 1} FROM span) - i"
+    return f"{WITH_X.replace('WITH', 'WITH RECURSIVE', 1)}, {ends}, {there('a', 'e')}, r AS (SELECT pop, {turned} AS i, y AS v FROM a), {there('b', 'r')}, u AS (SELECT pop, {turned} - {pad} AS i, y FROM b) SELECT pop, i, round(y, 6) + 0.0 AS v FROM u WHERE i >= 0 AND i < (SELECT hours FROM span)"
+
+
+@query(_filter_sql((0.05, 0.2), 1.0, 21))
 def bandpass_filter(spark, d):
     t = T.to_traces(D.hourly(spark, d), ["pop"], 0.0, D.HOUR)
     return T.to_long(t.withColumn("values", T.filtered("values", (0.05, 0.2), 1.0)), ["pop"]).select("pop", "i", r6("v", "v"))
 
 
-@query()
+def _dft_sql(source: str, by: str, size: int, step: int, top: int, window: str, tag: str, fs: str = "1") -> str:
+    """Segment spectra ``f<tag>`` (by, seg, k, re, im) of a table (by, i, v) up to frequency top / size; window is an expression of ``j``."""
+    return f"""sg{tag} AS (SELECT unnest(range((hours - {size}) // {step} + 1)) AS seg FROM span), w{tag} AS (SELECT j, {window} AS w FROM (SELECT unnest(range({size})) AS j)),
+r{tag} AS (SELECT {by}, seg, i - seg * {step} AS j, v FROM {source}, sg{tag} WHERE i >= seg * {step} AND i < seg * {step} + {size}),
+h{tag} AS (SELECT {by}, seg, j, (v - avg(v) OVER (PARTITION BY {by}, seg)) * w / sqrt({fs}::DOUBLE * (SELECT sum(w * w) FROM w{tag})) AS x FROM r{tag} JOIN w{tag} USING (j)),
+f{tag} AS (SELECT {by}, seg, k, sum(x * cos(-2 * pi() * ((j * k) % {size}) / {size})) AS re, sum(x * sin(-2 * pi() * ((j * k) % {size}) / {size})) AS im FROM h{tag}, (SELECT unnest(range({top + 1})) AS k) GROUP BY 1, 2, 3)"""
+
+
+_HANN97, _HANN96 = "0.5 - 0.5 * cos(2 * pi() * j / 97)", "0.5 - 0.5 * cos(2 * pi() * j / 96)"
+_TUKEY96 = "CASE WHEN j < 12 THEN 0.5 * (1 + cos(pi() * (j / 12.0 - 1))) WHEN j >= 84 THEN 0.5 * (1 + cos(pi() * (j / 12.0 - 7))) ELSE 1.0 END"
+
+
+@query(f"{WITH_X}, {_dft_sql('x', 'pop', 96, 48, 24, _TUKEY96, 't')} SELECT pop, seg * 48 + 48 AS i, k / 96.0 AS freq, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM ft")
 def tf_stft(spark, d):
     t = T.to_traces(D.hourly(spark, d), ["pop"], 0.0, D.HOUR)
     return t.select("pop", F.explode(T.stft("values", 1.0, 96.0, 0.5, 0.25)).alias("z")).select("pop", "z.i", "z.freq", r6("z.re", "re"), r6("z.im", "im"))
@@ -562,7 +598,7 @@ def event_intervals(spark, d):
 @query(f"{WITH_X} SELECT pop, round(var_pop(v) / avg(v), 6) AS fano FROM x GROUP BY pop")
 def event_fano(spark, d):
     rows = D.spikes(spark, d).withColumnRenamed("t", "peak_time_s")
-    return E.fano(rows, rows, ["pop"], D.HOUR, D.HOURS).select("pop", r6("fano", "fano"))
+    return E.fano(rows, rows, ["pop"], D.HOUR, D.hours(spark, d)).select("pop", r6("fano", "fano"))
 
 
 _JOBS = "j AS (SELECT row_number() OVER (ORDER BY p_size, p_brand) * 7 AS job_id, p_size, p_brand FROM (SELECT DISTINCT p_size, p_brand FROM part))"
@@ -637,20 +673,29 @@ SELECT pop_i, pop_j, round(sqrt(avg(re / sqrt(re * re + im * im)) * avg(re / sqr
 )
 def sliding_phase(spark, d):
     pairs = C.unordered(D.pops(spark, d), False)
-    z = P_.sliding_phase(D.hourly(spark, d), pairs, _SIZE, _STEP, D.HOURS, 2, 8, 1.0)
+    z = P_.sliding_phase(D.hourly(spark, d), pairs, _SIZE, _STEP, D.hours(spark, d), 2, 8, 1.0)
     return z.groupBy("pop_i", "pop_j").agg(r6(F.max("resultant"), "resultant"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+# Sampling rates are rounded to five digits, so that 96 hours are 97 samples at 0.00028.
+@query(
+    f"""{_REACH}, sm AS (SELECT j.pop, j.i, sum(j.w * x.v) / 3600.0 AS v FROM j JOIN x ON x.pop = j.pop AND x.i = j.q GROUP BY j.pop, j.i), {_dft_sql('sm', 'pop', 97, 49, 48, _HANN97, 's', '0.00028')},
+b AS (SELECT 1 + coalesce(sum(1.0 / (2 * n + 1) - 1.0 / (2 * n)), 0) AS b FROM (SELECT unnest(range(1, ((SELECT count(*) FROM sgs) - 1) // 2 + 1)) AS n))
+SELECT pop, round(k * 0.00028::DOUBLE / 97, 12) AS freq, round(median((re * re + im * im) * CASE WHEN k = 0 THEN 1.0 ELSE 2.0 END) / any_value(b.b), 12) AS psd FROM fs, b GROUP BY pop, k"""
+)
 def rate_spectra(spark, d):
-    out = P_.rate_spectra(D.spikes(spark, d), D.pops(spark, d), ["pop"], 0.0, D.T_END, D.HOUR, tau=2 * D.HOUR, win_len=96 * D.HOUR, overlap=0.5, fmin=0.0, fmax=1.0)
-    return out.select("pop", "freq", "psd")
+    out = P_.rate_spectra(D.spikes(spark, d), D.pops(spark, d), ["pop"], 0.0, D.t_end(spark, d), D.HOUR, tau=2 * D.HOUR, win_len=96 * D.HOUR, overlap=0.5, fmin=0.0, fmax=1.0)
+    return out.select("pop", F.round("freq", 12).alias("freq"), F.round("psd", 12).alias("psd"))
 
 
-@query()
+@query(
+    f"""{_DFT}, {D.Y}, z AS (SELECT i, v, 'ref' AS name FROM y WHERE y = 100), {_dft_sql('z', 'name', 96, 48, 24, _HANN96, 'z')},
+cz AS (SELECT o.pop, o.k, avg(o.re * q.re + o.im * q.im) * any_value(o.d) AS re, avg(o.re * q.im - o.im * q.re) * any_value(o.d) AS im FROM o JOIN fz q ON q.seg = o.seg AND q.k = o.k WHERE o.k BETWEEN 2 AND 19 GROUP BY 1, 2)
+SELECT pop, round_even(avg(sqrt(re * re + im * im)), 6) AS amp, round_even(atan2(avg(im), avg(re)), 6) AS phase FROM cz GROUP BY pop"""
+)
 def reference_cpsd(spark, d):
     ref = D.probe(spark, d).where("y = 100").select("i", "v")
-    return P_.against_reference(D.hourly(spark, d), ref, D.HOURS, 1.0, 0.0, 0.0, 1.0, 96.0, 0.5, (0.02, 0.2))
+    return P_.against_reference(D.hourly(spark, d), ref, D.hours(spark, d), 1.0, 0.0, 0.0, 1.0, 96.0, 0.5, (0.02, 0.2))
 
 
 @query(f"{WITH_Y}, k AS (SELECT y, i, v - avg(v) OVER (PARTITION BY y) AS v FROM y WHERE t BETWEEN 86400 AND 864000) SELECT y, i, round(v, 6) AS v FROM k")
@@ -663,7 +708,14 @@ def probe_events(spark, d):
     return P_.probe_events(D.probe(spark, d).withColumn("t", F.col("i") / 100.0), 100.0, [float(f) for f in range(4, 31)], ["theta", "alpha", "beta"], winsz=2.4, threshold=3.0)
 
 
-@query()
+@query(
+    f"""{WITH_X}, w AS (SELECT pop, i // 240 AS win, i % 240 AS i, v - avg(v) OVER (PARTITION BY pop, i // 240) AS v FROM x),
+f AS (SELECT f, 7 / (2 * pi() * f) AS s FROM (SELECT unnest(range(4, 31, 2))::DOUBLE AS f)),
+m AS (SELECT f, k, exp(-k * k / 1e4::DOUBLE / (2 * s * s)) / sqrt(s * sqrt(pi()) * 100) AS a, 2 * pi() * f * k / 100 AS ph FROM f, (SELECT unnest(range(-239, 240)) AS k) WHERE abs(k) <= ceil(4 * s * 100)),
+c AS (SELECT a.pop, a.win, m.f, a.i, sum(b.v * m.a * cos(m.ph)) AS re, sum(b.v * m.a * sin(m.ph)) AS im FROM w a JOIN w b ON b.pop = a.pop AND b.win = a.win JOIN m ON m.k = a.i - b.i GROUP BY 1, 2, 3, 4),
+n AS (SELECT pop, win, f, count(*) AS n, max(re * re + im * im) / greatest(median(re * re + im * im), 1e-300) AS p FROM c GROUP BY 1, 2, 3)
+SELECT pop AS channel, f AS freq, CAST(sum(n) AS BIGINT) AS n, round(max(p), 6) AS peak FROM n GROUP BY 1, 2"""
+)
 def spectrogram_stack(spark, d):
     t = T.to_traces(D.hourly(spark, d), ["pop"], 0.0, D.HOUR)
     out = P_.stitched(P_.spectrograms(t, 100.0, [float(f) for f in range(4, 31, 2)], 2.4, channel="pop"))

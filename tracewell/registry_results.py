@@ -27,7 +27,7 @@ from .plans import workflows as P_
 from .sources import cache, config, files, jobs, lineage, sinks
 
 WITH_C, WITH_Q = f"WITH {D.CELLS}", f"WITH {D.CELLS}, {D.POPS}"
-WITH_S, WITH_X, WITH_Y = f"WITH {D.S}", f"WITH {D.S}, {D.P}, {D.X}", f"WITH {D.Y}"
+WITH_S, WITH_X, WITH_Y = f"WITH {D.SPAN}, {D.S}", f"WITH {D.SPAN}, {D.S}, {D.P}, {D.X}", f"WITH {D.SPAN}, {D.Y}"
 
 
 def rows(spark: SparkSession, found: list[tuple], schema: str) -> DataFrame:
@@ -524,7 +524,7 @@ def event_concat(spark, d):
     return E.concat([clicks, e.where("event_type <> 'click'").drop("event_type")])
 
 
-@query(f"{WITH_Y} SELECT y, 720 AS n, round(sum(v), 4) AS total, (SELECT count(*) FROM events) AS events FROM y GROUP BY y")
+@query(f"{WITH_Y} SELECT y, count(*) AS n, round(sum(v), 4) AS total, (SELECT count(*) FROM events) AS events FROM y GROUP BY y")
 def packed_events(spark, d):
     """Traces, a spectrogram of their length and events packed, each table written and read back, and unpacked."""
     from .operators import traces as T
@@ -548,11 +548,11 @@ def shared_triggers(spark, d):
     return A.shared_pops(D.spikes(spark, d), signal).groupBy("pop").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{WITH_X}, r AS (SELECT pop, CAST(round_even(t / 3600.0, 0) AS BIGINT) AS c FROM s), e AS (SELECT * FROM r WHERE c - 1 >= 0 AND c + 2 <= 719), w AS (SELECT e.pop, k, avg(x.v) AS v FROM e, (SELECT unnest(range(-1, 3)) AS k), x WHERE x.pop = e.pop AND x.i = e.c + k GROUP BY 1, 2) SELECT pop, k, round(v - avg(v) OVER (PARTITION BY pop), 6) AS v FROM w")
+@query(f"{WITH_X}, r AS (SELECT pop, CAST(round_even(t / 3600.0, 0) AS BIGINT) AS c FROM s), e AS (SELECT * FROM r WHERE c - 1 >= 0 AND c + 2 < (SELECT hours FROM span)), w AS (SELECT e.pop, k, avg(x.v) AS v FROM e, (SELECT unnest(range(-1, 3)) AS k), x WHERE x.pop = e.pop AND x.i = e.c + k GROUP BY 1, 2) SELECT pop, k, round(v - avg(v) OVER (PARTITION BY pop), 6) AS v FROM w")
 def sta_centred(spark, d):
     """Triggers in milliseconds; averages less their mean."""
     triggers = D.spikes(spark, d).select("pop", A.to_seconds(F.col("t") * 1000.0, "ms").alias("t"))
-    rows_ = A.epochs_long(triggers, D.hourly(spark, d), ["pop"], 0.0, D.HOUR, D.HOURS, (-D.HOUR, 2 * D.HOUR))
+    rows_ = A.epochs_long(triggers, D.hourly(spark, d), ["pop"], 0.0, D.HOUR, D.hours(spark, d), (-D.HOUR, 2 * D.HOUR))
     return A.center_states(A.average(rows_, ["pop"], D.HOUR), ["pop"]).select("pop", "k", r6("v", "v"))
 
 
