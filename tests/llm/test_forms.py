@@ -327,6 +327,17 @@ def test_wrapper_is_of_all_pages(spark):
     assert "section.plain" in wrappers.expression(wrappers.Wrapper(found["h"]).root)
 
 
+def test_large_hosts_are_dealt_among_groups(spark):
+    """Texts and notices do not depend on the number of groups; small hosts have one, and the number follows the host's pages."""
+    rows = [(k, "http://big/", page(k, 2 + k % 4, "<aside>ad</aside>" if k % 3 else "")) for k in range(400)] + [(400 + k, f"http://s{k % 5}/", page(k, 3)) for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = wrappers.large_hosts(pages, together=10_000), wrappers.large_hosts(pages, together=9)
+    assert one.count() == 0 and [r.salts for r in many.collect()] == [45]
+    assert {(r.host, r.salts) for r in wrappers.salted(pages.select(wrappers.host_of("url").alias("host")), many).collect()} == {("big", 45), *((f"s{k}", 1) for k in range(5))}
+    texts = [{(r.page_id, r.text) for r in wrappers.extract_main(pages, wrappers.infer_wrappers(pages, large=x, buckets=b), large=x).collect()} for x, b in ((one, 1), (one, 16), (many, 16), (wrappers.large_hosts(pages, together=2), 1))]
+    assert len(texts[0]) == len(rows) and all(t == texts[0] for t in texts) and not any("Sign up" in t for _, t in texts[0])
+
+
 def test_counts_keep_what_is_on_most_pages():
     counts = wrappers.Counts()
     for k in range(5000):

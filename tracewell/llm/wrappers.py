@@ -9,8 +9,8 @@ template; short blocks within them whose text is the same on nearly all pages of
 then matched against its host's wrapper; where that finds no content element, the page's own structure decides.
 
 Wrappers are fitted on all pages; copies count once. Each page is reduced to its outline before a shuffle. Outlines
-of a host are dealt to ``buckets`` by their hashes and stream through in a fixed order, so neither the order of rows nor the
-partitions change a wrapper. A task holds wrappers and, per template, counts of texts that lag at most ``LAG`` of
+of a host are dealt to groups by their hashes, more of them for hosts of more pages, and stream through in a fixed order, so neither
+the order of rows nor the partitions change a wrapper. A task holds wrappers and, per template, counts of texts that lag at most ``LAG`` of
 its pages behind. Cases: null or empty html gives an empty text; a null URL has the empty host; broken and
 truncated markup is closed at the end; repeated rows give equal rows; an empty table gives none.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as htmllib
 import json
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -441,8 +442,34 @@ def host_of(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", buckets: int = 16) -> DataFrame:
-    """``host, wrapper`` (JSON), each from all different pages of the host. Outlines are shuffled, not pages; one host's are spread over ``buckets``."""
+PARTS = 65_536
+
+
+def large_hosts(pages: DataFrame, url: str = "url", together: int = 128) -> DataFrame:
+    """``part, salts``: the parts of hosts (by hash) that have more than ``together`` pages and more than four times the mean, and among how many groups each is dealt.
+
+    Counts of PARTS parts go to the driver. Fewer than a quarter of them can have over four times the mean, so the result has under
+    16,384 rows at any size of the input and may be broadcast.
+    """
+    counts = pages.select(part_of(host_of(url)).alias("part")).groupBy("part").count().collect()
+    most = max(together, 4 * sum(r[1] for r in counts) / PARTS)
+    return pages.sparkSession.createDataFrame([(r[0], math.ceil(r[1] / most)) for r in counts if r[1] > most], "part int, salts int")
+
+
+def part_of(host):
+    return F.pmod(F.xxhash64(host), F.lit(PARTS)).cast("int")
+
+
+def salted(rows: DataFrame, large: DataFrame, least: int = 1) -> DataFrame:
+    """rows with a column ``salts``: among how many groups the pages of a row's ``host`` are dealt."""
+    both = rows.withColumn("part", part_of("host")).join(F.broadcast(large), "part", "left")
+    return both.withColumn("salts", F.greatest(F.col("salts"), F.lit(least))).drop("part")
+
+
+def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", buckets: int = 16, large: DataFrame | None = None) -> DataFrame:
+    """``host, wrapper`` (JSON), each from all different pages of the host. Outlines are shuffled, not pages; one host's are spread over
+    ``buckets``, or as many groups as :func:`large_hosts` gives it, whose parts are joined 64 at a time first."""
+    large = large_hosts(pages, url) if large is None else large
     rows = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).where(F.length("html") > 0).withColumn("h", F.xxhash64("html"))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,7 +482,7 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", bucke
                 yield pa.record_batch({"host": kept.column(0), "h": kept.column(2), "template": pa.array(template, pa.string()), "node": pa.array(node, pa.string()), "texts": pa.array(texts, pa.list_(pa.string())), "size": pa.array(size, pa.int64())})
 
     outlines = rows.mapInArrow(reduce, "host string, h long, template string, node string, texts array<string>, size long")
-    dealt = outlines.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")).repartition("host", "bucket").sortWithinPartitions("host", "bucket", "h")
+    dealt = salted(outlines, large, buckets).withColumn("bucket", F.pmod("h", "salts").cast("int")).drop("salts").repartition("host", "bucket").sortWithinPartitions("host", "bucket", "h")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def part() -> pa.RecordBatch:
@@ -474,21 +501,32 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", bucke
         if at:
             yield part()
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def joined(pdf: pd.DataFrame) -> Host:
         host = Host()
         for part in pdf.sort_values("bucket")["part"]:
             host.join(part)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(host.spec())]})
+        return host
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "bucket": [pdf["bucket"].min()], "part": [joined(pdf).dump()]})
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(joined(pdf).spec())]})
 
-    return dealt.mapInArrow(align, "host string, bucket int, part string").groupBy("host").applyInPandas(fit, "host string, wrapper string")
+    schema = "host string, bucket int, part string"
+    parts = dealt.mapInArrow(align, schema)
+    parts = parts.groupBy("host", F.floor(F.col("bucket") / 64).alias("group")).applyInPandas(some, schema)
+    return parts.groupBy("host").applyInPandas(fit, "host string, wrapper string")
 
 
-def extract_main(pages: DataFrame, wrappers: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", salts: int = 16) -> DataFrame:
-    """``page_id, url, text`` of every page; hosts are salted, since one may have a third of all pages. A wrapper is read once per salt, then its pages stream past it."""
+def extract_main(pages: DataFrame, wrappers: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", large: DataFrame | None = None) -> DataFrame:
+    """``page_id, url, text`` of every page; a host is dealt among as many groups as :func:`large_hosts` gives it, since one may have a third of
+    all pages. A wrapper is read once per group, then its pages stream past it."""
+    large = large_hosts(pages, url) if large is None else large
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
-    rows = rows.select("host", F.pmod(F.xxhash64("html", "page_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("page"), "page_id", "url", "html")
+    rows = salted(rows, large).select("host", F.pmod(F.xxhash64("html", "page_id"), "salts").cast("int").alias("salt"), F.lit(1).alias("page"), "page_id", "url", "html")
     none = [F.lit(None).cast(kind).alias(name) for name, kind in (("page_id", "long"), ("url", rows.schema["url"].dataType))]
-    heads = wrappers.select("host", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("page"), *none, F.col("wrapper").alias("html"))
+    heads = salted(wrappers, large).select("host", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("page"), *none, F.col("wrapper").alias("html"))
     dealt = heads.unionByName(rows).repartition("host", "salt").sortWithinPartitions("host", "salt", "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,5 +549,6 @@ def extract_main(pages: DataFrame, wrappers: DataFrame, page_id: str = "page_id"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    found = extract_main(pages, infer_wrappers(pages))
+    large = large_hosts(pages)
+    found = extract_main(pages, infer_wrappers(pages, large=large), large=large)
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
