@@ -16,6 +16,7 @@ MODULES = {
     "op8_decontamination": "decontam",
     "op9_warc": "warc",
     "op10_secrets": "secrets",
+    "op11_urls": "urls",
 }
 
 
