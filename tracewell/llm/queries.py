@@ -17,6 +17,7 @@ MODULES = {
     "op9_warc": "warc",
     "op10_secrets": "secrets",
     "op11_urls": "urls",
+    "op12_turns": "turns",
 }
 
 
