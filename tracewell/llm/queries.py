@@ -18,6 +18,7 @@ MODULES = {
     "op10_secrets": "secrets",
     "op11_urls": "urls",
     "op12_turns": "turns",
+    "op13_whitening": "whitening",
 }
 
 
