@@ -124,9 +124,12 @@ def leading(product, d: int, k: int, block: int = BLOCK, basis: int = BASIS, res
 def fit(vectors: DataFrame, k: int = COMPONENTS) -> Model | None:
     """Fits on each distinct vector of ``x`` once; None without any."""
     distinct = materialize(vectors.select("x").distinct(), "fit")
-    n, d = distinct.agg(F.count("x"), F.max(F.size("x"))).first()
+    n, d, least = distinct.agg(F.count("x"), F.max(F.size("x")), F.min(F.size("x"))).first()
     if not n or not d:
         return None
+    if least < d:
+        distinct = materialize(distinct.select(F.concat("x", F.array_repeat(F.lit(0).cast("long"), d - F.size("x"))).alias("x")).distinct(), "padded")
+        n = distinct.count()
 
     def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = np.zeros((2, d), object)  # exact in Python's integers, whatever the sizes
