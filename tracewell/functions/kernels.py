@@ -78,8 +78,13 @@ def _sections(z: np.ndarray, p: np.ndarray, gain: float) -> np.ndarray:
 
 def sosfilt(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
     """Filter rows of x (rows, time) from a state (sections, rows, 2), transposed direct form II."""
-    y = np.array(x, float, order="F")
-    for (b0, b1, b2, _, a1, a2), s in zip(sos, state, strict=True):
+    return sosfilt_on(sos, x, state)[0]
+
+
+def sosfilt_on(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`sosfilt`, with the state after the last sample, from which a next piece goes on."""
+    y, left = np.array(x, float, order="F"), np.empty((len(sos), len(x), 2))
+    for k, ((b0, b1, b2, _, a1, a2), s) in enumerate(zip(sos, state, strict=True)):
         s1, s2 = s[:, 0].copy(), s[:, 1].copy()
         for i in range(y.shape[1]):
             v = y[:, i].copy()
@@ -87,7 +92,13 @@ def sosfilt(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
             s1 = b1 * v - a1 * out + s2
             s2 = b2 * v - a2 * out
             y[:, i] = out
-    return y
+        left[k, :, 0], left[k, :, 1] = s1, s2
+    return y, left
+
+
+def pad_length(sos: np.ndarray) -> int:
+    """Samples by which a trace is extended at each end before zero-phase filtering."""
+    return 3 * (2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum())))
 
 
 def steady_state(sos: np.ndarray) -> np.ndarray:
@@ -105,7 +116,7 @@ def filtfilt(x: np.ndarray, band, fs: float, order: int = 3, btype: str = "bandp
     """Zero-phase Butterworth filtering, forward and backward, with odd extension at both ends."""
     x = np.atleast_2d(np.asarray(x, float))
     sos = butter_sos(order, band, btype, fs)
-    pad = 3 * (2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum())))
+    pad = pad_length(sos)
     if x.shape[1] <= pad:
         raise ValueError(f"a trace must be longer than {pad} samples")
     left, right = 2 * x[:, :1] - x[:, pad:0:-1], 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import exact_quantiles
+
 SUMMARY = ("peakF", "ncycle", "Foct", "filtsigcor")
 
 
@@ -112,7 +114,7 @@ def concat(tables: list[DataFrame]) -> DataFrame:
 
 def stacked_scale(signal: DataFrame, scale: float, spacing: float, value: str = "v", depth: str = "y") -> DataFrame:
     """Traces placed at their depths: value times scale times spacing over the 95th percentile of |value| of all, plus the depth (``x``)."""
-    p95 = signal.agg(F.percentile(F.abs(F.col(value)), F.lit(0.95)).alias("p95"))
+    p95 = exact_quantiles(signal, [], F.abs(F.col(value)), {"p95": 0.95})
     return signal.crossJoin(F.broadcast(p95)).withColumn("x", F.try_divide(F.col(value) * scale * spacing, F.col("p95")) + F.col(depth)).drop("p95")  # one row
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import QUERIES, SQL, Query, query, r6
 from .functions import kernels as K
 from .operators import batch as B
+from .operators import chunks as H
 from .operators import events as E
 from .operators import masks as M
 from .operators import pairs as C
@@ -537,6 +538,13 @@ def bandpass_filter(spark, d):
     return T.to_long(t.withColumn("values", T.filtered("values", (0.05, 0.2), 1.0)), ["pop"]).select("pop", "i", r6("v", "v"))
 
 
+@query(_filter_sql((0.05, 0.2), 1.0, 21))
+def bandpass_chunks(spark, d):
+    """The same filter along chunks of 64 hours, states scanned 8 summaries at a time."""
+    chunks = H.to_chunks(D.hourly(spark, d), ["pop"], 64)
+    return H.to_long(H.filtered(chunks, ["pop"], (0.05, 0.2), 1.0, width=8), ["pop"], 64).select("pop", "i", r6("v", "v"))
+
+
 def _dft_sql(source: str, by: str, size: int, step: int, top: int, window: str, tag: str, fs: str = "1") -> str:
     """Segment spectra ``f<tag>`` (by, seg, k, re, im) of a table (by, i, v) up to frequency top / size; window is an expression of ``j``."""
     return f"""sg{tag} AS (SELECT unnest(range((hours - {size}) // {step} + 1)) AS seg FROM span), w{tag} AS (SELECT j, {window} AS w FROM (SELECT unnest(range({size})) AS j)),

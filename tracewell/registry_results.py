@@ -351,6 +351,27 @@ def cached_rates(spark, d):
     return rows(spark, out, "run string, hit boolean, n long, total double")
 
 
+@query(
+    """SELECT run, kind, hit, count(*) + any_value(more) AS n, round(sum(value) + 0.5 * any_value(more), 6) AS total FROM events,
+(VALUES ('first', 'click', false, 0), ('other rows of the file', 'view', false, 0), ('another order', 'view', true, 0), ('a value moved', 'view', false, 0), ('one row more', 'view', false, 1), ('first again', 'click', false, 0)) r(run, kind, hit, more)
+WHERE event_type = kind GROUP BY run, kind, hit"""
+)
+def cached_sources(spark, d):
+    """Results of tables that share a file, or have none: each is known by its rows."""
+    path = files.scratch(spark, "cache") + "/sums"
+    events = D.table(spark, d, "events").select("event_type", "user_id", "value")
+    of = lambda kind: events.where(F.col("event_type") == kind)
+    moved = of("view").withColumn("user_id", F.when(F.col("user_id") == F.lit(events.agg(F.min("user_id")).first()[0]), F.col("user_id") - 1).otherwise(F.col("user_id")))
+    extra = spark.createDataFrame([("view", 0, 0.5)], "event_type string, user_id long, value double").select(*(F.col(f.name).cast(f.dataType) for f in events.schema))
+    runs = [("first", "click", of("click")), ("other rows of the file", "view", of("view")), ("another order", "view", of("view").repartition(7, "user_id")), ("a value moved", "view", moved), ("one row more", "view", of("view").unionByName(extra)), ("first again", "click", of("click"))]
+    out = []
+    for run, kind, source in runs:
+        df, hit = cache.load_or_run(spark, path, lambda source=source: source.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), "sums", None, source)
+        n, total = df.first()
+        out.append((run, kind, hit, n, round(total, 6)))
+    return rows(spark, out, "run string, kind string, hit boolean, n long, total double")
+
+
 @query("SELECT * FROM (VALUES ('same', true), ('order', true), ('execution', true), ('value', false), ('step', false), ('source', false), ('mismatch raises', true), ('upstream', true)) t(what, same)")
 def cache_records(spark, d):
     """Which records have the same id, and that a mismatch raises where it is asked to."""

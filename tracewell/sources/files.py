@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The table written to a :func:`scratch` folder and read again: cuts lineage, and lost executors repeat no earlier work."""
+    path = scratch(df.sparkSession, what) + "/t"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
