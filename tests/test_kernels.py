@@ -132,7 +132,7 @@ def test_bursts_find_an_alpha_burst():
     t = np.arange(n) / fs
     x = 0.05 * RNG.standard_normal(n) + np.where((t > 2) & (t < 3), np.sin(2 * np.pi * 10 * t), 0)
     freqs = np.arange(4.0, 31.0)
-    found = K.bursts(K.normalise_power(K.morlet_power(x, fs, freqs), "mednorm"), freqs, fs, 4.0)
+    found = K.events(K.normalise_power(K.morlet_power(x, fs, freqs), "mednorm"), freqs, fs, 4.0)
     best = max(found, key=lambda b: b["peak_power"] * b["duration"])
     assert best["band"] == "alpha" and abs(best["peak_t"] - 2.5) < 0.5 and best["ncycle"] > 5
     assert np.isnan(K.interval_stats(np.array([1.0, 2.0]))[0])

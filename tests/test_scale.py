@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import kernels as K
 from tracewell.operators import chunks as H
+from tracewell.operators import correlograms as G
 from tracewell.operators.quantiles import exact_quantiles
 from tracewell.sources import cache
 
@@ -75,3 +76,31 @@ def test_tables_without_files_are_not_one_source(spark, tmp_path):
         source = spark.createDataFrame([(x,)], "x int")
         df, was = cache.load_or_run(spark, path, lambda s=source: s, "copy", None, source)
         assert (df.first()["x"], was) == (x, hit)
+
+
+@pytest.mark.parametrize(("n", "size", "lo", "hi"), [(1000, 64, -20, 33), (1000, 1000, -999, 999), (130, 64, 0, 0), (129, 64, -64, -3), (40, 64, -50, 50)])
+def test_correlograms_of_all_pairs(spark, n, size, lo, hi):
+    rng = np.random.default_rng(n)
+    traces = {"a": rng.standard_normal(n) + 5, "b": rng.standard_normal(n).cumsum(), "flat": np.full(n, 2.0), "c": 100 + np.sin(np.arange(n) / 7)}
+    rows = [(c, i, float(v)) for c, x in traces.items() for i, v in enumerate(x)]
+    chunks = H.to_chunks(spark.createDataFrame(rows, "pop string, i long, v double"), ["pop"], size)
+    pairs = [(a, b) for a in traces for b in traces if a <= b]
+    found = G.correlograms(chunks, spark.createDataFrame(pairs, "pop_i string, pop_j string"), size, lo, hi).toPandas()
+    lags = np.arange(max(lo, 1 - n), min(hi, n - 1) + 1)
+    assert len(found) == len(pairs) * len(lags)
+    for a, b in pairs:
+        got = found[(found["pop_i"] == a) & (found["pop_j"] == b)].sort_values("lag")
+        assert (got["lag"] == lags).all()
+        for column, how in (("raw", {}), ("demeaned", {"demean": True}), ("normalised", {"demean": True, "normalise": True})):
+            want = K.crosscorr(traces[a], traces[b], lags, **how)
+            assert np.allclose(got[column], want, rtol=1e-9, atol=1e-9, equal_nan=True), (a, b, column)
+
+
+def test_correlograms_of_bad_windows(spark):
+    chunks = spark.createDataFrame([("a", 0, [1.0, 2.0])], "pop string, chunk long, values array<double>")
+    pairs = spark.createDataFrame([("a", "a")], "pop_i string, pop_j string")
+    with pytest.raises(ValueError, match="reversed"):
+        G.correlograms(chunks, pairs, 2, 1, 0)
+    with pytest.raises(ValueError, match="shorter"):
+        G.correlograms(chunks, pairs, 2, -3, 0)
+    assert G.correlograms(chunks.limit(0), pairs, 2, -1, 1).collect() == []

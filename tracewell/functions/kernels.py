@@ -306,35 +306,69 @@ def normalise_power(power: np.ndarray, how: str) -> np.ndarray:
     raise ValueError("normop must be mednorm or unitnorm")
 
 
-def bursts(power: np.ndarray, freqs: np.ndarray, fs: float, threshold: float, end: float = 0.5, bands: dict = BANDS) -> list[dict]:
-    """Bursts: local maxima at the threshold or above, grown in time and frequency down to ``end`` of the peak.
-
-    A maximum inside a stronger burst's box is part of it.
-    """
+def local_maxima(power: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Places (frequency, time) that reach the threshold and none of their eight neighbours exceeds."""
     padded = np.pad(power, 1, constant_values=-np.inf)
     around = [padded[1 + a : padded.shape[0] - 1 + a, 1 + b : padded.shape[1] - 1 + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
     peak = (power >= threshold) & np.all([power >= x for x in around], axis=0)
-    out: list[dict] = []
-    for fi, ti in sorted(zip(*np.nonzero(peak), strict=True), key=lambda p: (-power[p], p)):
-        if any(b["f0"] <= fi <= b["f1"] and b["t0"] <= ti <= b["t1"] for b in out):
-            continue
-        floor = max(end * power[fi, ti], min(threshold, power[fi, ti]) * end)
-        t0 = t1 = int(ti)
-        while t0 > 0 and power[fi, t0 - 1] >= floor:
-            t0 -= 1
-        while t1 < power.shape[1] - 1 and power[fi, t1 + 1] >= floor:
-            t1 += 1
-        f0 = f1 = int(fi)
-        while f0 > 0 and power[f0 - 1, ti] >= floor:
-            f0 -= 1
-        while f1 < len(freqs) - 1 and power[f1 + 1, ti] >= floor:
-            f1 += 1
-        f, box = float(freqs[fi]), power[f0 : f1 + 1, t0 : t1 + 1]
-        duration = (t1 - t0 + 1) / fs
+    return [(int(a), int(b)) for a, b in zip(*np.nonzero(peak), strict=True)]
+
+
+def grown_box(power: np.ndarray, at: tuple[int, int], floor: float) -> tuple[int, int, int, int]:
+    """(f0, f1, t0, t1), inclusive: how far the row and the column of a place stay at the floor or above."""
+
+    def reach(line: np.ndarray, i: int) -> tuple[int, int]:
+        low = np.flatnonzero(~(line >= floor))
+        k = np.searchsorted(low, i)
+        return (int(low[k - 1]) + 1 if k else 0), (int(low[k]) - 1 if k < len(low) else len(line) - 1)
+
+    (f0, f1), (t0, t1) = reach(power[:, at[1]], at[0]), reach(power[at[0]], at[1])
+    return f0, f1, t0, t1
+
+
+def merged_boxes(boxes: np.ndarray, overlap: float) -> np.ndarray:
+    """A class for each box (f0, f1, t0, t1): boxes join where they share ``overlap`` of the smaller one's area, and so on."""
+    n = len(boxes)
+    parent = np.arange(n)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    area = (boxes[:, 1] - boxes[:, 0] + 1) * (boxes[:, 3] - boxes[:, 2] + 1)
+    for i in range(n):
+        high = np.minimum(boxes[i, 1], boxes[i + 1 :, 1]) - np.maximum(boxes[i, 0], boxes[i + 1 :, 0]) + 1
+        wide = np.minimum(boxes[i, 3], boxes[i + 1 :, 3]) - np.maximum(boxes[i, 2], boxes[i + 1 :, 2]) + 1
+        shared = np.maximum(high, 0) * np.maximum(wide, 0)
+        for j in np.flatnonzero((shared > 0) & (shared >= overlap * np.minimum(area[i], area[i + 1 :]))) + i + 1:
+            a, b = root(i), root(int(j))
+            parent[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(n)], int)
+
+
+def events(power: np.ndarray, freqs: np.ndarray, fs: float, threshold: float, end: float = 0.5, overlap: float = 0.5, bands: dict = BANDS) -> list[dict]:
+    """Events of a window: local maxima, each in a box down to the threshold or ``end`` of its peak (the lower), boxes merged.
+
+    A merged event spans its boxes and has the place of its strongest peak, the earliest and lowest of equal ones.
+    """
+    found = local_maxima(power, threshold)
+    if not found:
+        return []
+    boxes = np.array([grown_box(power, p, min(threshold, end * power[p])) for p in found])
+    classes, out = merged_boxes(boxes, overlap), []
+    for c in np.unique(classes):
+        own = np.flatnonzero(classes == c)
+        f0, t0 = boxes[own][:, (0, 2)].min(0)
+        f1, t1 = boxes[own][:, (1, 3)].max(0)
+        fi, ti = min((found[i] for i in own), key=lambda p: (-power[p], p[1], p[0]))
+        f, duration = float(freqs[fi]), float(t1 - t0 + 1) / fs
         out.append({
-            "f0": f0, "f1": f1, "t0": t0, "t1": t1, "band": next((k for k, (lo, hi) in bands.items() if lo <= f < hi), "unknown"), "peak_f": f, "min_f": float(freqs[f0]), "max_f": float(freqs[f1]),
-            "start": t0 / fs, "stop": t1 / fs, "peak_t": int(ti) / fs, "duration": duration, "ncycle": duration * f, "octaves": float(np.log2(freqs[f1] / freqs[f0])), "peak_power": float(power[fi, ti]), "mean_power": float(box.mean()),
-        })
+            "f0": int(f0), "f1": int(f1), "t0": int(t0), "t1": int(t1), "band": (held := [k for k, (lo, hi) in bands.items() if lo <= f < hi] or ["unknown"])[0], "bands": held, "peak_f": f, "min_f": float(freqs[f0]), "max_f": float(freqs[f1]),
+            "start": float(t0) / fs, "stop": float(t1) / fs, "peak_t": float(ti) / fs, "duration": duration, "ncycle": duration * f, "octaves": float(np.log2(freqs[f1] / freqs[f0])), "peak_power": float(power[fi, ti]),
+            "mean_power": float(power[f0 : f1 + 1, t0 : t1 + 1].mean()), "peaks": len(own),
+        })
     return sorted(out, key=lambda b: (b["start"], b["peak_f"]))
 
 

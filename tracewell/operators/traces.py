@@ -138,31 +138,3 @@ def windows(values: Column, size: int) -> Column:
     """``array<struct<s, values>>``: an array cut into windows before they become rows, so that no row carries the whole array."""
     starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(size))
     return F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice(values, s + 1, F.lit(size)).alias("values")))
-
-
-BURSTS = "channel string, win_idx long, band string, peakF double, minF double, maxF double, start double, stop double, absPeakT double, dur double, ncycle double, Foct double, power double, avgpow double"
-
-
-def detect_bursts(traces: DataFrame, fs: float, freqs: list[float], winsz: float = 10.0, threshold: float = 4.0, normop: str = "mednorm", end: float = 0.5, channel: str = "channel") -> DataFrame:
-    """Oscillation bursts of each trace, window by window, schema ``BURSTS``; times in seconds from the trace's start.
-
-    Windows are rows: a long trace is many tasks' work.
-    """
-    size = int(winsz * fs)
-    parts = windows(F.col("values"), size)
-    rows = traces.select(F.col(channel).cast("string").alias("channel"), F.explode(parts).alias("w")).select("channel", (F.col("w.s") / size).cast("long").alias("win_idx"), "w.values")
-
-    def run(batches):
-        f = np.asarray(freqs, float)
-        for pdf in batches:
-            out = []
-            for name, win, v in zip(pdf["channel"], pdf["win_idx"], pdf["values"], strict=True):
-                x = np.asarray(v, float)
-                if len(x) < 3 or not np.isfinite(x).all():
-                    continue
-                power = K.normalise_power(K.morlet_power(x - x.mean(), fs, f), normop)
-                at = win * size / fs
-                out += [(name, win, b["band"], b["peak_f"], b["min_f"], b["max_f"], at + b["start"], at + b["stop"], at + b["peak_t"], b["duration"], b["ncycle"], b["octaves"], b["peak_power"], b["mean_power"]) for b in K.bursts(power, f, fs, threshold, end)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in BURSTS.split(", ")])
-
-    return rows.mapInPandas(run, BURSTS)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import bursts as U
+from ..operators import chunks as H
 from ..operators import events as E
 from ..operators import masks as M
 from ..operators import pairs as C
@@ -63,13 +65,22 @@ def prepare(signal: DataFrame, t1: float | None, t2: float | None, repair: bool
     return W.demean(out, ["y"])
 
 
-def probe_events(signal: DataFrame, fs: float, freqs: list[float], bands: list[str], t1: float = 0.0, t2: float | None = None, winsz: float = 10.0, threshold: float = 4.0, ncycle_min: float | None = None, current: bool = False) -> DataFrame:
-    """Canonical event rows of every depth of a probe, channels in one job."""
-    ready = prepare(signal, t1, t2, current=current)
-    traces = T.to_traces(ready, ["y"], t1, 1 / fs).withColumn("channel", F.col("y").cast("string"))
-    found = T.detect_bursts(traces, fs, freqs, winsz, threshold)
-    raw = found.select(F.col("channel").cast("double").alias("chan"), "band", "peakF", "minF", "maxF", "ncycle", "Foct", (F.col("absPeakT") * 1000).alias("absPeakT"), (F.col("start") * 1000).alias("absminT"), (F.col("stop") * 1000).alias("absmaxT"), (F.col("dur") * 1000).alias("dur"), "avgpow")
-    return E.normalise(raw, bands, t1, ncycle_min=ncycle_min)
+def probe_events(
+    signal: DataFrame, fs: float, freqs: list[float], bands: list[str], t1: float = 0.0, t2: float | None = None, winsz: float = 10.0, threshold: float = 4.0, ncycle_min: float | None = None, current: bool = False,
+    dynamic: float | None = None, overrides: dict[str, tuple[float, float]] | None = None, filtsigcor_min: float | None = None, overlap: float = 0.5,
+) -> DataFrame:
+    """Canonical event rows of every depth of a probe, channels in one job, windows of a recording in many tasks."""
+    ready = prepare(signal, t1, t2, current=current).withColumn("channel", F.col("y").cast("string"))
+    size = int(winsz * fs)
+    chunks = H.to_chunks(ready, ["channel"], size)
+    return raw_events(U.detect(chunks, fs, freqs, size, threshold, overlap=overlap, dynamic=dynamic, bands=overrides), bands, t1, ncycle_min, filtsigcor_min)
+
+
+def raw_events(found: DataFrame, bands: list[str], t1: float = 0.0, ncycle_min: float | None = None, filtsigcor_min: float | None = None) -> DataFrame:
+    """Detected events in canonical form; times were seconds."""
+    ms = lambda c, name: (F.col(c) * 1000).alias(name)
+    raw = found.select(F.col("channel").cast("double").alias("chan"), "band", "peakF", "minF", "maxF", "ncycle", "Foct", ms("absPeakT", "absPeakT"), ms("start", "absminT"), ms("stop", "absmaxT"), ms("dur", "dur"), "avgpow", "filtsigcor", "CSDwvf", "filtsig")
+    return E.normalise(raw, bands, t1, ncycle_min=ncycle_min, filtsigcor_min=filtsigcor_min)
 
 
 def event_mask(events: DataFrame, signal: DataFrame, t0: float, dt: float) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .catalog import QUERIES, SQL, Query, query, r6
 from .functions import kernels as K
 from .operators import batch as B
+from .operators import bursts as U
 from .operators import chunks as H
+from .operators import correlograms as G
 from .operators import events as E
 from .operators import masks as M
 from .operators import pairs as C
@@ -391,6 +393,13 @@ def xcorr_norm(spark, d):
     return _xcorr(spark, d, demean=True, normalise=True).select("pop_i", "pop_j", "lag", r6("c", "c"))
 
 
+@query(f"SELECT pop_i, pop_j, lag, a.c AS raw, b.c AS demeaned, n.c AS normalised FROM ({SQL['xcorr_raw']}) a JOIN ({SQL['xcorr_demean']}) b USING (pop_i, pop_j, lag) JOIN ({SQL['xcorr_norm']}) n USING (pop_i, pop_j, lag)")
+def xcorr_forms(spark, d):
+    """The three forms from one pass over chunks of two days."""
+    out = G.correlograms(H.to_chunks(D.hourly(spark, d), ["pop"], 48), C.unordered(D.pops(spark, d)), 48, -6, 6)
+    return out.select("pop_i", "pop_j", "lag", r6("raw", "raw"), r6("demeaned", "demeaned"), r6("normalised", "normalised"))
+
+
 @query(f"{_NORM} SELECT pop_i, pop_j, lag, round(c, 6) AS c FROM cc")
 def xcorr_traces(spark, d):
     t = T.to_traces(D.hourly(spark, d), ["pop"], 0.0, D.HOUR)
@@ -565,8 +574,8 @@ def tf_stft(spark, d):
 
 @query()
 def burst_detect(spark, d):
-    t = T.to_traces(D.hourly(spark, d), ["pop"], 0.0, D.HOUR).withColumnRenamed("pop", "channel")
-    return T.detect_bursts(t, 100.0, [float(f) for f in range(4, 31)], winsz=2.4, threshold=3.0)
+    chunks = H.to_chunks(D.hourly(spark, d).withColumnRenamed("pop", "channel"), ["channel"], 240)
+    return U.detect(chunks, 100.0, [float(f) for f in range(4, 31)], 240, 3.0, dynamic=2.0, bands={"alpha": (8.0, 15.0)})
 
 
 # --- events, sweeps --------------------------------------------------------------------
@@ -716,6 +725,27 @@ def probe_events(spark, d):
     return P_.probe_events(D.probe(spark, d).withColumn("t", F.col("i") / 100.0), 100.0, [float(f) for f in range(4, 31)], ["theta", "alpha", "beta"], winsz=2.4, threshold=3.0)
 
 
+_POWER = f"""{WITH_X}, w AS (SELECT pop, i // 240 AS win, i % 240 AS i, v - avg(v) OVER (PARTITION BY pop, i // 240) AS v FROM x),
+f AS (SELECT f, 7 / (2 * pi() * f) AS s FROM (SELECT unnest(range(4, 31, 2))::DOUBLE AS f)),
+m AS (SELECT f, k, exp(-k * k / 1e4::DOUBLE / (2 * s * s)) / sqrt(s * sqrt(pi()) * 100) AS a, 2 * pi() * f * k / 100 AS ph FROM f, (SELECT unnest(range(-239, 240)) AS k) WHERE abs(k) <= ceil(4 * s * 100)),
+c AS (SELECT a.pop, a.win, m.f, a.i, sum(b.v * m.a * cos(m.ph)) AS re, sum(b.v * m.a * sin(m.ph)) AS im FROM w a JOIN w b ON b.pop = a.pop AND b.win = a.win JOIN m ON m.k = a.i - b.i GROUP BY 1, 2, 3, 4),
+q AS (SELECT pop, win, f, i, (re * re + im * im) / greatest(median(re * re + im * im) OVER (PARTITION BY pop, win, f), 1e-300) AS p FROM c)"""
+
+
+@query(
+    f"""{_POWER}, k AS (SELECT pop, win, f, i, p, max(p) OVER (PARTITION BY pop, win, f ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS row_max FROM q),
+n AS (SELECT *, max(row_max) OVER (PARTITION BY pop, win, i ORDER BY f ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM k)
+SELECT pop AS channel, CASE WHEN f < 9 THEN 'theta' WHEN f < 15 THEN 'alpha' WHEN f < 29 THEN 'beta' ELSE 'gamma' END AS band, count(*) AS n, round(max(p), 6) AS strongest FROM n WHERE p >= 3 AND p = near GROUP BY 1, 2"""
+)
+def burst_peaks(spark, d):
+    """Local maxima of the spectrogram in each band."""
+    chunks = H.to_chunks(D.hourly(spark, d).withColumnRenamed("pop", "channel"), ["channel"], 240)
+    found = U.peaks(chunks, 100.0, [float(f) for f in range(4, 31, 2)], 3.0)
+    f = F.col("freq")
+    band = F.when(f < 9, "theta").when(f < 15, "alpha").when(f < 29, "beta").otherwise("gamma")
+    return found.groupBy("channel", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.max("power").alias("p")).select("channel", "band", "n", r6("p", "strongest"))
+
+
 @query(
     f"""{WITH_X}, w AS (SELECT pop, i // 240 AS win, i % 240 AS i, v - avg(v) OVER (PARTITION BY pop, i // 240) AS v FROM x),
 f AS (SELECT f, 7 / (2 * pi() * f) AS s FROM (SELECT unnest(range(4, 31, 2))::DOUBLE AS f)),
