@@ -199,8 +199,6 @@ def test_batch(spark, tmp_path):
 def test_ragged_and_pickles(spark, tmp_path):
     np.savez(tmp_path / "spikes_00003.npz", pop_names=np.array(["A"]), A__values=np.array([0.1, 0.2, 0.3]), A__offsets=np.array([0, 2, 2, 3]), A__gids=np.array([7, 8, 9]))
     assert sorted(values(jobs.read_ragged(spark, str(tmp_path)), "job_id", "gid", "t")) == [(3, 7, 0.1), (3, 7, 0.2), (3, 9, 0.3)]
-    with pytest.raises(ValueError):
-        jobs.read_pickles(spark, str(tmp_path))
 
 
 def test_cache_and_sinks(spark, tmp_path):

@@ -5,6 +5,8 @@ All take arrays whose last axis is time and work on many traces at once.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 BTYPES = ("bandpass", "lowpass", "highpass", "bandstop")
@@ -246,10 +248,21 @@ def diff_keep(x: np.ndarray, n: int) -> np.ndarray:
 # --- sequential sampling -----------------------------------------------------
 
 
-def place_controls(targets: list[float], free: list[tuple[float, float]], rng: np.random.Generator) -> list[tuple[float, float]] | None:
-    """Random places of intervals of given durations in free ones without overlap, longest first; None if one doesn't fit."""
+def interval_stream(seed: int, name: str, k: int, attempt: int) -> np.random.Generator:
+    """The random stream of an interval: a counter-based generator that these four numbers alone determine."""
+    key = int.from_bytes(hashlib.sha256(f"{seed}:{name}".encode()).digest()[:16], "little")
+    return np.random.Generator(np.random.Philox(key=key, counter=[0, 0, k, attempt]))
+
+
+def place_controls(targets: list[float], free: list[tuple[float, float]], rng) -> list[tuple[float, float]] | None:
+    """Random places of intervals of given durations in free ones without overlap, longest first; None if one doesn't fit.
+
+    ``rng`` is one generator for all, or gives each interval's own by its number.
+    """
+    streams = rng if callable(rng) else lambda _: rng
     free, out = sorted(free), [None] * len(targets)
     for i in sorted(range(len(targets)), key=lambda i: (-targets[i], i)):
+        rng = streams(i)
         fits = [j for j, (a, b) in enumerate(free) if b - a >= targets[i]]
         if not fits:
             return None

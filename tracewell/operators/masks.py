@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import sample_controls
+from ..functions.kernels import interval_stream, place_controls, sample_controls
 
 
 def runs(mask: DataFrame, by: list[str], order: str = "i", time: str = "t", value: str = "m") -> DataFrame:
@@ -56,8 +56,11 @@ def control_intervals(intervals: DataFrame, seed: int = 0, tries: int = 100, ind
     """``channel, k, t_start, t_end, seed``: for every interval of state 1 a random one of its length in state 0, without overlap.
 
     One generator serves all channels in the order of their names, so this is one task over the (small) interval table; with
-    ``independent`` each channel has its own and is a task.
+    ``independent`` each channel is a task, and each draw a function of seed, channel, interval and try alone: other channels,
+    the order of rows and lost tasks leave it as it is.
     """
+    if independent:
+        return _independent(intervals, seed, tries, channel)
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         units = {}
@@ -69,4 +72,19 @@ def control_intervals(intervals: DataFrame, seed: int = 0, tries: int = 100, ind
 
     schema = "channel string, k long, t_start double, t_end double, seed long"
     rows = intervals.select(F.col(channel).alias("channel"), "state", "t_start", "t_end") if channel == "channel" else intervals.withColumnRenamed(channel, "channel")
-    return rows.groupBy("channel" if independent else F.lit(1).alias("_all")).applyInPandas(lambda pdf: place(pdf), schema)
+    return rows.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: place(pdf), schema)
+
+
+def _independent(intervals: DataFrame, seed: int, tries: int, channel: str) -> DataFrame:
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf["channel"].iloc[0]
+        of = lambda s: sorted(tuple(x) for x in pdf[pdf["state"] == s][["t_start", "t_end"]].to_numpy())
+        on, off = of(1), of(0)
+        for t in range(tries):
+            found = place_controls([b - a for a, b in on], off, lambda k, t=t: interval_stream(seed, str(name), k, t))
+            if found is not None:
+                return pd.DataFrame([(name, k, a, b, seed + t) for k, (a, b) in enumerate(found)], columns=["channel", "k", "t_start", "t_end", "seed"])
+        raise RuntimeError(f"no placement without overlap was found in {name}")
+
+    rows = intervals.select(F.col(channel).cast("string").alias("channel"), "state", "t_start", "t_end")
+    return rows.groupBy("channel").applyInPandas(place, "channel string, k long, t_start double, t_end double, seed long")

@@ -21,6 +21,7 @@ from .operators import traces as T
 from .operators import windows as W
 from .plans import driver as D
 from .plans import workflows as P_
+from .sources import files
 from .streaming.rates import windowed_rates
 
 S, P, X, Y = D.S, D.P, D.X, D.Y
@@ -240,6 +241,24 @@ def control_sampling(spark, d):
     return M.control_intervals(on.select("channel", "state", "t_start", "t_end"))
 
 
+@query(
+    f"""{WITH_Y}, m AS (SELECT y, i, t, CASE WHEN v > avg(v) OVER w + stddev_pop(v) OVER w THEN 1 ELSE 0 END AS m FROM y WINDOW w AS (PARTITION BY y)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY y ORDER BY i) AS k FROM (SELECT *, CASE WHEN m <> lag(m) OVER (PARTITION BY y ORDER BY i) THEN 1 ELSE 0 END AS c FROM m)),
+z AS (SELECT y, m, max(t) - min(t) AS d FROM r GROUP BY y, k, m) SELECT y, count(*) AS n, sum(d) AS seconds, max(d) AS longest, count(*) AS inside, 0 AS overlaps FROM z WHERE m = 1 GROUP BY y"""
+)
+def control_checks(spark, d):
+    """Controls of each depth against their intervals: as many, as long, each inside one free interval, none over another."""
+    scaled = W.unit_deviation(W.demean(D.probe(spark, d), ["y"]), ["y"])
+    runs = files.written(M.runs(scaled.withColumn("m", (F.col("v") > 1).cast("int")), ["y"]), "runs")
+    placed = M.control_intervals(runs.select(F.col("y").cast("string").alias("channel"), "state", "t_start", "t_end"), independent=True)
+    placed = files.written(placed.withColumn("y", F.col("channel").cast("double")), "controls")
+    free = runs.where("state = 0").select("y", F.col("t_start").alias("a"), F.col("t_end").alias("b"))
+    inside = placed.join(free, "y").where((F.col("t_start") >= F.col("a") - 1e-6) & (F.col("t_end") <= F.col("b") + 1e-6)).groupBy("y").agg(F.count(F.lit(1)).alias("inside"))
+    before = F.max("t_end").over(Window.partitionBy("y").orderBy("t_start").rowsBetween(Window.unboundedPreceding, -1))
+    sums = placed.withColumn("_over", (F.col("t_start") < before).cast("int")).groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("t_end") - F.col("t_start")), 3).alias("seconds"), F.round(F.max(F.col("t_end") - F.col("t_start")), 3).alias("longest"), F.coalesce(F.sum("_over"), F.lit(0)).alias("overlaps"))
+    return sums.join(inside, "y", "left").select("y", "n", "seconds", "longest", "inside", "overlaps")
+
+
 @query(f"{WITH_X}, q AS (SELECT unnest(range(0, hours * 3600 // 1300 + 7)) * 1300.0::DOUBLE AS t FROM span), z AS (SELECT pop, t, t / 3600.0 AS f, CAST(floor(t / 3600.0) AS BIGINT) AS i FROM q, p) SELECT z.pop, z.t, round(CASE WHEN f = z.i THEN a.v ELSE a.v + (b.v - a.v) * (f - z.i) END, 6) AS v FROM z LEFT JOIN x a ON a.pop = z.pop AND a.i = z.i LEFT JOIN x b ON b.pop = z.pop AND b.i = z.i + 1")
 def resample_linear(spark, d):
     grid = spark.range(D.hours(spark, d) * 3600 // 1300 + 7).select((F.col("id") * 1300.0).alias("t"))

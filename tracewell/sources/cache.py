@@ -7,9 +7,11 @@ import json
 import os
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import files, sinks
 
@@ -77,27 +79,65 @@ def load_or_run(spark: SparkSession, path: str, fn: Callable[[], DataFrame], ste
     return sinks.load(spark, path), False
 
 
-def append_missing(spark: SparkSession, path: str, jobs: list[int], build: Callable[[list[int]], DataFrame], meta: dict) -> DataFrame:
-    """A table partitioned by job_id with at least these jobs; only missing ones are built. Other settings than the stored ones raise."""
-    side = f"{path.rstrip('/')}.meta.json"
-    have: set[int] = set()
-    if files.exists(spark, side):
-        if sinks.load_meta(spark, path) != normalise(meta):
-            raise ValueError("the stored jobs were made with other settings")
-        have = {int(p.rsplit("=", 1)[1]) for p in files.glob(spark, f"{path.rstrip('/')}/job_id=*")}
-    missing = [j for j in jobs if j not in have]
-    if missing:
-        # The settings first, then whole jobs, each by one rename: a job's folder is there complete or not at all.
+def finished(spark: SparkSession, path: str, key: str = "job_id") -> set[str]:
+    """Slots of a table of :func:`append_missing` that are there, or are known to have no rows, as texts.
+
+    A table without a ledger has the slots that have a folder.
+    """
+    path = path.rstrip("/")
+    there = {unquote(p.rsplit("=", 1)[1]) for p in files.glob(spark, f"{path}/{key}=*")}
+    if not files.exists(spark, f"{path}.done"):
+        return there
+    records = _ledger(spark, path)
+    return {j for r in records for j in r["with_rows"] if j in there} | {j for r in records for j in r["empty"]}
+
+
+def _ledger(spark: SparkSession, path: str) -> list[dict]:
+    """What the runs have finished, one small file a build."""
+    return [json.loads(files.read_text(spark, p)) for p in files.glob(spark, f"{path}.done/*.json")]
+
+
+def append_missing(spark: SparkSession, path: str, jobs: list, build: Callable[[list], DataFrame], meta: dict, key: str = "job_id", step: int | None = None) -> DataFrame:
+    """A table partitioned by ``key`` with at least these slots; only missing ones are built. Other settings than the stored ones raise.
+
+    Slots are built ``step`` at a time; each build overwrites its own partitions only, and is then entered in the ledger beside
+    the table, with the slots that have no rows. A run that is killed goes on after its last finished build; a slot whose
+    folder is gone is built again.
+    """
+    path = path.rstrip("/")
+    side = f"{path}.meta.json"
+    if files.exists(spark, side) and sinks.load_meta(spark, path) != normalise(meta):
+        raise ValueError("the stored jobs were made with other settings")
+    have = finished(spark, path, key) if files.exists(spark, side) else set()
+    missing = [j for j in dict.fromkeys(jobs) if str(j) not in have]
+    if missing and not files.exists(spark, side):
+        files.make(spark, f"{path}.done")
         files.write_text(spark, side, json.dumps(normalise(meta), sort_keys=True))
-        tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
-        build(missing).write.partitionBy("job_id").parquet(tmp)
-        files.make(spark, path)
-        for made in files.glob(spark, f"{tmp}/job_id=*"):
-            target = f"{path.rstrip('/')}/{made.rsplit('/', 1)[1]}"
-            if not files.exists(spark, target):
-                files.rename(spark, made, target)
-        files.delete(spark, tmp)
-    return spark.read.parquet(path)
+    for at in range(0, len(missing), step or max(len(missing), 1)):
+        part = missing[at : at + (step or len(missing))]
+        made = build(part)
+        for stray in files.glob(spark, f"{path}/{key}=*"):  # of a build that did not come to its end
+            if unquote(stray.rsplit("=", 1)[1]) in set(map(str, part)):
+                files.delete(spark, stray)
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+        there = {unquote(p.rsplit("=", 1)[1]) for p in files.glob(spark, f"{path}/{key}=*")}
+        if not files.exists(spark, f"{path}.done"):  # a table from before there was a ledger
+            _enter(spark, path, sorted(there), [], made)
+        _enter(spark, path, [str(j) for j in part if str(j) in there], [str(j) for j in part if str(j) not in there], made)
+    records = _ledger(spark, path)
+    files.make(spark, path)
+    reader = spark.read
+    if records:
+        reader = reader.schema(StructType.fromJson(json.loads(records[-1]["schema"])))
+    return reader.parquet(path)
+
+
+def _enter(spark: SparkSession, path: str, with_rows: list[str], empty: list[str], made: DataFrame) -> None:
+    """One more file of the ledger, named by its number, published by rename."""
+    target = f"{path}.done/{len(files.glob(spark, f'{path}.done/*.json')):09d}-{uuid.uuid4().hex[:8]}.json"
+    files.make(spark, f"{path}.done")
+    files.write_text(spark, f"{target}.tmp", json.dumps({"with_rows": with_rows, "empty": empty, "schema": made.schema.json()}))
+    files.rename(spark, f"{target}.tmp", target)
 
 
 def tag(**params) -> str:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import io
+import pickle
 import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators.parse import RESULT
+from . import archives
 
 
 def _template(template: str) -> tuple[str, str]:
@@ -97,47 +100,105 @@ def _binary(spark: SparkSession, folder: str, template: str) -> DataFrame:
 SPIKE_ROWS = "job_id long, pop string, cell long, gid long, t double"
 
 
+def _trains(z) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(population, its cells' gids, times one cell after another, offsets) of an archive."""
+    names = [str(p) for p in z["pop_names"]]
+    if "format_version" not in z:  # values, offsets and perhaps gids by the population's name
+        return [(p, z[f"{p}__gids"] if f"{p}__gids" in z else np.full(len(z[f"{p}__offsets"]) - 1, -1), z[f"{p}__values"], z[f"{p}__offsets"]) for p in names]
+    if (version := int(z["format_version"])) != archives.VERSION:
+        raise ValueError(f"archive version {version} is unknown")
+    out = []
+    for k, p in enumerate(names):
+        if bool(z["meta__combine"]):
+            times = z[f"pop_{k}__combined_times"]
+            out.append((p, np.array([-1]), times, np.array([0, len(times)])))
+        else:
+            out.append((p, z[f"pop_{k}__cell_gids"], z[f"pop_{k}__cell_times"], z[f"pop_{k}__cell_offsets"]))
+    return out
+
+
 def read_ragged(spark: SparkSession, folder: str, template: str = "spikes_{job:05d}.npz") -> DataFrame:
-    """Archives of ragged trains (``pop_names``, and per population ``<pop>__values``, ``<pop>__offsets``, ``<pop>__gids``) to spike rows."""
+    """Archives of ragged trains to spike rows: those of ``archives``, whose version is checked, and ones by population name.
+
+    A combined train is one cell of gid -1; cells without spikes have no rows.
+    """
 
     def run(batches):
         for pdf in batches:
             rows = []
             for job, content in zip(pdf["job_id"], pdf["content"], strict=True):
                 with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    for pop in z["pop_names"].astype(str):
-                        values, offsets = z[f"{pop}__values"], z[f"{pop}__offsets"]
-                        gids = z[f"{pop}__gids"] if f"{pop}__gids" in z else np.full(len(offsets) - 1, -1)
+                    for pop, gids, values, offsets in _trains(z):
                         cell = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                        rows.append(pd.DataFrame({"job_id": job, "pop": pop, "cell": cell, "gid": gids[cell], "t": values.astype(float)}))
+                        rows.append(pd.DataFrame({"job_id": job, "pop": pop, "cell": cell, "gid": np.asarray(gids)[cell], "t": values.astype(float)}))
             yield pd.concat(rows) if rows else pd.DataFrame(columns=["job_id", "pop", "cell", "gid", "t"])
 
     return _binary(spark, folder, template).mapInPandas(run, SPIKE_ROWS)
 
 
-def read_pickles(spark: SparkSession, folder: str, template: str = "grid_{job:05d}_data.pkl", allow_pickle: bool = False) -> DataFrame:
-    """Results in pickles, as JSON strings per job (``json``). A pickle can run code: only for files of your own."""
-    if not allow_pickle:
-        raise ValueError("pickles can run code; set allow_pickle=True for files of your own")
+#: What a pickle of plain containers, numbers and numpy arrays names (fixed values).
+PLAIN_GLOBALS = frozenset((
+    ("builtins", "set"), ("builtins", "frozenset"), ("builtins", "complex"), ("builtins", "bytearray"), ("builtins", "slice"), ("builtins", "range"),
+    ("collections", "OrderedDict"), ("_codecs", "encode"),
+    ("numpy", "ndarray"), ("numpy", "dtype"), ("numpy.core.multiarray", "_reconstruct"), ("numpy._core.multiarray", "_reconstruct"),
+    ("numpy.core.multiarray", "scalar"), ("numpy._core.multiarray", "scalar"), ("numpy._core.numeric", "_frombuffer"), ("numpy.core.numeric", "_frombuffer"),
+))
+
+
+class PlainUnpickler(pickle.Unpickler):
+    """Reads containers, numbers, texts and numpy arrays; any other name in a pickle raises before it is looked up."""
+
+    def find_class(self, module: str, name: str):
+        if (module, name) not in PLAIN_GLOBALS:
+            raise pickle.UnpicklingError(f"{module}.{name} is no plain data")
+        return super().find_class(module, name)
+
+
+def load_plain(content: bytes):
+    return PlainUnpickler(io.BytesIO(content)).load()
+
+
+def _jsonable(o):
+    """Containers with text keys and JSON numbers; NaN and infinities become null."""
+    if isinstance(o, dict):
+        return {str(k): _jsonable(v) for k, v in o.items()}
+    if isinstance(o, list | tuple | set | frozenset | range):
+        return [_jsonable(v) for v in o]
+    if hasattr(o, "tolist"):
+        return _jsonable(o.tolist())
+    if isinstance(o, float):
+        return o if np.isfinite(o) else None
+    return o if isinstance(o, str | int | bool) or o is None else str(o)
+
+
+def read_pickles(spark: SparkSession, folder: str, template: str = "grid_{job:05d}_data.pkl", allow_pickle: bool = False, schema: str | None = RESULT) -> DataFrame:
+    """Results in pickles by the parser's schema, or as JSON texts (``json``) with ``schema=None``.
+
+    Only plain containers and numpy arrays are read: a pickle that names anything else raises and runs nothing. With
+    ``allow_pickle`` any pickle is loaded, and can run code: for files of your own.
+    """
 
     def run(batches):
         import json
-        import pickle
 
-        plain = lambda o: o.tolist() if hasattr(o, "tolist") else list(o) if isinstance(o, set | tuple) else str(o)
+        load = pickle.loads if allow_pickle else load_plain
         for pdf in batches:
-            yield pd.DataFrame({"job_id": pdf["job_id"], "json": [json.dumps(pickle.loads(c), default=plain) for c in pdf["content"]]})
+            yield pd.DataFrame({"job_id": pdf["job_id"], "json": [json.dumps(_jsonable(load(c))) for c in pdf["content"]]})
 
     raw = _binary(spark, folder, template).mapInPandas(run, "job_id long, json string")
-    return raw.select("job_id", F.from_json("json", RESULT).alias("r")).select("job_id", "r.*")
+    return raw if schema is None else raw.select("job_id", F.from_json("json", schema).alias("r")).select("job_id", "r.*")
 
 
 def first_available(*loaders) -> DataFrame:
-    """The first source that can be read; the last error if none can."""
-    errors: list[Exception] = []
+    """The first source that is there; the last error if none is. Any other error than a missing source is raised."""
+    missing: Exception | None = None
     for load in loaders:
         try:
             return load()
-        except Exception as e:  # a missing source shows as one of several Spark errors
-            errors.append(e)
-    raise errors[-1] if errors else ValueError("no source")
+        except FileNotFoundError as e:
+            missing = e
+        except AnalysisException as e:  # Spark's form of it; a file that is there but broken is raised
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            missing = e
+    raise missing or ValueError("no source")
