@@ -30,20 +30,21 @@ def rasterise(intervals: DataFrame, grid: DataFrame, by: list[str], t0: float, d
     return grid.join(covered, [*by, "i"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
 
 
-def resample_linear(signal: DataFrame, grid: DataFrame, t0: float, dt: float, time: str = "t") -> DataFrame:
-    """The signal (i, v) at the grid's times by linear interpolation; null outside."""
+def resample_linear(signal: DataFrame, grid: DataFrame, t0: float, dt: float, time: str = "t", by: list[str] | None = None) -> DataFrame:
+    """The signal (``by``, i, v) at the grid's times (``by``, t) by linear interpolation; null outside. Equi-joins for all groups at once."""
+    keys = [*(by or []), "i"]
     at = grid.withColumn("_x", (F.col(time) - t0) / dt).withColumn("i", F.floor("_x").cast("long"))
-    left = signal.select("i", F.col("v").alias("_a"))
-    right = signal.select((F.col("i") - 1).alias("i"), F.col("v").alias("_b"))
-    both = at.join(left, "i", "left").join(right, "i", "left")
+    left = signal.select(*keys, F.col("v").alias("_a"))
+    right = signal.select(*keys[:-1], (F.col("i") - 1).alias("i"), F.col("v").alias("_b"))
+    both = at.join(left, keys, "left").join(right, keys, "left")
     share = F.col("_x") - F.col("i")
     return both.withColumn("v", F.when(share == 0, F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * share)).drop("_x", "_a", "_b", "i")
 
 
-def resample_nearest(signal: DataFrame, grid: DataFrame, t0: float, dt: float, time: str = "t") -> DataFrame:
-    """The nearest sample (the earlier one on ties) at the grid's times; null outside."""
+def resample_nearest(signal: DataFrame, grid: DataFrame, t0: float, dt: float, time: str = "t", by: list[str] | None = None) -> DataFrame:
+    """The nearest sample (the earlier one on ties) at the grid's times, of each group of ``by``; null outside."""
     at = grid.withColumn("i", F.ceil((F.col(time) - t0) / dt - 0.5).cast("long"))
-    return at.join(signal.select("i", "v"), "i", "left").drop("i")
+    return at.join(signal.select(*(by or []), "i", "v"), [*(by or []), "i"], "left").drop("i")
 
 
 def conditional_means(df: DataFrame, by: list[str], mask: str = "m", value: str = "v") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,14 +43,24 @@ def finite(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def with_stat(df: DataFrame, by: list[str], stat: Column, name: str) -> DataFrame:
+    """An aggregate of each group beside its rows: partial sums and a join with one row a group, so no group is one task's rows."""
+    keys = {k: f"_k{i}" for i, k in enumerate(by)}
+    stats = df.groupBy(*(F.col(k).alias(n) for k, n in keys.items())).agg(stat.alias(name))
+    if not by:
+        return df.crossJoin(stats)  # one row
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in keys.items()])
+    return df.join(stats, same).drop(*keys.values())
+
+
 def demean(df: DataFrame, by: list[str], value: str = "v") -> DataFrame:
-    return df.withColumn(value, F.col(value) - F.avg(finite(value)).over(Window.partitionBy(*by)))
+    return with_stat(df, by, F.avg(finite(value)), "_mean").withColumn(value, F.col(value) - F.col("_mean")).drop("_mean")
 
 
 def band_normalise(df: DataFrame, by: list[str], lo: float, hi: float, freq: str = "freq", value: str = "psd") -> DataFrame:
     """Divide by the mean over the closed band."""
-    mean = F.avg(F.when(F.col(freq).between(lo, hi), finite(value))).over(Window.partitionBy(*by))
-    return df.withColumn(value, F.try_divide(F.col(value), mean))
+    rows = with_stat(df, by, F.avg(F.when(F.col(freq).between(lo, hi), finite(value))), "_mean")
+    return rows.withColumn(value, F.try_divide(F.col(value), F.col("_mean"))).drop("_mean")
 
 
 def rolling_mean(df: DataFrame, by: list[str], order: str, width: int, value: str = "psd") -> DataFrame:
@@ -60,7 +72,7 @@ def rolling_mean(df: DataFrame, by: list[str], order: str, width: int, value: st
 
 
 def unit_deviation(df: DataFrame, by: list[str], value: str = "v") -> DataFrame:
-    return df.withColumn(value, F.try_divide(F.col(value), F.stddev_pop(value).over(Window.partitionBy(*by))))
+    return with_stat(df, by, F.stddev_pop(value), "_sd").withColumn(value, F.try_divide(F.col(value), F.col("_sd"))).drop("_sd")
 
 
 def peaks(df: DataFrame, by: list[str], order: str, height: float, value: str = "v") -> DataFrame:

@@ -18,6 +18,10 @@ from ..operators import windows as W
 from ..operators.select import between
 
 
+#: Samples of a reference trace that every executor may hold (128 MB).
+REFERENCE = 16_000_000
+
+
 def rate_spectra(spikes: DataFrame, units: DataFrame, keys: list[str], t1: float, t2: float, dt: float, tau: float | None = None, win_len: float = 4.0, overlap: float = 0.75, fmin: float = 2.0, fmax: float = 30.0, cells: str | None = None) -> DataFrame:
     """``keys, freq, psd``: spikes to binned rates, smoothed if asked, to Welch spectra; over all jobs at once if keys has the job."""
     rates = R.rate_dynamics(spikes, units, keys, t1, t2, dt, cells=cells)
@@ -31,8 +35,10 @@ def against_reference(rates: DataFrame, reference: DataFrame, n: int, dt: float,
     """``pop, amp, phase`` of each population's cross spectrum with one reference trace.
 
     rates: ``pop, i, v`` on a grid of n samples; reference: ``i, v`` on its own grid, interpolated onto it. Both are demeaned; a
-    population whose spectrum is not finite has NaN. The reference is one trace, so it is broadcast.
+    population whose spectrum is not finite has NaN. The reference is one trace, so it is broadcast; a longer one than fits is refused.
     """
+    if n > REFERENCE:
+        raise ValueError(f"a reference of {n} samples is too long to be broadcast; cut the rates into parts of {REFERENCE}")
     grid = rates.sparkSession.range(n).select(F.col("id").alias("k"), (F.col("id") * dt + t0).alias("t"))
     ref = M.resample_linear(reference.select("i", "v"), grid, ref_t0, ref_dt).select(F.lit("ref").alias("pop"), F.col("k").alias("i"), "v").where("v IS NOT NULL")
     both = W.demean(rates.select("pop", "i", "v"), ["pop"]).join(F.broadcast(ref.select("i")), "i", "left_semi")
@@ -91,23 +97,29 @@ def event_mask(events: DataFrame, signal: DataFrame, t0: float, dt: float) -> Da
 
 def spectrograms(traces: DataFrame, fs: float, freqs: list[float], winsz: float = 10.0, normop: str = "mednorm", cycles: float = 7.0, channel: str = "channel") -> DataFrame:
     """``channel, win_idx, i0, freq, power``: normalised Morlet power of each window, a row per frequency; noisy (non-finite) windows have none."""
+    size = int(winsz * fs)
+    rows = traces.select(F.col(channel).alias("channel"), F.explode(T.windows(F.col("values"), size)).alias("w"))
+    return chunk_spectrograms(rows.select("channel", (F.col("w.s") / size).cast("long").alias("chunk"), "w.values"), fs, freqs, size, normop, cycles)
+
+
+def chunk_spectrograms(chunks: DataFrame, fs: float, freqs: list[float], size: int, normop: str = "mednorm", cycles: float = 7.0) -> DataFrame:
+    """The same of windows that are rows already (``channel, chunk, values``)."""
     import numpy as np
     import pandas as pd
 
     from ..functions import kernels as K
 
-    size = int(winsz * fs)
-    rows = traces.select(F.col(channel).cast("string").alias("channel"), F.explode(T.windows(F.col("values"), size)).alias("w")).select("channel", F.col("w.s").cast("long").alias("i0"), "w.values")
+    rows = chunks.select(F.col("channel").cast("string").alias("channel"), "chunk", "values")
 
     def run(batches):
         f = np.asarray(freqs, float)
         for pdf in batches:
             out = []
-            for name, i0, v in zip(pdf["channel"], pdf["i0"], pdf["values"], strict=True):
+            for name, win, v in zip(pdf["channel"], pdf["chunk"], pdf["values"], strict=True):
                 x = np.asarray(v, float)
                 if len(x) > 2 and np.isfinite(x).all():
                     power = K.normalise_power(K.morlet_power(x - x.mean(), fs, f, cycles), normop)
-                    out += [(name, i0 // size, i0, float(q), row) for q, row in zip(f, power, strict=True)]
+                    out += [(name, win, win * size, float(q), row) for q, row in zip(f, power, strict=True)]
             yield pd.DataFrame(out, columns=["channel", "win_idx", "i0", "freq", "power"])
 
     return rows.mapInPandas(run, "channel string, win_idx long, i0 long, freq double, power array<double>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from .operators import sta as A
 from .operators import traces as T
 from .operators import windows as W
 from .plans import driver as D
+from .plans import probe as J
 from .plans import workflows as P_
 from .sources import files
 from .streaming.rates import windowed_rates
@@ -139,13 +142,13 @@ def diff_n2_csd(spark, d):
 
 @query(_CSD)
 def csd_traces(spark, d):
-    return T.to_long(W.csd_traces(T.to_traces(D.probe(spark, d), ["y"], 0.0, D.HOUR)), ["y"]).select("y", "i", r6("v", "v"))
+    return H.to_long(W.csd_traces(H.to_chunks(D.probe(spark, d), ["y"], 64), by=["chunk"]), ["y"], 64).select("y", "i", r6("v", "v"))
 
 
 @query(_CSD)
 def diff_traces(spark, d):
-    traces = T.to_traces(D.probe(spark, d), ["y"], 0.0, D.HOUR).withColumn("probe", F.lit(0))
-    return T.to_long(T.difference(traces, ["probe"], "y", 2), ["y"]).select("y", "i", r6("v", "v"))
+    chunks = H.to_chunks(D.probe(spark, d), ["y"], 64)  # all depths of a chunk of time are a group
+    return H.to_long(T.difference(chunks, ["chunk"], "y", 2), ["y"], 64).select("y", "i", r6("v", "v"))
 
 
 @query(f"{WITH_Y} SELECT y, i, round(v - avg(v) OVER (PARTITION BY y), 6) AS v FROM y")
@@ -262,17 +265,16 @@ def control_checks(spark, d):
 @query(f"{WITH_X}, q AS (SELECT unnest(range(0, hours * 3600 // 1300 + 7)) * 1300.0::DOUBLE AS t FROM span), z AS (SELECT pop, t, t / 3600.0 AS f, CAST(floor(t / 3600.0) AS BIGINT) AS i FROM q, p) SELECT z.pop, z.t, round(CASE WHEN f = z.i THEN a.v ELSE a.v + (b.v - a.v) * (f - z.i) END, 6) AS v FROM z LEFT JOIN x a ON a.pop = z.pop AND a.i = z.i LEFT JOIN x b ON b.pop = z.pop AND b.i = z.i + 1")
 def resample_linear(spark, d):
     grid = spark.range(D.hours(spark, d) * 3600 // 1300 + 7).select((F.col("id") * 1300.0).alias("t"))
-    signal = D.hourly(spark, d)
-    parts = {p: M.resample_linear(signal.where(F.col("pop") == p).select("i", "v"), grid, 0.0, D.HOUR) for p in [r.pop for r in D.pops(spark, d).orderBy("pop").collect()]}
-    return B.concat_labels(parts, "pop").select("pop", "t", r6("v", "v"))
+    each = D.pops(spark, d).select("pop").crossJoin(grid)  # the grid is asked for of each population
+    return M.resample_linear(D.hourly(spark, d), each, 0.0, D.HOUR, by=["pop"]).select("pop", "t", r6("v", "v"))
 
 
 @query(f"{WITH_Y}, q AS (SELECT unnest(range(0, 2 * hours + 60)) * 1800.0::DOUBLE AS t FROM span) SELECT a.y, q.t, y.v FROM (SELECT DISTINCT y FROM y) a CROSS JOIN q LEFT JOIN y ON y.y = a.y AND y.i = CAST(ceil(q.t / 3600.0 - 0.5) AS BIGINT)")
 def resample_nearest(spark, d):
     grid = spark.range(2 * D.hours(spark, d) + 60).select((F.col("id") * 1800.0).alias("t"))
     signal = D.probe(spark, d)
-    depths = [r.y for r in signal.select("y").distinct().orderBy("y").collect()]
-    return B.concat_labels({y: M.resample_nearest(signal.where(F.col("y") == y).select("i", "v"), grid, 0.0, D.HOUR) for y in depths}, "y").select("y", "t", "v")
+    each = signal.select("y").distinct().crossJoin(grid)  # the grid is asked for of each depth
+    return M.resample_nearest(signal, each, 0.0, D.HOUR, by=["y"]).select("y", "t", "v")
 
 
 @query("WITH c AS (SELECT DISTINCT p_size * 10.0::DOUBLE AS y FROM part), q AS (SELECT unnest(range(0, 8)) AS ord, unnest([5.0, 12.0, 14.9, 15.0, 203.0, 490.0, 900.0, 11.0])::DOUBLE AS y_req), k AS (SELECT q.ord, q.y_req, c.y, row_number() OVER (PARTITION BY q.ord ORDER BY abs(c.y - q.y_req), c.y DESC) AS rn FROM q, c) SELECT y, min(ord) AS ord, arg_min(y_req, ord) AS y_req FROM k WHERE rn = 1 GROUP BY y")
@@ -687,14 +689,11 @@ def diff_stats(spark, d):
     return out.select(r6("max", "max"), r6("mean", "mean"), r6("p95", "p95"), r6("p99", "p99"), "n")
 
 
-@query(f"{WITH_P} SELECT pop, pop_ord AS ord FROM p WHERE pop IN ('view', 'click') ORDER BY pop DESC")
+@query(f"{WITH_P}, q AS (SELECT 'view' AS pop, 0 AS ord UNION ALL SELECT 'click', 1) SELECT pop, ord FROM q WHERE pop IN (SELECT pop FROM p)")
 def pop_select(spark, d):
     return L.populations(D.pops(spark, d), ["view", "click"])
 
 
-SQL["pop_select"] = "SELECT 'view' AS pop, 0 AS ord UNION ALL SELECT 'click', 1"
-
-
 @query(f"{WITH_Y} SELECT y, i, v FROM y WHERE t BETWEEN 86400 AND 172800")
 def time_slice(spark, d):
     return L.between(D.probe(spark, d), "t", 86400.0, 172800.0).select("y", "i", "v")
@@ -739,6 +738,31 @@ def probe_prepared(spark, d):
     return P_.prepare(D.probe(spark, d), 86400.0, 864000.0, repair=False).select("y", "i", r6("v", "v"))
 
 
+@query(
+    f"""{WITH_Y}, k AS (SELECT y, count(*) AS n, sum(v) AS total FROM y WHERE t BETWEEN 86400 AND 864000 GROUP BY y), r AS (SELECT unnest(['prepared', 'spectrogram', 'mask']) AS stage)
+SELECT stage, y, CASE WHEN stage = 'mask' AND y = 200 THEN 3 WHEN y > 200 THEN 2 ELSE 1 END AS built_in, CASE stage WHEN 'spectrogram' THEN n * 3 ELSE n END AS n FROM k, r"""
+)
+def probe_resume(spark, d):
+    """A probe in three runs: two depths, all depths, and after one depth's mask is gone. ``built_in`` is the run that wrote a part."""
+    path = files.scratch(spark, "probe")
+    settings = J.Settings(1 / D.HOUR, [1e-5, 2e-5, 4e-5], ["theta"], 86400.0, 864000.0, winsz=64 * D.HOUR, repair=False)
+    signal, written = D.probe(spark, d), {}
+    for number in (1, 2, 3):
+        if number == 3:
+            files.delete(spark, f"{path}/mask/channel=y_200")
+        tables = J.run(spark, path, signal, settings, ["y_100", "y_200"] if number == 1 else None)
+        for stage, channels in J.status(spark, path).items():
+            for c in channels:
+                stamp = tuple(files.stamp(spark, files.glob(spark, f"{path}/{stage}/channel={c}/*.parquet")))
+                if written.get((stage, c), (0, None))[1] != stamp:
+                    written[stage, c] = (number, stamp)
+    sizes = {"prepared": F.count(F.lit(1)), "spectrogram": F.sum(F.size("power")), "mask": F.count(F.lit(1))}
+    parts = [tables[s].groupBy("channel").agg(n.alias("n")).select(F.lit(s).alias("stage"), "channel", "n") for s, n in sizes.items()]
+    runs = spark.createDataFrame([(s, c, k) for (s, c), (k, _) in written.items()], "stage string, channel string, built_in int")
+    counts = reduce(lambda a, b: a.unionByName(b), parts)
+    return counts.join(runs, ["stage", "channel"]).select("stage", F.expr("double(substring(channel, 3))").alias("y"), "built_in", "n")
+
+
 @query()
 def probe_events(spark, d):
     return P_.probe_events(D.probe(spark, d).withColumn("t", F.col("i") / 100.0), 100.0, [float(f) for f in range(4, 31)], ["theta", "alpha", "beta"], winsz=2.4, threshold=3.0)
@@ -774,6 +798,6 @@ n AS (SELECT pop, win, f, count(*) AS n, max(re * re + im * im) / greatest(media
 SELECT pop AS channel, f AS freq, CAST(sum(n) AS BIGINT) AS n, round(max(p), 6) AS peak FROM n GROUP BY 1, 2"""
 )
 def spectrogram_stack(spark, d):
-    t = T.to_traces(D.hourly(spark, d), ["pop"], 0.0, D.HOUR)
-    out = P_.stitched(P_.spectrograms(t, 100.0, [float(f) for f in range(4, 31, 2)], 2.4, channel="pop"))
+    chunks = H.to_chunks(D.hourly(spark, d).withColumnRenamed("pop", "channel"), ["channel"], 240)
+    out = P_.stitched(P_.chunk_spectrograms(chunks, 100.0, [float(f) for f in range(4, 31, 2)], 240))
     return out.select("channel", "freq", F.size("power").cast("long").alias("n"), r6(F.array_max("power"), "peak"))

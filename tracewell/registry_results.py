@@ -24,7 +24,7 @@ from .operators import windows as W
 from .plans import driver as D
 from .plans import sweeps as Z
 from .plans import workflows as P_
-from .sources import cache, config, files, jobs, lineage, sinks
+from .sources import archives, cache, config, files, gridded, jobs, lineage, sinks
 
 WITH_C, WITH_Q = f"WITH {D.CELLS}", f"WITH {D.CELLS}, {D.POPS}"
 WITH_S, WITH_X, WITH_Y = f"WITH {D.SPAN}, {D.S}", f"WITH {D.SPAN}, {D.S}, {D.P}, {D.X}", f"WITH {D.SPAN}, {D.Y}"
@@ -339,6 +339,27 @@ def check_settings(spark, d):
 # --- caches and lineage -----------------------------------------------------------------
 
 
+@query(f"{WITH_X} SELECT pop_ord AS job_id, i, v FROM x WHERE i >= 24 AND i < 200")
+def gridded_files(spark, d):
+    """Each population's rates in a gridded file of its own, read by slabs of 50 hours; the hours' range is pruned in the slabs."""
+    folder = files.scratch(spark, "gridded")
+    x = D.hourly(spark, d).join(D.pops(spark, d), "pop").select(F.col("pop_ord").cast("long").alias("job_id"), "i", "v")
+    gridded.save_job_gridded(x, folder, "rates_{job:05d}.nc", ["i"], "v")
+    out = gridded.read_job_gridded(spark, folder, "rates_{job:05d}.nc", "v", slab=400)
+    return out.where("i >= 24 AND i < 200").select("job_id", "i", "v")
+
+
+@query(f"{WITH_S}, k AS (SELECT gid, c_nationkey AS job_id, pop, t FROM s JOIN customer ON gid = c_custkey) SELECT job_id, pop, gid, count(*) AS n, round(min(t), 6) AS first, round(max(t), 6) AS last FROM k GROUP BY 1, 2, 3")
+def ragged_archives(spark, d):
+    """Spikes by nation as archives, one a job, and read again."""
+    folder = files.scratch(spark, "archives")
+    c = D.table(spark, d, "customer").select(F.col("c_custkey").alias("gid"), F.col("c_nationkey").cast("long").alias("job_id"))
+    sizes = {r["pop"]: r["n_cells"] for r in D.pops(spark, d).orderBy("pop_ord").collect()}  # populations of a model
+    archives.save_ragged(D.spikes(spark, d).join(c, "gid"), folder, sizes)
+    out = jobs.read_ragged(spark, folder).groupBy("job_id", "pop", "gid")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("t"), 6).alias("first"), F.round(F.max("t"), 6).alias("last"))
+
+
 @query(f"{WITH_X}, k AS (SELECT count(*) AS n, sum(v) AS total FROM x) SELECT run, hit, n, total FROM k, (VALUES ('first', false), ('again', true), ('other engine', true), ('other bin', false)) r(run, hit)")
 def cached_rates(spark, d):
     """A result that is computed once: again, with an execution-only parameter (hits), and with another parameter (a miss)."""
