@@ -176,3 +176,55 @@ def test_controls_are_functions_of_their_numbers(spark):
     with pytest.raises(Exception, match="no placement"):
         M.control_intervals(spark.createDataFrame([("a", 1, 0.0, 5.0), ("a", 0, 5.0, 6.0)], schema), independent=True, tries=3).collect()
     assert M.control_intervals(df.where(F.lit(False)), independent=True).collect() == []
+
+
+# --- smaller requests --------------------------------------------------------------------
+
+
+def test_depth_requests(spark):
+    from tracewell.operators import select as L
+
+    channels = spark.createDataFrame([(float(y),) for y in (10, 20, 30, 40, 20)], "y double")
+    ask = lambda **how: [tuple(r) for r in L.requested(channels, **how).orderBy("ord").collect()]
+    assert ask() == ask(values="ALL ") == [(10.0, 0, 10.0), (20.0, 1, 20.0), (30.0, 2, 30.0), (40.0, 3, 40.0)]
+    assert ask(span=(35, 15)) == [(20.0, 0, 20.0), (30.0, 1, 30.0)]
+    assert ask(span=(10, 40), step=15) == [(10.0, 0, 10.0), (30.0, 1, 25.0), (40.0, 2, 40.0)]
+    assert ask(values=[38, 1, 39]) == [(40.0, 0, 38.0), (10.0, 1, 1.0)]
+    with pytest.raises(ValueError, match="'all'"):
+        ask(values="some")
+    with pytest.raises(ValueError, match="positive"):
+        ask(span=(1, 2), step=0)
+
+
+def test_masks_with_other_dimensions_raise(spark, tmp_path):
+    from tracewell.sources import gridded
+
+    grid = {"y": (["y"], [1.0, 2.0]), "time": (["time"], [0.0, 0.5, 1.0])}
+    cells = np.array([[0, 1, 1], [1, 0, 0]])
+    (tmp_path / "m.nc").write_bytes(gridded.encode({"y": 2, "time": 3}, grid | {"mask": (["y", "time"], cells)}))
+    (tmp_path / "t.nc").write_bytes(gridded.encode({"y": 2, "time": 3}, grid | {"mask": (["time", "y"], cells.T)}))
+    want = sorted((y, t, int(cells[i, j])) for i, y in enumerate((1.0, 2.0)) for j, t in enumerate((0.0, 0.5, 1.0)))
+    assert values(jobs.read_mask(spark, str(tmp_path / "m.nc")), "y", "t", "m") == want
+    with pytest.raises(ValueError, match="time', 'y"):
+        jobs.read_mask(spark, str(tmp_path / "t.nc"))
+    table = spark.createDataFrame(want, "y double, time double, mask int")
+    table.write.parquet(str(tmp_path / "p"))
+    assert values(jobs.read_mask(spark, str(tmp_path / "p")), "y", "t", "m") == want
+    table.withColumn("x", F.lit(1)).write.parquet(str(tmp_path / "q"))
+    with pytest.raises(ValueError, match="dimensions"):
+        jobs.read_mask(spark, str(tmp_path / "q"))
+
+
+def test_requests_of_archives(spark):
+    from tracewell.operators import spikes as R
+
+    meta = {"t0": 1.0, "tmax": 5.0, "ms": False}
+    assert archives.matches_request(meta, ["E", "PV"], {"t0": 1, "tmax": 5}, ["E", "PV"])
+    assert not archives.matches_request(meta, ["E", "PV"], {"t0": 1, "tmax": 5}, ["PV", "E"])
+    assert not archives.matches_request(meta, ["E"], {"t0": 1, "tmax": 5, "ms": True}, ["E"])
+    with pytest.raises(ValueError, match="unknown"):
+        archives.matches_request(meta, ["E"], {"dt": 1}, ["E"])
+    once = R.combine(spark.createDataFrame([("E", 2.0), ("E", 1.0)], "pop string, t double"), ["pop"])
+    assert once.first()["times"] == [1.0, 2.0]
+    with pytest.raises(ValueError, match="combined already"):
+        R.combine(once, ["pop"])

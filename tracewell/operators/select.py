@@ -55,6 +55,28 @@ def stepped(lo: float, hi: float, step: float) -> list[float]:
     return [lo + k * step for k in range(int((hi + 0.5 * step - lo) / step - 1e-12) + 1)]
 
 
+def requested(channels: DataFrame, values: list[float] | str | None = None, span: tuple[float, float] | None = None, step: float | None = None, label: str = "y", tie: str = "larger") -> DataFrame:
+    """``y, ord, y_req``: channels as users ask for them.
+
+    None or ``all``: every depth in order; a list: the nearest channel of each, once; a span: the depths within it, its ends
+    swapped if reversed; a span with a step: the nearest channels of its steps. ``values`` goes before ``span``.
+    """
+    depths = channels.select(F.col(label).cast("double").alias(label)).distinct()
+    if isinstance(values, str):
+        if values.strip().lower() != "all":
+            raise ValueError("depths are a list, None or 'all'")
+        values, span = None, None
+    if values is None and span is not None and step is not None:
+        values = stepped(*span, step)
+    if values is not None:
+        targets = channels.sparkSession.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "ord long, y_req double")
+        return nearest(depths, targets, label, tie).select(label, "ord", "y_req")
+    if span is not None:
+        depths = between(depths, label, min(span), max(span))
+    order = F.row_number().over(Window.orderBy(label)) - 1  # of a probe's some hundred depths
+    return depths.select(label, order.cast("long").alias("ord"), F.col(label).alias("y_req"))
+
+
 def in_layers(channels: DataFrame, layers: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Channels within the union of closed layer ranges (``layer, y0, y1``); unknown layers raise."""
     if names is not None:

@@ -24,7 +24,9 @@ def extract(spikes: DataFrame, cells: DataFrame, t_limits: tuple[float | None, f
 
 
 def combine(spikes: DataFrame, keys: list[str]) -> DataFrame:
-    """One sorted train per key: ``times`` array."""
+    """One sorted train per key: ``times`` array. Trains that are combined already raise."""
+    if "times" in spikes.columns:
+        raise ValueError("the trains are combined already")
     return spikes.groupBy(*keys).agg(F.sort_array(F.collect_list("t")).alias("times"))
 
 

@@ -72,7 +72,7 @@ def run(spark: SparkSession, path: str, signal: DataFrame, settings: Settings, c
         return of(ready.withColumn("channel", channel_of()), part)
 
     ready = stage("prepared", prepared)
-    chunks = lambda part: H.to_chunks(of(ready, part), ["channel"], settings.size)
+    chunks = lambda part: H.to_chunks(P.counted_from(of(ready, part), settings.t1, settings.fs), ["channel"], settings.size)
     spectra = stage("spectrogram", lambda part: P.chunk_spectrograms(chunks(part), settings.fs, settings.freqs, settings.size))
 
     def events(part: list[str]) -> DataFrame:
@@ -81,6 +81,12 @@ def run(spark: SparkSession, path: str, signal: DataFrame, settings: Settings, c
         return P.raw_events(names, settings.bands, settings.t1, settings.ncycle_min, settings.filtsigcor_min).withColumn("channel", channel_of("chan"))
 
     found = stage("events", events)
-    mask = stage("mask", lambda part: P.event_mask(of(found, part), of(ready, part), settings.t1, 1 / settings.fs).withColumn("channel", channel_of()))
+
+    def masked(part: list[str]) -> DataFrame:
+        samples = P.counted_from(of(ready, part).withColumn("place", F.col("i")), settings.t1, settings.fs)
+        rows = P.event_mask(of(found, part), samples, settings.t1, 1 / settings.fs, ("place",))
+        return rows.select("y", F.col("place").alias("i"), "m", channel_of().alias("channel"))
+
+    mask = stage("mask", masked)
     done = sorted(set.intersection(*status(spark, path).values()))
     return {name: of(df, done) for name, df in zip(STAGES, (ready, spectra, found, mask), strict=True)}

@@ -44,11 +44,12 @@ def collect_sets(spark: SparkSession, grid: DataFrame, folder: str, template: st
     return on_grid(grid, rows, skip_missing)
 
 
-def collect_json(spark: SparkSession, grid: DataFrame, folder: str, variables: dict[str, str], dims: list[str], values: dict[str, list[str]] | None = None, last: list | None = None, template: str = "result_{job:05d}_*.json", skip_missing: bool = False, dim: str = "pos") -> DataFrame:
+def collect_json(spark: SparkSession, grid: DataFrame, folder: str, variables: dict[str, str], dims: list[str], values: dict[str, list[str]] | None = None, last: list | None = None, template: str = "result_{job:05d}_*.json", skip_missing: bool = False, dim: str = "pos", extra: dict[str, tuple[str, list]] | None = None) -> DataFrame:
     """Nested objects of per-job JSON documents on the grid: ``variable``, a column per dimension, ``value``.
 
     ``variables`` maps a variable's name to its dotted path. With ``values`` a dimension has exactly those keys. With ``last``
     the leaves are lists along one more dimension (named by ``dim``) of these coordinates; a list of another length raises.
+    ``extra`` adds coordinates: a name, the declared dimension that it goes along, and a value for each of that one's labels.
     """
     raw = jobs.read_job_raw(spark, folder, template)
     rows = B.concat_labels({name: raw.select("job_id", F.get_json_object("json", f"$.{path}").alias("_json")) for name, path in variables.items()}, "variable")
@@ -56,6 +57,11 @@ def collect_json(spark: SparkSession, grid: DataFrame, folder: str, variables: d
         long = B.json_to_long(rows, "_json", dims, ["job_id", "variable"], values)
     else:
         long = B.json_lists_to_long(rows, "_json", dims, ["job_id", "variable"], last, dim, values)
+    for name, (along, coords) in (extra or {}).items():
+        labels = last if along == dim and last is not None else (values or {}).get(along)
+        if labels is None or len(labels) != len(coords):
+            raise ValueError(f"{name} needs a value for each declared label of {along}")
+        long = long.withColumn(name, F.element_at(F.lit(coords), F.array_position(F.lit(labels), F.col(along)).cast("int")))
     return on_grid(grid, long, skip_missing)
 
 

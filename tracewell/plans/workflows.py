@@ -78,10 +78,15 @@ def probe_events(
     """Canonical event rows of every depth of a probe, channels in one job, windows of a recording in many tasks."""
     ready = prepare(signal, t1, t2, current=current).withColumn("channel", F.col("y").cast("string"))
     size = int(winsz * fs)
-    chunks = H.to_chunks(ready, ["channel"], size)
+    chunks = H.to_chunks(counted_from(ready, t1, fs), ["channel"], size)
     return raw_events(U.detect(chunks, fs, freqs, size, threshold, overlap=overlap, dynamic=dynamic, bands=overrides), bands, t1, ncycle_min, filtsigcor_min)
 
 
+def counted_from(signal: DataFrame, t1: float, fs: float) -> DataFrame:
+    """Sample indices that count from t1, where the first window begins."""
+    return signal.withColumn("i", F.round((F.col("t") - t1) * fs).cast("long"))
+
+
 def raw_events(found: DataFrame, bands: list[str], t1: float = 0.0, ncycle_min: float | None = None, filtsigcor_min: float | None = None) -> DataFrame:
     """Detected events in canonical form; times were seconds."""
     ms = lambda c, name: (F.col(c) * 1000).alias(name)
@@ -89,10 +94,10 @@ def raw_events(found: DataFrame, bands: list[str], t1: float = 0.0, ncycle_min:
     return E.normalise(raw, bands, t1, ncycle_min=ncycle_min, filtsigcor_min=filtsigcor_min)
 
 
-def event_mask(events: DataFrame, signal: DataFrame, t0: float, dt: float) -> DataFrame:
-    """``y, i, m``: samples within passed events of their depth."""
+def event_mask(events: DataFrame, signal: DataFrame, t0: float, dt: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``y, i, m``: samples within passed events of their depth; i counts from t0. ``keep`` names more columns of the signal."""
     spans = E.passed(events).select(F.col("chan").alias("y"), F.col("start_time_s").alias("t_start"), F.col("stop_time_s").alias("t_end"))
-    return M.rasterise(spans, signal.select("y", "i"), ["y"], t0, dt)
+    return M.rasterise(spans, signal.select("y", "i", *keep), ["y"], t0, dt)
 
 
 def spectrograms(traces: DataFrame, fs: float, freqs: list[float], winsz: float = 10.0, normop: str = "mednorm", cycles: float = 7.0, channel: str = "channel") -> DataFrame:

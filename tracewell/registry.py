@@ -738,6 +738,16 @@ def probe_prepared(spark, d):
     return P_.prepare(D.probe(spark, d), 86400.0, 864000.0, repair=False).select("y", "i", r6("v", "v"))
 
 
+_REPAIRED = SQL["outlier_repair"].replace("SELECT y, i, round(CASE WHEN repaired THEN (l + r) / 2 ELSE v END, 6) AS v, repaired FROM k", "")
+
+
+@query(f"{_REPAIRED}, c AS (SELECT y, i, CASE WHEN repaired THEN (l + r) / 2 ELSE v END AS v, repaired FROM k) SELECT y, i, round(v - avg(v) OVER (PARTITION BY y), 6) AS v, repaired FROM c")
+def probe_repaired(spark, d):
+    """Slice, repair and demean, with spikes put into the signal."""
+    spoiled = D.probe(spark, d).withColumn("v", F.col("v") + F.when(F.col("i").isin(100, 300, 301, 500), 1e6).otherwise(0.0))
+    return P_.prepare(spoiled, None, None).select("y", "i", r6("v", "v"), "repaired")
+
+
 @query(
     f"""{WITH_Y}, k AS (SELECT y, count(*) AS n, sum(v) AS total FROM y WHERE t BETWEEN 86400 AND 864000 GROUP BY y), r AS (SELECT unnest(['prepared', 'spectrogram', 'mask']) AS stage)
 SELECT stage, y, CASE WHEN stage = 'mask' AND y = 200 THEN 3 WHEN y > 200 THEN 2 ELSE 1 END AS built_in, CASE stage WHEN 'spectrogram' THEN n * 3 ELSE n END AS n FROM k, r"""

@@ -5,7 +5,9 @@ The driver's tables are written in the layouts that those operators read, to a n
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -317,23 +319,32 @@ def check_one_file(spark, d):
     return rows(spark, [("each", first), ("two", outcome(lambda: V.one_file_per_job(listed())))], "input string, outcome string")
 
 
-@query("SELECT * FROM (VALUES ('threshold none', 'ok'), ('threshold 0.5', 'ok'), ('threshold -1', 'ValueError'), ('threshold nan', 'ValueError'), ('digits 3', 'ok'), ('digits -1', 'ValueError'), ('window', 'ok'), ('window reversed', 'ValueError'), ('rate', 'ok'), ('rate off', 'ValueError'), ('group', 'ok'), ('group unnamed', 'ValueError'), ('group repeated', 'ValueError'), ('archive shifted', 'false'), ('archive plain', 'true'), ('manifest new', 'false'), ('manifest equal', 'true'), ('manifest other', 'ValueError'), ('config', 'ok'), ('config extra', 'ValueError'), ('config missing', 'ValueError')) t(input, outcome)")
+@query(
+    """WITH e AS (SELECT event_type AS pop, round(min(value), 2) AS lo, round(max(value), 2) AS hi, round(avg(value) - 50, 6) AS off, count(*) AS n FROM events GROUP BY 1), f AS (SELECT min(pop) AS first FROM e),
+c AS (SELECT unnest(['threshold', 'digits', 'window', 'window reversed', 'rate', 'rate off', 'group', 'group unnamed', 'archive', 'manifest', 'config']) AS input)
+SELECT pop, input, CASE input WHEN 'threshold' THEN CASE WHEN off < 0 THEN 'ValueError' ELSE 'ok' END WHEN 'digits' THEN CASE WHEN n % 2 = 1 THEN 'ValueError' ELSE 'ok' END WHEN 'window' THEN CASE WHEN lo < hi THEN 'ok' ELSE 'ValueError' END
+WHEN 'window reversed' THEN CASE WHEN hi < lo THEN 'ok' ELSE 'ValueError' END WHEN 'rate' THEN 'ok' WHEN 'rate off' THEN 'ValueError' WHEN 'group' THEN 'ok' WHEN 'group unnamed' THEN CASE WHEN pop = first THEN 'ok' ELSE 'ValueError' END
+WHEN 'archive' THEN CASE WHEN n % 2 = 1 THEN 'usable' ELSE 'shifted' END WHEN 'manifest' THEN CASE WHEN pop = first THEN 'ok' ELSE 'ValueError' END ELSE CASE WHEN n % 2 = 1 THEN 'ok' ELSE 'ValueError' END END AS outcome FROM e, f, c"""
+)
 def check_settings(spark, d):
-    """Settings, requests and manifests: what each check says of good and bad ones."""
+    """What the checks say of settings drawn from each event type's values: size, spread, mean and count."""
     path = files.scratch(spark, "config")
-    files.write_text(spark, f"{path}/c.json", '{"a": 1, "b": 2}')
-    pops = [r.pop for r in D.pops(spark, d).orderBy("pop_ord").collect()]
-    found = {
-        "threshold none": outcome(lambda: config.threshold(None)), "threshold 0.5": outcome(lambda: config.threshold(0.5)), "threshold -1": outcome(lambda: config.threshold(-1)), "threshold nan": outcome(lambda: config.threshold(float("nan"))),
-        "digits 3": outcome(lambda: config.digits(3)), "digits -1": outcome(lambda: config.digits(-1)),
-        "window": outcome(lambda: config.window((0, 1))), "window reversed": outcome(lambda: config.window((1, 0))),
-        "rate": outcome(lambda: V.consistent_rate(V.sampling_rate(0.0, 0.005), 0.005)), "rate off": outcome(lambda: V.consistent_rate(100.0, 0.005)),
-        "group": outcome(lambda: config.trigger_pops("all", pops, "every")), "group unnamed": outcome(lambda: config.trigger_pops(pops[:2], pops)), "group repeated": outcome(lambda: config.trigger_pops([pops[0], pops[0]], pops, "g")),
-        "archive shifted": str(config.usable_archive({"subtract_t0": True}, pops, pops[0])).lower(), "archive plain": str(config.usable_archive({"subtract_t0": False}, pops, pops[0])).lower(),
-        "manifest new": str(sinks.validate_or_write(spark, f"{path}/m.json", {"x": 1})).lower(), "manifest equal": str(sinks.validate_or_write(spark, f"{path}/m.json", {"x": 1})).lower(), "manifest other": outcome(lambda: sinks.validate_or_write(spark, f"{path}/m.json", {"x": 2})),
-        "config": outcome(lambda: config.load_config(spark, f"{path}/c.json", {"a", "b"})), "config extra": outcome(lambda: config.load_config(spark, f"{path}/c.json", {"a"})), "config missing": outcome(lambda: config.load_config(spark, f"{path}/c.json", {"a", "b", "c"})),
-    }
-    return rows(spark, list(found.items()), "input string, outcome string")
+    e = D.table(spark, d, "events").groupBy(F.col("event_type").alias("pop")).agg(F.round(F.min("value"), 2).alias("lo"), F.round(F.max("value"), 2).alias("hi"), F.round(F.avg("value") - 50, 6).alias("off"), F.count(F.lit(1)).alias("n"))
+    found = e.orderBy("pop").collect()  # a row an event type
+    pops, out = [r["pop"] for r in found], []
+    for r in found:
+        odd = r["n"] % 2 == 1
+        files.write_text(spark, f"{path}/{r['pop']}.json", '{"a": 1}' if odd else '{"a": 1, "b": 2}')
+        asked = {
+            "threshold": lambda r=r: config.threshold(r["off"]), "digits": lambda odd=odd: config.digits(-1 if odd else 3),
+            "window": lambda r=r: config.window((r["lo"], r["hi"])), "window reversed": lambda r=r: config.window((r["hi"], r["lo"])),
+            "rate": lambda r=r: V.consistent_rate(V.sampling_rate(0.0, 1.0 / r["n"]), 1.0 / r["n"]), "rate off": lambda r=r: V.consistent_rate(r["n"] * 1.01, 1.0 / r["n"]),
+            "group": lambda: config.trigger_pops("all", pops, "every"), "group unnamed": lambda r=r: config.trigger_pops([pops[0], r["pop"]] if r["pop"] != pops[0] else [r["pop"]], pops),
+            "manifest": lambda r=r: sinks.validate_or_write(spark, f"{path}/m.json", {"n": pops.index(r["pop"])}), "config": lambda r=r: config.load_config(spark, f"{path}/{r['pop']}.json", {"a"}),
+        }
+        out += [(r["pop"], k, outcome(check)) for k, check in asked.items()]
+        out.append((r["pop"], "archive", "usable" if config.usable_archive({"subtract_t0": not odd}, pops, r["pop"]) else "shifted"))
+    return rows(spark, out, "pop string, input string, outcome string")
 
 
 # --- caches and lineage -----------------------------------------------------------------
@@ -460,6 +471,13 @@ def sweep_json_lists(spark, d):
     return out.select("size", "brand", "stat", r6("value", "value"))
 
 
+@query(f"WITH {_SIZE_MEANS} SELECT size, brand, stat, CASE stat WHEN 'n' THEN 'parts' ELSE 'price' END AS unit, round(CASE WHEN stat = 'n' THEN n ELSE v END, 6) AS value FROM m, (SELECT unnest(['n', 'v']) AS stat) UNION ALL SELECT 99, NULL, NULL, NULL, NULL")
+def sweep_json_coords(spark, d):
+    """An extra coordinate along the lists."""
+    out = Z.collect_json(spark, _size_grid(spark, d), _json_folder(spark, d), {"pair": "stats.pair"}, ["brand"], last=["n", "v"], dim="stat", extra={"unit": ("stat", ["parts", "price"])})
+    return out.select("size", "brand", "stat", "unit", r6("value", "value"))
+
+
 def _customer_grid(spark, d) -> DataFrame:
     return D.table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("job_id"))
 
@@ -515,13 +533,30 @@ def stepped_depths(spark, d):
     return L.exact(D.probe(spark, d).select("y").distinct(), "y", L.stepped(400.0, 100.0, 100.0))
 
 
-@query("SELECT 'L1' AS layer, 0.0::DOUBLE AS y0, 100.0::DOUBLE AS y1 UNION ALL SELECT 'L4', 300.0, 450.0")
+@query("SELECT p_brand AS layer, round(min(p_size) / 100 * 1000, 6) AS y0, round(max(p_size) / 100 * 1000, 6) AS y1 FROM part GROUP BY 1 HAVING round(max(p_size) / 100 * 1000, 6) >= 40 AND round(min(p_size) / 100 * 1000, 6) <= 60")
 def visible_layers(spark, d):
+    """Brands as layers over the sizes of their parts, in a layers' file, and those that a plot from 40 to 60 shows."""
     path = files.scratch(spark, "layers")
-    files.write_text(spark, f"{path}/l.json", '{"layers": {"L1": [0.0, 0.1], "L4": [0.3, 0.45], "L6": [0.8, 1.0]}, "y_size_um": 1000}')
-    spans, size = config.load_layers(spark, f"{path}/l.json")
-    layers = spark.createDataFrame([(k, a, b) for k, (a, b) in spans.items()], "layer string, y0 double, y1 double")
-    return L.visible_layers(layers, size, 50.0, 400.0).select("layer", r6("y0", "y0"), r6("y1", "y1"))
+    spans = D.table(spark, d, "part").groupBy("p_brand").agg((F.min("p_size") / 100).alias("a"), (F.max("p_size") / 100).alias("b")).collect()  # some dozen layers
+    files.write_text(spark, f"{path}/l.json", json.dumps({"layers": {r["p_brand"]: [r["a"], r["b"]] for r in spans}, "y_size_um": 1000}))
+    ranges, size = config.load_layers(spark, f"{path}/l.json")
+    layers = spark.createDataFrame([(k, a, b) for k, (a, b) in ranges.items()], "layer string, y0 double, y1 double")
+    return L.visible_layers(layers, size, 40.0, 60.0).select("layer", r6("y0", "y0"), r6("y1", "y1"))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT p_size * 10.0::DOUBLE AS y FROM part), k AS (SELECT 'all' AS request, y, y AS y_req, row_number() OVER (ORDER BY y) - 1 AS ord FROM c
+UNION ALL SELECT 'span', y, y, row_number() OVER (ORDER BY y) - 1 FROM c WHERE y BETWEEN 95 AND 305),
+q AS (SELECT 'list' AS request, unnest(range(3)) AS ord, unnest([5.0, 14.9, 900.0])::DOUBLE AS y_req UNION ALL SELECT 'steps', i, 100.0 + 75 * i FROM (SELECT unnest(range(4)) AS i)),
+n AS (SELECT q.*, c.y, row_number() OVER (PARTITION BY request, q.ord ORDER BY abs(c.y - q.y_req), c.y DESC) AS rn FROM q, c), m AS (SELECT request, y, arg_min(y_req, ord) AS y_req, min(ord) AS ord FROM n WHERE rn = 1 GROUP BY 1, 2)
+SELECT * FROM k UNION ALL SELECT * FROM m"""
+)
+def depth_requests(spark, d):
+    """Depths as users ask for them: all, within a reversed span, by a list and by steps."""
+    channels = D.table(spark, d, "part").select((F.col("p_size") * 10.0).alias("y"))
+    asks = {"all": {"values": " All "}, "span": {"span": (305.0, 95.0)}, "list": {"values": [5.0, 14.9, 900.0]}, "steps": {"span": (100.0, 325.0), "step": 75.0}}
+    parts = [L.requested(channels, **how).select(F.lit(k).alias("request"), "y", "y_req", "ord") for k, how in asks.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query(f"{_MEANS} SELECT a.pop AS pop_i, b.pop AS pop_j, round(a.v - b.v, 6) AS v FROM m a JOIN m b ON a.pop < b.pop WHERE abs(a.v - b.v) >= 0.01")

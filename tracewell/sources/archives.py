@@ -49,6 +49,14 @@ def encode(trains: dict[str, list[tuple[int, np.ndarray]]], pops: dict[str, int]
     return out.getvalue()
 
 
+def matches_request(meta: dict, pops: list[str], request: dict, wanted: list[str]) -> bool:
+    """Whether an archive holds what is asked for: the same populations in the same order, taken in the same way in every respect."""
+    if unknown := set(request) - set(META):
+        raise ValueError(f"unknown settings {sorted(unknown)}")
+    same = all((kind(meta.get(k, d)) == kind(request.get(k, d))) for k, (kind, d) in META.items())
+    return list(pops) == list(wanted) and bool(same)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """Files of one task: as they were written, and their names to be."""

@@ -189,6 +189,21 @@ def read_pickles(spark: SparkSession, folder: str, template: str = "grid_{job:05
     return raw if schema is None else raw.select("job_id", F.from_json("json", schema).alias("r")).select("job_id", "r.*")
 
 
+def read_mask(spark: SparkSession, path: str, variable: str = "mask") -> DataFrame:
+    """``y, t, m`` of a mask in a gridded file or a table; its dimensions must be (y, time), whatever else raises."""
+    from . import gridded
+
+    if path.endswith(".nc"):
+        dims = [f.name for f in gridded.infer(path, [variable]).fields][1:-1]
+        if dims != ["y", "time"]:
+            raise ValueError(f"a mask has dimensions y and time, this one {dims}")
+        return gridded.read_gridded(spark, path, variable).select(F.col("y").cast("double").alias("y"), F.col("time").cast("double").alias("t"), F.col(variable).cast("int").alias("m"))
+    df = spark.read.parquet(path)
+    if variable not in df.columns or set(df.columns) - {variable} != {"y", "time"}:
+        raise ValueError(f"a mask has dimensions y and time, this table {sorted(set(df.columns) - {variable})}")
+    return df.select(F.col("y").cast("double").alias("y"), F.col("time").cast("double").alias("t"), F.col(variable).cast("int").alias("m"))
+
+
 def first_available(*loaders) -> DataFrame:
     """The first source that is there; the last error if none is. Any other error than a missing source is raised."""
     missing: Exception | None = None
