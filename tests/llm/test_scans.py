@@ -326,3 +326,18 @@ def test_license_hits_in_linear_time():
     assert len(licenses.Notices(licenses.NOTICES).find(text)) == 6000
     assert time.perf_counter() - began < 20
     assert [w for w, _ in licenses.phrase_starts("cc by " * 3)] == [0, 2, 4]
+
+
+def test_decontamination_of_repeated_words():
+    import time
+
+    items = [(k, "w " * 2000) for k in range(3)] + [(9, "v " * 5 + "w " * 20)]
+    found = decontam.searchers(items, 10)
+    assert len(found) == 1 and len(found[0].items) == 6  # ten w, and five to one v before them
+    began = time.perf_counter()
+    spans, hit = decontam.hits_of(fold_words("w " * 20_000 + "x " + "w " * 9 + "y " + "v w " * 50), found)
+    assert time.perf_counter() - began < 1.0
+    assert spans == [[0, 20_000]] and hit == {0, 1, 2, 9}
+    for text in ("v v w w w w w w w w w " * 3, "w " * 30 + "v " * 12 + "w " * 30, "w w v w " * 9):
+        spans, hit = decontam.hits_of(fold_words(text), found)
+        assert (len(fold_words(text)), sum(b - a for a, b in spans), sorted(map(str, hit))) == brute([text], items, 10)[0]

@@ -6,7 +6,8 @@ two words tells how far the scan may jump, the hash bucket of a pattern's last b
 patterns to try, and comparing words confirms an occurrence.
 
 The patterns go to the executors in blocks of at most ``block_bytes`` of benchmark text; several blocks
-mean several scans whose spans are merged by row, so nothing grows with the benchmark. Cases: null
+mean several scans, of which all but the first give the rows that they hit, so nothing grows with the benchmark. Texts of any
+length and words repeated any number of times take time in proportion to the words: each different window is found once a place. Cases: null
 or empty texts and items have no words; there is one row per input row, whatever the number of blocks, also of rows that
 repeat a doc_id or have none; repeated items count once per item_id; a null item_id
 is dropped from the id list; an empty benchmark hits nothing; other columns are not read (and kept by :func:`keep_clean`), whatever their names.
@@ -16,9 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,35 +32,46 @@ B = 2
 
 
 class WuManber:
-    """Search for the windows of m consecutive words of the given texts (item, words)."""
+    """Search for the windows of m consecutive words of the given texts (item, words); each different window is known once.
+
+    A window's items are a list beside it, so what is repeated, within an item or between items, costs no more to find.
+    """
 
     def __init__(self, texts: list[tuple[object, list]], m: int) -> None:
         self.m, self.b = m, min(B, m)
         self.default = m - self.b + 1
-        #: All texts' words, one after the other, and the first word and item of each text; a pattern is the place it starts at.
+        #: All texts' words, one after the other; a window is the first place where it stands.
         self.words: list = []
-        self.starts: list[int] = []
-        self.items: list = []
+        self.items: dict[int, list] = {}
         self.shift: dict = {}
-        self.bucket: dict = defaultdict(list)
+        #: Last block -> hash of the whole window -> places of windows with that hash.
+        self.bucket: dict = defaultdict(dict)
         known: dict = {}
         for item, words in texts:
             base = len(self.words)
-            self.starts.append(base)
-            self.items.append(item)
             self.words += [known.setdefault(w, w) for w in words]
-            n = len(words)
-            for end in range(self.b, n + 1):
+            for end in range(self.b, len(words) + 1):
                 at = base + end - 1
                 block = self.words[at] if self.b == 1 else (self.words[at - 1], self.words[at])
                 # The block ends at each place from there on of the patterns that hold it.
                 jump = max(0, m - end)
                 self.shift[block] = min(self.shift.get(block, self.default), jump)
                 if not jump:
-                    self.bucket[block].append(at - m + 1)
-
-    def find(self, words: list) -> Iterator[tuple[int, object]]:
-        """Starts and items of all occurrences, overlapping ones too, by start."""
+                    self._enter(block, at - m + 1, item)
+
+    def _enter(self, block, place: int, item) -> None:
+        window = self.words[place : place + self.m]
+        same = self.bucket[block].setdefault(hash(tuple(window)), [])
+        for p in same:
+            if self.words[p : p + self.m] == window:
+                if self.items[p][-1] != item:  # an item's windows come one after the other
+                    self.items[p].append(item)
+                return
+        same.append(place)
+        self.items[place] = [item]
+
+    def find(self, words: list) -> Iterator[tuple[int, int]]:
+        """Starts of all occurrences, overlapping ones too, in order, each with the window's place (see ``items``)."""
         m, shift, default, bucket, patterns = self.m, self.shift.get, self.default, self.bucket, self.words
         at, n = m - 1, len(words)
         single = self.b == 1
@@ -71,36 +83,47 @@ class WuManber:
                 continue
             start = at - m + 1
             seen = words[start : at + 1]
-            for place in bucket[block]:
+            for place in bucket[block].get(hash(tuple(seen)), ()):
                 if patterns[place : place + m] == seen:
-                    yield start, self.items[bisect_right(self.starts, place) - 1]
+                    yield start, place
+                    break
             at += 1
 
 
 def searchers(items: list[tuple[object, str | None]], window: int) -> list[WuManber]:
     by_length: dict[int, list[tuple[object, list]]] = defaultdict(list)
-    for item_id, text in items:
+    for item_id, text in sorted(items, key=lambda i: (i[0] is not None, str(i[0]))):  # rows of one item together
         words = fold_words(text)
         if words:
             by_length[min(window, len(words))].append((item_id, words))
     return [WuManber(texts, m) for m, texts in sorted(by_length.items())]
 
 
+def joined(spans: Iterable[list[int]]) -> list[list[int]]:
+    """Half-open spans in the order of their starts, those that touch as one."""
+    out: list[list[int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def hits_of(words: list, found: list[WuManber]) -> tuple[list[list[int]], set]:
     """Merged half-open word spans inside occurrences, and the items that occur."""
     spans, items = [], set()
     for s in found:
-        for start, item in s.find(words):
-            spans.append([start, start + s.m])
-            items.add(item)
-    spans.sort()
-    merged: list[list[int]] = []
-    for a, b in spans:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    return merged, items
+        places: set[int] = set()
+
+        def occurrences(s=s, places=places) -> Iterator[list[int]]:
+            for start, place in s.find(words):
+                places.add(place)
+                yield [start, start + s.m]
+
+        spans += joined(occurrences())
+        items.update(*(s.items[p] for p in places))
+    return joined(sorted(spans)), items
 
 
 SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
@@ -131,8 +154,11 @@ def scan(docs: DataFrame, items: list[tuple[object, str | None]], window: int, d
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int, item_id: str, item_text: str) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark in blocks of about ``block_bytes`` of text at most, by a hash of the item; at least one block."""
-    bench = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t"))
+    """The different items in blocks of about ``block_bytes`` of text at most, by a hash of the item; at least one block.
+
+    A single text of more than that is a block of its own.
+    """
+    bench = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).distinct()
     size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-2 * size // block_bytes) if size > block_bytes else 1
     cut = bench.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
@@ -160,19 +186,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if second is None:
         return scan(docs, first, window)
-    # The key of a row is written once, so that all blocks' scans see the same.
+    # The key of a row is written once, so that all blocks' scans see the same; after the first, only rows that a block hits are shuffled.
     keyed = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "keyed")
-    all_parts = scan(keyed, first, window, row="row")
-    for items in itertools.chain([second], blocks):
-        all_parts = all_parts.unionByName(scan(keyed, items, window, row="row"))
-    merged = all_parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = F.expr(
-        "aggregate(s, cast(array() as array<struct<start:long,stop:long>>), (acc, x) -> "
-        "if(size(acc) > 0 and x.start <= acc[size(acc) - 1].stop, "
-        "concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', acc[size(acc) - 1].start, 'stop', greatest(acc[size(acc) - 1].stop, x.stop)))), "
-        "concat(acc, array(x))))"
-    )
-    return merged.select("doc_id", "n_words", joined.alias("spans"), "items")
+    hit = [scan(keyed, items, window, row="row").where(F.size("spans") > 0).select("row", "spans", "items") for items in itertools.chain([second], blocks)]
+    more = reduce(lambda a, b: a.unionByName(b), hit).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("more"), F.flatten(F.collect_list("items")).alias("others"))
+    both = scan(keyed, first, window, row="row").join(more, "row", "left")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans, items = [], []
+            for own, more, ids, others in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                whole = joined(sorted([s["start"], s["stop"]] for s in own + (more or [])))
+                spans.append([{"start": a, "stop": z} for a, z in whole])
+                items.append(sorted({*ids, *(others or [])}))
+            yield pa.record_batch({"doc_id": b.column(0), "n_words": b.column(1), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))})
+
+    return both.select("doc_id", "n_words", "spans", "more", "items", "others").mapInArrow(merge, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
