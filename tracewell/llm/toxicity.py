@@ -7,7 +7,9 @@ offending sentences.
 
 Cases: null and empty texts have no sentence and get the score of an empty sentence; sentences of a
 document repeat as often as they stand there; documents whose labels disagree count as toxic; with no label of one of
-the kinds the score is the labelled rate; an empty table gives no rows.
+the kinds the score is the labelled rate; an empty table gives no rows. Texts are scored whole, of any length; repeated
+rows get equal rows; rows without an id are scored and never learned from, of rows that share one a single text is learned
+from; extra columns are not read (and kept by :func:`keep_clean`), whatever their names.
 """
 
 from __future__ import annotations
@@ -167,8 +169,8 @@ def fit(bags: Bags, y: np.ndarray, weight: np.ndarray, most: int = 4000, steps:
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 3000) -> Model:
     """Fit on at most about ``per_class`` whole documents of each label, those with the smallest hashes of their ids.
 
-    Each class is weighted back to its share of all labels. The chosen ids, at most that many, are broadcast, so
-    only the chosen documents are shuffled, to the task that fits them.
+    Each class is weighted back to its share of all labels. The chosen ids, at most that many, are broadcast; of the
+    documents that share an id one is taken, by a hash of the texts, so that many are shuffled at most to the task that fits.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
     sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
@@ -176,7 +178,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     pick = F.lit(False)
     for k, n in sizes.items():
         pick = pick | ((F.col("y") == k) & (draw < int(1e6 * min(1.0, per_class / n)) + 1))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(known.where(pick)), "id").select("id", "y", "text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(known.where(pick)), "id")
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("id", "y", "t.text")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags, y = Bags(), []
