@@ -23,14 +23,15 @@ from pyspark.sql import functions as F
 
 from ._spark import fresh, materialize, table
 
-#: Candidates: key blocks, assignments to telling names, credentials in URLs, and long runs with a digit.
+#: Candidates: key blocks (also of PGP), assignments to telling names, credentials in URLs, access key ids, and long runs with a digit.
 #: A key block goes up to its END line, or, where that is missing, to the end of its base64 lines.
-HEAD = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-BLOCK = HEAD + r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:(?:\s|\\[nr])*+(?:[A-Za-z0-9+/]{40,}+={0,2}+|[A-Za-z0-9+/]++={1,2}+|(?=[A-Za-z+/]*+[0-9])[A-Za-z0-9+/]{16,}+))*+)"
-KEYED = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;]{6,}"
-URL = r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]++:[^\s/@]{3,}+@"
+HEAD = r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+BLOCK = HEAD + r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*+(?:[A-Za-z0-9+/]{40,}+={0,2}+|[A-Za-z0-9+/]++={1,2}+|(?=[A-Za-z+/]*+[0-9])[A-Za-z0-9+/]{16,}+))*+)"
+KEYED = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?\s*+[=:]\s*+[\"']?[^\s\"',;]{6,}"
+URL = r"(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]*+://[^\s/:@]++:[^\s/@]{3,}+@"
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
-CANDIDATE = f"{BLOCK}|{KEYED}|{URL}|{RUN}"
+ACCESS = r"(?<![A-Za-z0-9+/_-])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9+/_-])"
+CANDIDATE = f"{BLOCK}|{KEYED}|{URL}|{ACCESS}|{RUN}"
 
 #: Words of the dictionary feature, and of the neighbour and path features (fixed values).
 DICTIONARY = "example|sample|placeholder|change|default|password|secret|token|dummy|value|string|number|config|setting|user|admin|name|test|your|here|none|null|true|false|key|foo|bar|baz|page|post|article|title|image|index|content|version|release|build|branch|feature|module|package|class|function|method|object|table|column|field|order|item|list|data|file|path|http|www|com|org|html|json|xml|abc|qwerty|letmein|welcome|the|and|with|from|this|that|for|not"
@@ -205,7 +206,7 @@ def with_findings(docs: DataFrame, forest: Forest, text: str = "text", path: str
     def candidate(raw: Column, i: Column) -> Column:
         block, url = raw.startswith("-----BEGIN"), raw.rlike(f"^{URL}$")
         keyed = raw.rlike(f"^(?:{KEYED})$") & ~block & ~url
-        value = F.when(block, raw).when(url, F.regexp_extract(raw, r"://[^\s/:@]*:([^\s/@]*)@$", 1)).when(keyed, F.regexp_extract(raw, r"[=:]\s{0,3}[\"']?([^\s\"',;]{6,})$", 1)).otherwise(raw)
+        value = F.when(block, raw).when(url, F.regexp_extract(raw, r"://[^\s/:@]*:([^\s/@]*)@$", 1)).when(keyed, F.regexp_extract(raw, r"[=:]\s*[\"']?([^\s\"',;]{6,})$", 1)).otherwise(raw)
         rule = F.when(block, "block").when(url, "url").when(keyed, "keyed").otherwise("run")
         before = F.get(pieces, i)
         left = F.concat(F.substring(before, -CONTEXT, CONTEXT), F.when(keyed | url, F.substring(raw, 1, 24)).otherwise(""))
