@@ -17,15 +17,23 @@ LIMIT = 100_000
 CUTS = 64
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str | Column, probs: dict[str, float], limit: int = LIMIT, cuts: int = CUTS) -> DataFrame:
-    """``by`` and a column per entry of ``probs``; nulls don't count, NaN is the largest, groups of null keys are left out. Without ``by`` one row."""
+def all_small(df: DataFrame, by: list[str], limit: int = LIMIT) -> bool:
+    """Whether no group has more than ``limit`` rows: one aggregation."""
+    return (df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= limit
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str | Column, probs: dict[str, float], limit: int = LIMIT, cuts: int = CUTS, small: bool | None = None) -> DataFrame:
+    """``by`` and a column per entry of ``probs``; nulls don't count, NaN is the largest, groups of null keys are left out. Without ``by`` one row.
+
+    ``small`` says what :func:`all_small` found of the rows, where that is known already.
+    """
     v = (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v")
     rows = df.select(*by, v).where("_v IS NOT NULL")
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
     keys = by or ["_all"]
     sizes = rows.groupBy(*keys).agg(F.count("_v").alias("_n"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= limit:
+    if small or small is None and (sizes.agg(F.max("_n")).first()[0] or 0) <= limit:
         found = rows.groupBy(*by).agg(*(F.percentile("_v", F.lit(p)).alias(c) for c, p in probs.items()))
         return found.select(*by, *probs)
     rows, sizes = files.written(rows, "values"), files.written(sizes, "sizes")

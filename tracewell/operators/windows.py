@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles
+from .quantiles import all_small, exact_quantiles
 
 
 def difference(df: DataFrame, by: list[str], order: str, value: str = "v", n: int = 1) -> DataFrame:
@@ -93,8 +93,9 @@ def repair_outliers(df: DataFrame, by: list[str], order: str = "i", time: str =
     c, left, right = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
     rows = df.withColumn("_l", left).withColumn("_r", right).withColumn("_tl", F.lag(time).over(w)).withColumn("_tr", F.lead(time).over(w)).withColumn("_d", F.abs(c - F.col("_l")))
     # A sample's step is to the one before; the spread is of the steps' sizes.
-    steps = exact_quantiles(rows, by, "_d", {"_med": 0.5})
-    spread = steps.join(exact_quantiles(rows.join(steps, by), by, F.abs(F.col("_d") - F.col("_med")), {"_mad": 0.5}), by)
+    small = all_small(df, by)  # steps are no more than samples
+    steps = exact_quantiles(rows, by, "_d", {"_med": 0.5}, small=small)
+    spread = steps.join(exact_quantiles(rows.join(steps, by), by, F.abs(F.col("_d") - F.col("_med")), {"_mad": 0.5}, small=small), by)
     rows = rows.join(spread, by, "left")
     off = F.abs(c - (F.col("_l") + F.col("_r")) / 2)
     limit = F.greatest(F.col("_med") + z * 1.4826 * F.col("_mad"), F.lit(2.220446049250313e-16))
