@@ -308,6 +308,52 @@ def test_wrapper_query(spark):
     assert wrappers.extract_main(none, wrappers.infer_wrappers(none)).count() == 0
 
 
+def test_names_within_an_article_are_read_as_a_whole():
+    """Within an article a name that says more than a mark is its author's; boxes of marks alone go."""
+    def inner(name: str) -> bool:
+        return "inner" in wrappers.extract(f"<article><p>first</p><div class='{name}'><p>inner</p></div></article>", None)
+
+    assert all(inner(c) for c in ("alert-level", "social-history", "header-image-text", "skip-0", "toc", "feedback"))
+    assert not any(inner(c) for c in ("cookie-notice", "share-buttons", "ad", "ad-300x250", "related-posts", "user-comments", "adContainer", "x newsletter"))
+
+
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("<p>a <button>x</button> b</p>", "a b"), ("<p>a <select><option>x<option>y</select> b</p>", "a b"), ("<p>a</p><button><div>x</div></button><p>b</p>", "a\n\nb"), ("<p>a <button>x", "a"),
+        ("<p>a</p><button>x<p>y</p><button>z</button><p>b</p>", "a"),  # an open control holds what follows
+        ("<div>Some words that are no link.</div><p><a href=x>See the full report on this matter</a></p>", "Some words that are no link.\n\nSee the full report on this matter"),
+        ("<div>Some words that are no link.</div><p><a href=x>One</a> <a href=y>Two</a></p>", "Some words that are no link."),
+    ],
+)
+def test_controls_and_links(source, expected):
+    assert wrappers.extract(source, None) == expected
+
+
+def test_notices_of_any_length_and_articles_lines():
+    notice = "We use cookies and other things to learn what you read. " * 8
+    flat = [f"<body><h1>T {k}</h1><p>{notice}</p>" + "".join(f"<p>Paragraph {k} {i} " + "word " * 60 + "</p>" for i in range(5)) + "</body>" for k in range(13)]
+    w = wrappers.Wrapper(wrappers.infer(flat[:12]))
+    assert "cookies" not in wrappers.extract(flat[12], w) and wrappers.extract(flat[12], w).count("Paragraph 12") == 5
+    story = [f"<article><h1>T {k}</h1><p>Same short opening line.</p><div><p>Body {k} " + f"w{k} " * 60 + "</p><p>Same closing line.</p></div><div class=q1><p>Get our letter now</p></div></article>" for k in range(11)]
+    w = wrappers.Wrapper(wrappers.infer(story[:10]))
+    blocks = wrappers.extract(story[10], w).split("\n\n")
+    assert blocks[:2] == ["T 10", "Same short opening line."] and blocks[-1] == "Same closing line." and len(blocks) == 4
+
+
+def test_wrapper_keeps_page_order():
+    """Slots and elements of an element stand in the wrapper as on the page."""
+    text = wrappers.expression(wrappers.Wrapper(wrappers.infer([f"<div>a{k}<p>b{k}</p>c{k}<ul><li>d{k}</ul></div>" for k in range(3)])).root)
+    assert "<div>#PCDATA<p>#PCDATA</p>#PCDATA<ul>" in text
+
+
+def test_main_text_of_clashing_columns(spark):
+    rows = [(None, "http://h/", "<article><p>x</p></article>", "q", 1, 2, 3, 4), (5, "http://h/", None, "q", 1, 2, 3, 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, h long, part int, salts int, bucket int")
+    found = wrappers.extract_main(pages, wrappers.infer_wrappers(pages)).collect()
+    assert {(r.page_id, r.text) for r in found} == {(None, "x"), (5, "")}
+
+
 def test_host_of_many_copies_has_a_wrapper(spark):
     """Sixteen different pages in 20,000 rows of one host: its notices are found as if there were no copies."""
     few = spark.createDataFrame([(k, page(k, 3)) for k in range(16)], "k long, html string")

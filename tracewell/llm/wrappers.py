@@ -5,18 +5,23 @@ of a host are aligned one after the other: equal neighbours become a repeated gr
 have becomes an optional group, text that differs becomes a slot. The result is a union-free regular
 expression over tags (:func:`expression` prints it), the host's wrapper. The wrapper's content element is
 the one that holds the main text of most of the pages. Pages of a host whose content elements have one path are of one
-template; short blocks within them whose text is the same on nearly all pages of a template are its notices. Every page is
-then matched against its host's wrapper; where that finds no content element, the page's own structure decides.
+template; blocks within them, of any length, whose text is the same on nearly all pages of a template are its notices. Within
+an article or main element only boxes count as notices: elements of their own that hold nothing else, while a
+paragraph among others (a series' opening line) is the author's. Every page is then matched against its host's wrapper; where
+that finds no content element, the page's own structure decides.
 
 Wrappers are fitted on all pages; copies count once. Each page is reduced to its outline before a shuffle. Outlines
 of a host are dealt to groups by their hashes, more of them for hosts of more pages, and stream through in a fixed order, so neither
 the order of rows nor the partitions change a wrapper. A task holds wrappers and, per template, counts of texts that lag at most ``LAG`` of
-its pages behind. Cases: null or empty html gives an empty text; a null URL has the empty host; broken and
-truncated markup is closed at the end; repeated rows give equal rows; an empty table gives none.
+its pages behind; long texts count by their hashes. Cases: null or empty html gives an empty text; a null URL has the empty host; a null
+page_id stays null; broken and truncated markup is closed at the end; very long pages are read whole, in one pass; repeated rows give equal
+rows; of content elements that tie the first on the page is taken; other columns of pages are not read, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import json
 import math
@@ -48,16 +53,40 @@ _MARKS = frozenset(
     "signup signin login share sharing social related recommended recommendations comment comments commentlist respond disqus discussion reply replies feedback widget pagination pager "
     "skip hidden alert paywall header disclaimer toc tagcloud".split()
 )
+#: Within an article, names that may as well be its author's.
+_OWN = frozenset("toc feedback skip header discussion".split())
+#: Words that stand beside a mark in names of boxes; any other word makes a name the author's (``alert-level``, ``social-history``).
+_BESIDE = frozenset(
+    "box block bar container wrapper wrap section list inline main top bottom left right link links button buttons unit slot area item items content inner outer holder panel group "
+    "row col column module component region body post posts article articles stories page site web form thread message small large mobile desktop media this now reading google policy count".split()
+)
+#: Last words of names of boxes, whatever stands before them.
+_LAST = frozenset("ad ads advert adverts advertisement adsense adslot sponsored nav navbar navigation breadcrumb breadcrumbs sidebar comment comments replies newsletter signup pagination popup modal paywall".split())
 _CONTENT = frozenset("article content post entry story main body text articlebody".split())
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that are parts of a text rather than boxes.
+_PARTS = _HEADINGS | frozenset("p li ul ol dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr hgroup".split())
+#: Form controls amid a sentence: they are left out and don't end its block.
+_CONTROLS = {n: re.compile(rf"<(/?){n}(?=[\s/>])[^>]*>?", re.I) for n in ("button", "select")}
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+def boxed(names: str) -> frozenset:
+    """The marks among class and id values of an element within an article: those of names that say nothing but what surrounds a text."""
+    found = set()
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        hit = _MARKS.intersection(words) - _OWN
+        if hit and (words[-1] in _LAST or all(w in _MARKS or w in _BESIDE or len(w) == 1 for w in words)):
+            found |= hit
+    return frozenset(found)
+
+
 class Page:
     """Block elements in page order (0 is the root) and the text blocks between their tags."""
 
-    __slots__ = ("blocks", "dropped", "heads", "key", "last", "name", "parent", "prior")
+    __slots__ = ("anchors", "before", "blocks", "dropped", "heads", "key", "last", "name", "parent", "prior")
 
     def __init__(self, source: str) -> None:
         self.name, self.parent, self.key, self.dropped, self.prior, self.last = ["#root"], [-1], ["#root"], [False], [0], [0]
@@ -65,6 +94,9 @@ class Page:
         self.heads = [False]
         #: (element, text, share of it in links)
         self.blocks: list[tuple[int, str, float]] = []
+        #: Per block: how many links it has, and how many elements stand before it.
+        self.anchors: list[int] = []
+        self.before: list[int] = []
         self._read(source)
 
     def _open(self, name: str, attrs: str, parent: int) -> int:
@@ -74,7 +106,7 @@ class Page:
         structural = name in ("html", "body", "article", "main")
         drop = self.dropped[parent] or name in _NEVER or found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         if marks and not drop and name not in ("html", "body", "main"):
-            hit = marks & _MARKS
+            hit = boxed(f"{classes} {found.get('id', '')}") if self.heads[parent] else marks & _MARKS
             drop = bool(hit - {"header"} if structural or name in _HEADINGS or name == "header" else hit)
             if structural:
                 drop = bool(hit & {"comment", "comments", "reply", "related", "recommended", "ad", "ads", "advert", "sponsored", "promo"})
@@ -90,7 +122,8 @@ class Page:
         return len(self.name) - 1
 
     def _read(self, source: str) -> None:
-        stack, at, buffer, links, in_link, hidden = [0], 0, [], 0, False, 0
+        stack, at, buffer, links, anchors, in_link = [0], 0, [], 0, 0, False
+        bare = dict.fromkeys(_CONTROLS, False)  # controls that nothing closes any more
         blocks, name_of, opened = self.blocks, self.name, Counter()
 
         def text(raw: str) -> None:
@@ -102,13 +135,15 @@ class Page:
                     links += len(decoded)
 
         def flush() -> None:
-            nonlocal links
+            nonlocal links, anchors
             if buffer:
                 joined = " ".join("".join(buffer).split())
                 if joined:
                     blocks.append((stack[-1], joined, min(1.0, links / len(joined))))
+                    self.anchors.append(anchors)
+                    self.before.append(len(name_of))
                 buffer.clear()
-            links = 0
+            links = anchors = 0
 
         def close(n: int) -> None:
             while len(stack) > n:
@@ -142,7 +177,15 @@ class Page:
                     text("\n")
                 elif name == "a":
                     in_link = not closing
+                    anchors += in_link
                 continue
+            if name in _CONTROLS and not closing and not bare[name] and not attrs.endswith("/>"):
+                stop = _CONTROLS[name].search(source, at)
+                if stop and stop.group(1):
+                    at = stop.end()
+                    text(" ")
+                    continue
+                bare[name] = stop is None
             flush()
             if closing:
                 if opened[name]:
@@ -197,15 +240,41 @@ class Page:
         return "/".join(reversed(keys))
 
     def within(self, root: int) -> list[int]:
-        """The text blocks of an element, by their places; if it is the whole page, blocks that are mostly links are menus and left out."""
+        """The text blocks of an element, by their places; if it is the whole page, blocks that are mostly links are menus and left out, but for a paragraph that is one link."""
         last = self.last[root]
         bare = root == 0 or self.name[root] in ("html", "body")
-        return [i for i, (e, t, links) in enumerate(self.blocks) if root <= e <= last and not (bare and links > 0.6 and len(t) < 200)]
+        return [i for i, (e, t, links) in enumerate(self.blocks) if root <= e <= last and not (bare and links > 0.6 and (self.anchors[i] != 1 or self.name[e] != "p"))]
+
+    def box(self, e: int, root: int) -> int | None:
+        """The smallest box below root that an element stands in or is; None if it is a part of root's own text."""
+        while e > root and self.name[e] in _PARTS:
+            e = self.parent[e]
+        return e if e > root else None
+
+    def notices(self, root: int, names: frozenset) -> frozenset:
+        """The blocks of an element, by their places, that are notices of these :func:`names <counted_as>`."""
+        within = self.within(root)
+        hit = {i for i in within if counted_as(self.blocks[i][1]) in names}
+        if not hit or not self.heads[root]:
+            return frozenset(hit)
+        box = {i: self.box(self.blocks[i][0], root) for i in within}
+        mixed = {box[i] for i in within if i not in hit}
+        alike = {(self.parent[b], self.key[b]) for b in mixed if b is not None}  # boxes like these hold the article's text
+        return frozenset(i for i in hit if (b := box[i]) is not None and b not in mixed and (self.parent[b], self.key[b]) not in alike)
 
     def text(self, root: int, skip: frozenset = frozenset()) -> str:
         return "\n\n".join(self.blocks[i][1] for i in self.within(root) if i not in skip)
 
 
+def counted_as(text: str) -> str:
+    """What a text is counted as: itself, or its hash and length if it is long (or starts like one)."""
+    return text if len(text) < 200 and text[:1] != "\0" else f"\0{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()} {len(text)}"
+
+
+def length_of(name: str) -> int:
+    return int(name.rpartition(" ")[2]) if name.startswith("\0") else len(name)
+
+
 class Node:
     """A wrapper element: children are Nodes or text slots (a constant, or None where pages differ)."""
 
@@ -243,14 +312,14 @@ def tree(page: Page, content: int) -> Node:
     for e in range(1, len(nodes)):
         level[e] = level[page.parent[e]] + 1
     nodes[content].content = 1
-    texts: dict[int, list] = {}
-    for i, (e, _, _) in enumerate(page.blocks):
-        texts.setdefault(e, []).append(i)
+    # Slots and elements of each element in page order: a block stands before the elements that open after it.
+    parts: dict[int, list] = {}
+    for i, (e, text, _) in enumerate(page.blocks):
+        parts.setdefault(e, []).append((page.before[i], 0, i, _slot(text)))
     for e in range(len(nodes) - 1, -1, -1):  # children come after their parents, so from the end
-        own = [_slot(page.blocks[i][1]) for i in texts.get(e, ())]
-        nodes[e].children = fold([*own, *nodes[e].children[::-1]])
+        nodes[e].children = fold([x for *_, x in sorted(parts.pop(e, ()), key=lambda p: p[:3])])
         if e and not page.dropped[e] and level[e] < DEEPEST:
-            nodes[page.parent[e]].children.append(nodes[e])
+            parts.setdefault(page.parent[e], []).append((e, 1, e, nodes[e]))
     return nodes[0]
 
 
@@ -304,13 +373,13 @@ NOTICE, LAG = 0.95, 0.05
 
 
 def outline(source: str) -> tuple[str, str, list[str], int] | None:
-    """A page's template (path of its content element), its tree (JSON), the short blocks of its content, and the length of its text."""
+    """A page's template (path of its content element), its tree (JSON), the blocks of its content that may be notices (:func:`counted_as`), and the length of its text."""
     page = Page(source)
     if not page.blocks:
         return None
     root = page.content()
     blocks = [page.blocks[i] for i in page.within(root)]
-    inside = {t for e, t, _ in blocks if page.name[e] not in _HEADINGS and len(t) < 200}
+    inside = {counted_as(t) for e, t, _ in blocks if page.name[e] not in _HEADINGS and not (page.heads[root] and page.box(e, root) is None)}
     return page.path(root), json.dumps(tree(page, root).dump(), separators=(",", ":")), sorted(inside), len(page.text(root))
 
 
@@ -339,7 +408,7 @@ class Counts:
 
     def notices(self, least: int) -> list[str]:
         found = sorted(t for t, c in self.texts.items() if c >= (NOTICE - LAG) * self.n) if self.n >= least else []
-        return found if 5 * self.n * sum(map(len, found)) <= self.size else []  # near copies of one page share what is no notice
+        return found if 2 * self.n * sum(map(length_of, found)) <= self.size else []  # near copies of one page share what is no notice
 
 
 class Host:
@@ -433,7 +502,7 @@ def extract(source: str | None, wrapper: Wrapper | None) -> str:
     if root is None or root != own and not page.text(root):
         root = own
     notices = wrapper.notices.get(page.path(own)) if wrapper and wrapper.notices else None
-    skip = frozenset(i for i, (_, t, _) in enumerate(page.blocks) if t in notices) if notices else frozenset()
+    skip = page.notices(root, notices) if notices else frozenset()
     return page.text(root, skip) or page.text(own)
 
 
