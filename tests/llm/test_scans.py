@@ -157,6 +157,17 @@ def test_language_scores_by_brute_force(spark):
 # --- toxicity ------------------------------------------------------------------------
 
 
+def test_language_model_of_repeated_rows(spark):
+    """Rows that repeat an id and its text count once, in the sample and in the counts; too many languages are refused."""
+    once = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (None, "le chat est sur la table", "fr"), (None, "un chien dans la rue", "fr"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string")
+    again = once.unionByName(once.where("doc_id = 1 OR text LIKE 'un%'").crossJoin(spark.range(300)).drop("id"))
+    a, b = langid.learn(once), langid.learn(again)
+    assert a.langs == b.langs == ["de", "en", "fr"] and a.log_p == pytest.approx(b.log_p)
+    assert {r.doc_id: r.lang_pred for r in langid.identify(once.where("doc_id IS NOT NULL"), a).collect()} == {1: "en", 2: "de"}
+    with pytest.raises(ValueError, match="3 languages"):
+        langid.learn(once, most_languages=2)
+
+
 def test_toxicity_learns_and_locates(spark):
     rng = random.Random(2)
     fine = [f"w{i}" for i in range(200)]

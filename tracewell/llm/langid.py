@@ -82,15 +82,19 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", per_language: int = 4000, bits: int = 16, alpha: float = 0.1) -> Model:
-    """Fit on at most about ``per_language`` whole texts of each language, those with the smallest hashes of their ids.
+def learn(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", per_language: int = 4000, bits: int = 16, alpha: float = 0.1, most_languages: int = 1000) -> Model:
+    """Fit on at most about ``per_language`` whole texts of each language, those with the smallest hashes of id and text.
 
-    Counting is distributed; the driver receives at most 8 partial count vectors a language.
+    Rows that repeat an id and its text are one of them, and rows without an id are drawn by their texts, so the bound holds however
+    ids repeat. Counting is distributed; the driver receives at most 8 partial count vectors a language. More than ``most_languages`` different languages
+    are refused, since the broadcast matrix has a column for each (of 256 KiB at 16 bits).
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"{len(sizes)} languages, at most {most_languages} are fitted")
     langs = sorted(sizes)
-    draw = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(2)), F.lit(1_000_000))
     pick = F.lit(False)
     for k in langs:
         pick = pick | ((F.col("lang") == k) & (draw < int(1e6 * min(1.0, per_language / sizes[k])) + 1))
@@ -115,7 +119,8 @@ def learn(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str
             yield pa.record_batch({"lang": pa.array(list(found)), "counts": pa.array([v.tobytes() for v in found.values()], pa.binary())})
 
     total = np.zeros((width, len(langs)))
-    for r in rows.where(pick).select("lang", "text").repartition(8).mapInArrow(count, "lang string, counts binary").collect():
+    drawn = rows.where(pick).groupBy("lang", "id", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    for r in drawn.select("lang", "text").repartition(8).mapInArrow(count, "lang string, counts binary").collect():
         total[:, number[r["lang"]]] += np.frombuffer(r["counts"], np.int64)
     total += alpha
     prior = np.array([sizes[k] for k in langs], float)
