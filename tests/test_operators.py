@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import batch, events, masks, pairs, parse, select, sta, traces, validate, windows
+from tracewell.operators import batch, chunks, events, masks, pairs, parse, select, sta, traces, triggered, validate, windows
 from tracewell.operators import spikes as R
 from tracewell.sources import cache, files, jobs, sinks
 
@@ -98,6 +98,35 @@ def test_triggered_average(spark, spikes, expected, n):
         assert np.mean([e for (e,) in values(sliced, "epoch")], 0) == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 64, 1000])
+def test_triggered_averages_from_chunks(spark, size):
+    """Equal to the average of epochs, whatever the chunks: windows over several of them, shared samples, NaN, events at the ends or without a time."""
+    rng = np.random.default_rng(size)
+    x = {c: rng.normal(size=100) for c in (0, 1, 2)}
+    x[1][::7] = np.nan
+    signal = spark.createDataFrame([(c, i, float(v)) for c, row in x.items() for i, v in enumerate(row)], "c int, i long, v double")
+    at = [(c, float(t)) for c in (0, 1) for t in rng.choice(np.arange(0, 10, 0.05), 80)] + [(0, None), (1, 0.0), (1, 9.9), (9, 5.0)]
+    triggers = spark.createDataFrame(at * 2, "c int, t double")
+    found = triggered.averages(triggers, chunks.to_chunks(signal, ["c"], size), ["c"], 0.0, 0.1, 100, (-0.5, 0.8), size)
+    expected = {(r.c, r.k): r for r in sta.average(sta.epochs_long(triggers, signal, ["c"], 0.0, 0.1, 100, (-0.5, 0.8)), ["c"], 0.1).collect()}
+    rows = found.collect()
+    assert len(rows) == len(expected) == 28
+    for r in rows:
+        e = expected[r.c, r.k]
+        assert (r.v, r.n, r.t_rel) == (pytest.approx(e.v), e.n, pytest.approx(e.t_rel))
+    one = triggered.averages(triggers.where("c = 0").drop("c"), chunks.to_chunks(signal.where("c = 0"), [], size), [], 0.0, 0.1, 100, (-0.5, 0.8), size)
+    assert {r.k: r.v for r in one.collect()} == {k: pytest.approx(e.v) for (c, k), e in expected.items() if c == 0}
+    assert triggered.averages(triggers.limit(0), chunks.to_chunks(signal, ["c"], size), ["c"], 0.0, 0.1, 100, (-0.5, 0.8), size).count() == 0
+
+
+def test_trace_without_keys_is_one(spark):
+    triggers = spark.createDataFrame([(0.3,), (0.5,)], "t double")
+    whole = traces.to_traces(long(spark, range(10)), ["c"], 0.0, 0.1)
+    assert sta.epochs_trace(triggers, whole.drop("c"), [], 0.1, (-0.1, 0.2)).count() == 2
+    with pytest.raises(ValueError, match="2 traces"):
+        sta.epochs_trace(triggers, whole.unionByName(whole).drop("c"), [], 0.1, (-0.1, 0.2))
+
+
 def test_mask_split(spark):
     mask = spark.createDataFrame([(y, i, int(i == k)) for y, k in ((100, 2), (300, 5)) for i in range(10)], "y int, i long, m int")
     triggers = spark.createDataFrame([(100, t) for t in (0.2, 0.5, 0.8)], "y int, t double")

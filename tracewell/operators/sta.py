@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .windows import finite
 
 
+#: Samples of a trace without keys that every executor may hold (128 MB).
+BROADCAST = 16_000_000
+
+
 def to_seconds(t: Column, unit: str) -> Column:
     if unit not in ("s", "ms"):
         raise ValueError("unit must be s or ms")
@@ -39,9 +43,18 @@ def epochs_long(triggers: DataFrame, signal: DataFrame, by: list[str], t0: float
 
 
 def epochs_trace(triggers: DataFrame, traces: DataFrame, on: list[str], dt: float, window: tuple[float, float]) -> DataFrame:
-    """The same from whole traces: one row per event with the slice of its channel, without an explode."""
+    """The same from whole traces: one row per event with the slice of its channel, without an explode.
+
+    With nothing to join on every event meets the one trace, which is broadcast; a longer one than ``BROADCAST`` is refused (:mod:`triggered` takes any).
+    """
     lo, hi = offsets(window, dt)
-    joined = triggers.join(traces, on) if on else triggers.crossJoin(F.broadcast(traces))
+    if on:
+        joined = triggers.join(traces, on)
+    else:
+        count, samples = traces.agg(F.count(F.lit(1)), F.sum(F.size("values"))).first()
+        if count > 1 or (samples or 0) > BROADCAST:
+            raise ValueError(f"{count} traces of {samples} samples: name what joins them, or average from chunks")
+        joined = triggers.join(F.broadcast(traces))
     c = F.rint((F.col("t") - F.col("t0")) / dt).cast("int")
     rows = joined.withColumn("_c", c).where((F.col("_c") + lo >= 0) & (F.col("_c") + hi <= F.size("values") - 1))
     return rows.withColumn("epoch", F.slice("values", F.col("_c") + lo + 1, F.lit(hi - lo + 1))).drop("values", "_c")

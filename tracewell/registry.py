@@ -20,6 +20,7 @@ from .operators import select as L
 from .operators import spikes as R
 from .operators import sta as A
 from .operators import traces as T
+from .operators import triggered
 from .operators import windows as W
 from .plans import driver as D
 from .plans import probe as J
@@ -352,6 +353,14 @@ def sta_avg(spark, d):
     return A.average(_epochs(spark, d), ["pop"], D.HOUR).select("pop", "k", r6("v", "v"), "n")
 
 
+@query(f"{_TRIG} SELECT pop, k, round(avg(v), 6) AS v, count(*) AS n FROM w GROUP BY pop, k")
+def sta_counts(spark, d):
+    """The same averages from counts of events per sample, along chunks of a day and a half."""
+    chunks = H.to_chunks(D.hourly(spark, d), ["pop"], 36)
+    found = triggered.averages(D.spikes(spark, d).select("pop", "t"), chunks, ["pop"], 0.0, D.HOUR, D.hours(spark, d), (-2 * D.HOUR, 4 * D.HOUR), 36)
+    return found.select("pop", "k", r6("v", "v"), "n")
+
+
 @query(f"{_TRIG} SELECT pop, spike, k, v FROM w")
 def sta_epochs(spark, d):
     return _epochs(spark, d).select("pop", "spike", "k", "v")
