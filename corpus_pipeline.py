@@ -2,6 +2,11 @@
 
 Each stage takes the rows that its predecessor kept and works on all of them. A stage's result is written as Parquet
 and read again, so a lost executor repeats one stage's tasks at most.
+
+Cases: null and empty texts are neither toxic nor contaminated, have no near duplicates and no secrets, and are packed as one end id; rows
+without a doc_id go through all stages like others (of near duplicates they are kept only where all lack one); rows that
+repeat a doc_id and its text are near duplicates, so one stays; texts of any length are taken whole; without benchmark items or
+labels nothing is contaminated or toxic; an empty table gives no pieces; other columns are kept up to the packing, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import batch, chunks, events, masks, pairs, parse, select, sta, traces, triggered, validate, windows
 from tracewell.operators import spikes as R
+from tracewell.plans import driver
 from tracewell.sources import cache, files, jobs, sinks
 
 RESULT = {
@@ -119,6 +120,28 @@ def test_triggered_averages_from_chunks(spark, size):
     assert triggered.averages(triggers.limit(0), chunks.to_chunks(signal, ["c"], size), ["c"], 0.0, 0.1, 100, (-0.5, 0.8), size).count() == 0
 
 
+def test_a_jobs_file_is_whole(spark, tmp_path):
+    """Whatever the session says of records per file; all of a job's rows are in it."""
+    df = spark.range(40).selectExpr("cast(id % 3 AS int) AS job_id", "id AS v")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 2)
+    try:
+        sinks.save_per_job(df, str(tmp_path), "job_{job:05d}.parquet")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted(p.name for p in tmp_path.glob("job_*")) == [f"job_{k:05d}.parquet" for k in range(3)]
+    assert [spark.read.parquet(str(tmp_path / f"job_{k:05d}.parquet")).count() for k in range(3)] == [14, 13, 13]
+
+
+def test_bounds_of_signals_follow_the_table(spark, tmp_path):
+    """A folder whose events change in a session has the bounds of what it holds now."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    days = []
+    for part in (events, events.withColumn("ts", F.expr("if(event_id % 2 = 0, ts + INTERVAL 10 DAYS, ts)"))):
+        part.write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+        days.append(driver.hours(spark, str(tmp_path)) // 24)
+    assert days[1] == days[0] + 10
+
+
 def test_trace_without_keys_is_one(spark):
     triggers = spark.createDataFrame([(0.3,), (0.5,)], "t double")
     whole = traces.to_traces(long(spark, range(10)), ["c"], 0.0, 0.1)

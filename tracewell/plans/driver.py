@@ -7,6 +7,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 HOUR, DAY = 3600.0, 86400.0
 
 
@@ -16,7 +18,7 @@ def micros() -> Column:
 
 
 @lru_cache(maxsize=64)
-def _span(spark: SparkSession, app: str, sf_dir: str) -> tuple[int, int]:
+def _span(spark: SparkSession, app: str, sf_dir: str, stamp: tuple) -> tuple[int, int]:
     first, last = table(spark, sf_dir, "events").agg(F.floor(F.min(micros()) / F.lit(DAY * 1e6)), F.floor(F.max(micros()) / F.lit(DAY * 1e6))).first()
     return (int(first * DAY * 1e6), 24 * (last - first + 1)) if first is not None else (0, 24)
 
@@ -24,9 +26,9 @@ def _span(spark: SparkSession, app: str, sf_dir: str) -> tuple[int, int]:
 def span(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     """Start of the first day with events, in microseconds since 1970, and the hours up to the last day's end (24 without events).
 
-    One pass over one column, once a session and directory: the directory's tables are taken not to change in a session.
+    One pass over one column, once a session for each state of the table (its size and time).
     """
-    return _span(spark, spark.sparkContext.applicationId, sf_dir)
+    return _span(spark, spark.sparkContext.applicationId, sf_dir, tuple(files.stamp(spark, [f"{sf_dir}/events.parquet"])))
 
 
 def hours(spark: SparkSession, sf_dir: str) -> int:

@@ -62,7 +62,7 @@ def save_per_job(df: DataFrame, folder: str, template: str, job: str = "job_id",
     """
     spark, keys = df.sparkSession, [job, *([label] if label else [])]
     tmp = f"{folder.rstrip('/')}/.tmp"
-    writer = df.repartition(*keys).write.mode("overwrite").partitionBy(*keys)
+    writer = df.repartition(*keys).write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy(*keys)  # a job's file is whole, whatever the session says
     writer.json(tmp) if template.endswith(".json") else writer.parquet(tmp)
     for path in files.glob(spark, f"{tmp}/{'/'.join(k + '=*' for k in keys)}/part-*"):
         at = dict(part.split("=", 1) for part in path.split("/") if part.split("=", 1)[0] in keys)
