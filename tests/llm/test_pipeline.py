@@ -2,9 +2,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tests.conftest import SF
+from tests.llm.common import AWKWARD, docs
 from tests.llm.test_forms import brute_classes, check_pieces
 from tests.llm.test_scans import brute
 from tracewell.llm import secrets, toxicity
+from tracewell.llm._spark import materialize
 
 
 def test_stages_by_brute_force(spark):
@@ -36,6 +38,25 @@ def test_stages_by_brute_force(spark):
     check_pieces(pieces, {i: r.text for i, r in after.items()})
 
 
+def test_stages_take_awkward_rows(spark):
+    """Nulls, empty and very long texts, rows without an id and columns of any name go through all stages; one of equal texts stays."""
+    d = docs(spark, AWKWARD)
+    d = d.unionByName(d.where("doc_id IN (0, 3)").withColumn("doc_id", F.lit(None).cast("long")))
+    for name in ("g", "key", "row", "label", "times", "id", "y", "spans", "members", "text_"):
+        d = d.withColumn(name, F.lit("own"))
+    expected = {0: None, 1: "", 2: " ", 3: "a", 4: "\n\n", 5: AWKWARD[5], 6: AWKWARD[6], 7: AWKWARD[7], 9: AWKWARD[9], 10: AWKWARD[10]}
+    stage = d
+    for name, step in P.STAGES[:-1]:
+        stage = materialize(step(spark, stage, SF), "awkward")
+        assert stage.columns == d.columns, name
+    rows = stage.collect()
+    assert {r.doc_id: r.text for r in rows if r.doc_id is not None} == expected
+    assert [r.text for r in rows if r.doc_id is None] == [None]  # "a" without an id is a copy of document 3
+    assert all(r.g == r.key == r.row == r.label == r.spans == "own" for r in rows)
+    packed = P.pack(spark, stage, SF).collect()
+    check_pieces(packed, expected | {None: None})
+
+
 def test_run_and_empty_table(spark):
     pieces = P.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset"} <= set(pieces.columns) and pieces.count() > 0

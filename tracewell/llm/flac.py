@@ -8,7 +8,8 @@ MD5, and gives PCM blocks with their sample offsets. Frames are decoded in locks
 sample i of all frames of a kind.
 
 Cases: a null text is an empty payload (one block of padding); equal texts give equal media; null media decode
-to null blocks with an error; corrupt media give an error, not a crash; an empty table gives no rows.
+to null blocks with an error; corrupt media give an error, not a crash; an empty table gives no rows. Texts of any length are
+coded whole, one row's media in one task; repeated rows and rows without an id give a row each; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ frame, decodes one frame per record and validates headers, lengths and digests.
 Cases: a null payload is empty; a null URL is written as ``urn:page:<id>``; a row without a page_id is a record as
 well, its id made from URL and digest (page_id is null on reading); payloads under
 ``min_dedup_bytes`` are never revisits; a corrupt or truncated archive gives its good records and a row with an ``error``; rows that repeat the smallest id of equal payloads are
-responses too; an empty table gives no archives. Columns that are not named are ignored.
+responses too; payloads of any length are one record; an empty table gives no archives. Columns that are not named are ignored.
 """
 
 from __future__ import annotations
