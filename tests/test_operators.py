@@ -54,6 +54,17 @@ def test_parser(result):
     assert result.select("job_id").distinct().count() == 2
 
 
+def test_rates_read_documents_once(result):
+    from tracewell.plans import sweeps
+
+    out = sweeps.results_to_rates(result, 0.0, 0.006, 0.003)
+    assert result.inputFiles() and not set(result.inputFiles()) & set(out.inputFiles())
+    found = {(p, b): r for p, b, r in values(out.where("job_id = 1"), "pop", "bin", "rate")}
+    assert {k: round(r) for k, r in found.items() if r == r} == {("IT2", 0): 333, ("IT2", 1): 167, ("PV2", 0): 0, ("PV2", 1): 667, ("SILENT", 0): 0, ("SILENT", 1): 0}
+    assert {k for k, r in found.items() if r != r} == {("EMPTY", 0), ("EMPTY", 1)}
+    assert out.count() == 16
+
+
 @pytest.fixture(scope="module")
 def trains(spark):
     rows = [("IT2", 0, t) for t in (0.1, 0.2, 0.4, 0.9)] + [("IT2", 1, t) for t in (0.15, 0.45, 0.75)] + [("PV2", 2, t) for t in (0.05, 0.35, 0.65)]

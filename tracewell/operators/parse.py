@@ -12,6 +12,9 @@ RESULT = (
     "simData struct<LFP:array<array<double>>,LFPPops:map<string,array<array<double>>>,spkid:array<bigint>,spkt:array<double>,t:array<double>,V_soma:map<string,array<double>>>"
 )
 
+#: Of that, what ``trains_only`` keeps: a reader with this schema skips the rest of a document.
+TRAINS = "net struct<pops:map<string,struct<cellGids:array<bigint>,tags:struct<ynormRange:array<double>>>>>, simData struct<spkid:array<bigint>,spkt:array<double>>"
+
 
 def schema(*traces: str) -> str:
     """The schema of documents that record other traces of cells beside ``V_soma``."""
@@ -23,6 +26,11 @@ def _ids(df: DataFrame) -> list[str]:
     return [c for c in ("job_id",) if c in df.columns]
 
 
+def trains_only(results: DataFrame) -> DataFrame:
+    """Documents that keep their populations and spikes: all that ``pops``, ``cells`` and ``spikes`` read but the depth."""
+    return results.select(*_ids(results), F.struct(F.lit(None).cast("double").alias("sizeY")).alias("simConfig"), F.struct("net.pops").alias("net"), F.struct("simData.spkid", "simData.spkt").alias("simData"))
+
+
 def pops(results: DataFrame) -> DataFrame:
     """``pop, pop_ord, gids, n_cells, y_lo, y_hi`` (depth units) in document order."""
     rows = results.select(*_ids(results), "simConfig.sizeY", F.posexplode(F.map_entries("net.pops")).alias("pop_ord", "e"))

@@ -76,10 +76,11 @@ def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(rows, sums, ["y"], hours(spark, sf_dir)).select("y", F.col("bin").alias("i"), (F.col("bin") * HOUR).alias("t"), (F.col("n") / F.lit(100.0)).alias("v"))
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def results(spark: SparkSession, sf_dir: str, fields: str | None = None) -> DataFrame:
     """A nested result document per customer (``job_id``): populations are order states, cells orders, spikes their lines.
 
     Written to JSON text and parsed again, as documents in files are. A document holds one customer's orders.
+    ``fields`` is the schema of what is read of them, else all.
     """
     from ..operators.parse import schema
 
@@ -112,7 +113,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("simData"),
     )
     text = jobs.select("job_id", F.to_json(doc).alias("json"))
-    return text.select("job_id", "json", F.from_json("json", schema("V_dend")).alias("r")).select("job_id", "json", "r.*")
+    return text.select("job_id", "json", F.from_json("json", fields or schema("V_dend")).alias("r")).select("job_id", "json", "r.*")
 
 
 #: The same in SQL, as common table expressions.

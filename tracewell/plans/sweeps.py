@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import batch as B
 from ..operators import parse as N
 from ..operators import spikes as R
-from ..sources import cache, jobs, sinks
+from ..sources import cache, files, jobs, sinks
 
 
 def on_grid(grid: DataFrame, results: DataFrame, skip_missing: bool = False, axes: tuple[str, ...] = ()) -> DataFrame:
@@ -66,7 +66,11 @@ def collect_json(spark: SparkSession, grid: DataFrame, folder: str, variables: d
 
 
 def results_to_rates(results: DataFrame, t1: float, t2: float, dt: float) -> DataFrame:
-    """``job_id, pop, bin, t, rate`` of nested results: spikes a second and cell, populations without cells NaN."""
+    """``job_id, pop, bin, t, rate`` of nested results: spikes a second and cell, populations without cells NaN.
+
+    Documents are read once: populations and trains are written as columns, from which cells, spikes and sizes are taken.
+    """
+    results = files.written(N.trains_only(results), "trains")
     cells = N.cells(results)
     spikes = N.spikes(results).join(cells.select("job_id", "pop", "gid"), ["job_id", "gid"])
     return R.rate_dynamics(spikes, N.pops(results).select("job_id", "pop", "n_cells"), ["job_id", "pop"], t1, t2, dt, cells="n_cells")

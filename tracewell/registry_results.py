@@ -119,7 +119,7 @@ def parse_nested(spark, d):
 
 @query(f"{WITH_Q}, g AS (SELECT q.*, i AS bin FROM q, (SELECT unnest(range(4)) AS i)), n AS (SELECT c.job_id, c.pop, floor(l_extendedprice / 1000 / 25)::BIGINT AS bin, count(*) AS n FROM c JOIN lineitem ON l_orderkey = gid WHERE l_extendedprice / 1000 BETWEEN 0 AND 100 GROUP BY 1, 2, 3) SELECT job_id, pop, bin, bin * 25.0::DOUBLE AS t, round(coalesce(n, 0) / 25.0 / n_cells, 9) AS rate FROM g LEFT JOIN n USING (job_id, pop, bin)")
 def result_rates(spark, d):
-    return Z.results_to_rates(D.results(spark, d), 0.0, 100.0, 25.0).select("job_id", "pop", "bin", "t", F.round("rate", 9).alias("rate"))
+    return Z.results_to_rates(D.results(spark, d, N.TRAINS), 0.0, 100.0, 25.0).select("job_id", "pop", "bin", "t", F.round("rate", 9).alias("rate"))
 
 
 # --- files of jobs ----------------------------------------------------------------
