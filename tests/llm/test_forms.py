@@ -155,6 +155,15 @@ def test_tokens_equal_the_library(spark):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_words_are_encoded_once():
+    own, seen = packing.WordTokenizer(PATH, most=3), []
+    encode = own.words.encode
+    own.words.encode = lambda w: seen.append(w) or encode(w)
+    own.many(["the cat sat", "the dog", "the cow, the cat"])  # aged before the second text: words met again are taken along
+    assert sorted(seen) == [",", "cat", "cow", "dog", "sat", "the"]
+    assert own("the cat") == np.array(own.tokenizer.encode("the cat", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def check_pieces(rows, texts):
     tokenizer = Tokenizer.from_file(PATH)
     ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in texts.items()}

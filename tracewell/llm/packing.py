@@ -18,8 +18,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,25 +37,49 @@ _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{
 _ASCII_WORD = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+")
 _LATIN_WORD = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^\t\n\x0b\x0c\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _BEYOND_LATIN = re.compile("[^\x00-\xff]")
+#: The letters by which byte-level vocabularies write bytes: visible ones of Latin-1 are their own, others follow from 256.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
+class Words(dict):
+    """The packed ids of words by word: one that is not there is encoded, or taken from ``past``, which ``age`` fills."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.encode, self.past = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.past.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        self.past = dict(self)
+        self.clear()
 
 
 class WordTokenizer:
     """``tokenizers``' ids of a lower-casing word BPE, with words cached.
 
-    Pre-tokens do not influence each other in this vocabulary and the last token of each ends with the word-end mark,
-    so the ids of a text are those of its pre-tokens in order, and words not seen before are encoded
-    together and split at those tokens. A text that may hold a special token is encoded whole. The
-    cache is emptied at ``most`` words.
+    Pre-tokens do not influence each other in this vocabulary, so the ids of a text are those of its pre-tokens in order: a
+    word not seen before goes to the model without the steps before it (normalizer, pre-tokenizer), as its bytes' letters. A
+    text that may hold a special token is encoded whole. The cache holds the last ``most`` words, and what of the ``most``
+    before has been met again.
     """
 
     def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.words: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model, self.words = self.tokenizer.model, Words(self.encode)
+        self.largest = max(self.tokenizer.get_vocab().values())
+
+    def encode(self, word: str) -> bytes:
+        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def split(self, text: str) -> list[str]:
         if text.isascii():
@@ -64,28 +89,14 @@ class WordTokenizer:
             return _LATIN_WORD.findall(text.lower())
         return _WORD.findall("".join(c.lower() for c in text) if "Σ" in text else text.lower())
 
-    def learn(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):  # not the vocabulary described above
-            for w in words:
-                self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            return
-        packed, at = ids.tobytes(), 0
-        for w, end in zip(words, (4 * ends).tolist(), strict=True):
-            self.words[w] = packed[at:end]
-            at = end
-
     def many(self, texts: list[str]) -> list[bytes]:
         """The packed little-endian unsigned 32-bit ids of each text."""
-        split = [None if "<|" in t else self.split(t) for t in texts]
-        if len(self.words) >= self.most:
-            self.words.clear()
-        new = list(set().union(*(s for s in split if s is not None)).difference(self.words))
-        for at in range(0, len(new), 20_000):
-            self.learn(new[at : at + 20_000])
-        get = self.words.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        get, out = self.words.__getitem__, []
+        for t in texts:
+            if len(self.words) >= self.most:
+                self.words.age()
+            out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if "<|" in t else b"".join(map(get, self.split(t))))
+        return out
 
     def __call__(self, text: str) -> bytes:
         return self.many([text])[0]
@@ -169,13 +180,12 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer_of(tokenizer)
-        kind = "<u2" if max(len(words.ends) - 1, end_id) < 1 << 16 else "<u4"
+        kind = "<u2" if max(words.largest, end_id) < 1 << 16 else "<u4"
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(kind) for x in words.many(batch.column(2).to_pylist())]
                 yield pa.record_batch({"doc_id": batch.column(0), "source": batch.column(1), "n": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary())})
-        words.words.clear()  # the worker lives on
 
     small_batches(docs.sparkSession)
     return materialize(rows.mapInArrow(run, "doc_id long, source string, n long, ids binary").withColumn("at", F.monotonically_increasing_id()), "tokens")
