@@ -65,6 +65,15 @@ def test_rates_read_documents_once(result):
     assert out.count() == 16
 
 
+def test_sweep_of_rates_reads_documents_once(spark, result):
+    from tracewell.plans import sweeps
+
+    grid = spark.createDataFrame([("a", 0), ("b", 1), ("none", None)], "name string, job_id long")
+    out = sweeps.collect_rates(grid, result.select("job_id", "net", "simData"), (0.0, 0.006), 0.003)
+    assert not set(result.inputFiles()) & set(out.inputFiles())
+    assert sorted(r["name"] for r in out.collect()) == ["a"] * 8 + ["b"] * 8 + ["none"]
+
+
 @pytest.fixture(scope="module")
 def trains(spark):
     rows = [("IT2", 0, t) for t in (0.1, 0.2, 0.4, 0.9)] + [("IT2", 1, t) for t in (0.15, 0.45, 0.75)] + [("PV2", 2, t) for t in (0.05, 0.35, 0.65)]

@@ -484,7 +484,7 @@ def _customer_grid(spark, d) -> DataFrame:
 
 @query(f"{WITH_Q}, g AS (SELECT q.*, i AS bin FROM q, (SELECT unnest(range(4)) AS i)), n AS (SELECT c.job_id, c.pop, floor(l_extendedprice / 1000 / 25)::BIGINT AS bin, count(*) AS n FROM c JOIN lineitem ON l_orderkey = gid WHERE l_extendedprice / 1000 BETWEEN 0 AND 100 GROUP BY 1, 2, 3), r AS (SELECT job_id, pop, bin, round(coalesce(n, 0) / 25.0 / n_cells, 9) AS rate FROM g LEFT JOIN n USING (job_id, pop, bin)) SELECT c_name AS name, pop, bin, rate FROM customer LEFT JOIN r ON job_id = c_custkey")
 def sweep_rates(spark, d):
-    out = Z.collect_rates(_customer_grid(spark, d), D.results(spark, d), (0.0, 100.0), 25.0, skip_missing=True)
+    out = Z.collect_rates(_customer_grid(spark, d), D.results(spark, d, N.TRAINS), (0.0, 100.0), 25.0, skip_missing=True)
     return out.select("name", "pop", "bin", F.round("rate", 9).alias("rate"))
 
 
